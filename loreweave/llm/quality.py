@@ -134,4 +134,6 @@ def quality_filter(docs: DataFrame, limits: Thresholds = Thresholds(), text: str
     """
     order = order or [x["rule"] for x in rule_order(docs, limits, text)]
     d = _prepared(docs, text, packed_row(docs))
-    return d.where(verdict(order, limits).isNull()).select("kept_row.*")
+    # an id in the verdict keeps the optimizer from copying the word arrays' expressions into a filter below them
+    failed = F.when(F.monotonically_increasing_id() < 0, F.lit("")).otherwise(verdict(order, limits))
+    return d.select("kept_row", failed.alias("failed")).where(F.col("failed").isNull()).select("kept_row.*")

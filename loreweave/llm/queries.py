@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.llm import decontaminate, language_id, license_scan, line_dedup, packing, quality, secret_scan, simhash, token_files
+from loreweave.llm import decontaminate, language_id, license_scan, line_dedup, packing, pii, quality, secret_scan, simhash, token_files
 from loreweave.llm.common import new_path
 
 
@@ -48,6 +48,20 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, distance=4)
 
 
+def _joined(spans) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def _count(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pii_spans(_table(spark, sf_dir, "documents"))
+    counts = [_count("base", k) for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), _byte_bpe(), capacity=2048, end_id=1, with_ids=False)
 
@@ -55,9 +69,8 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.secret_spans(_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] != "novel")
-    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+    counts = [_count("spans", k) for k in secret_scan.KINDS[:3]]
+    return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined("spans").alias("spans"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_license_scan": op4_license_scan,
     "op5_simhash": op5_simhash,
+    "op6_pii": op6_pii,
     "op7_packing": op7_packing,
     "op8_secret_scan": op8_secret_scan,
     "op9_line_dedup": op9_line_dedup,

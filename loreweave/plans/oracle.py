@@ -223,7 +223,7 @@ ORACLE_SQL: dict[str, str] = {
     "mentions_capitalized_documents": on_documents("SELECT passage_id, canonical_name, char_start, char_end FROM found_mentions WHERE rule_seq = 6", ASCII_PASSAGES, mentions_of("found_mentions", "letters")),
     "tokenize": f"SELECT conv_id, turn, array_to_string({TOKENS.format('text')}, ' ') AS tokens FROM conversations",
     "dataset_manifest": "SELECT count(*) AS documents, CAST(sum(length(text)) AS BIGINT) AS characters, count(DISTINCT doc_id) AS sources FROM documents",
-    "find_duplicates_benchmark": f"WITH told AS (SELECT CAST(item_id AS VARCHAR) AS obligation_id, 'mystery' AS category, {TOKENS.format('text')} AS t, []::VARCHAR[] AS related, []::VARCHAR[] AS anchor_list FROM benchmark) {_duplicates(0.3)}",
+    "find_duplicates_parts": f"WITH told AS (SELECT DISTINCT p_name || ' ' || p_type AS obligation_id, 'mystery' AS category, {TOKENS.format("p_name || ' ' || p_type")} AS t, []::VARCHAR[] AS related, []::VARCHAR[] AS anchor_list FROM part) {_duplicates(0.6)}",
     "label_integrity": "SELECT 'label_document' AS \"check\", count(*) AS checked, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM documents)) AS missing FROM labels UNION ALL SELECT 'document_label', count(*), count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM labels)) FROM documents",
     "page_files": f"SELECT DISTINCT source_id FROM (SELECT {_STEM} AS source_id FROM (SELECT url AS path FROM pages)) WHERE source_id <> ''",
     "speaker_timeline": "SELECT conv_id, role, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS characters, min(turn) AS first_turn FROM conversations GROUP BY conv_id, role",

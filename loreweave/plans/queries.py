@@ -95,14 +95,12 @@ def dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def find_duplicates_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of benchmark items with similar descriptions, by the blocked join."""
-    return dedupe.find_duplicates(_benchmark(spark, sf_dir), 0.3).select("i", "j", F.round("similarity", 6).alias("similarity"))
-
-
-def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+def find_duplicates_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of distinct part descriptions that share most of their words, by the blocked join."""
     none = F.array().cast("array<string>")
-    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").cast("string").alias("obligation_id"), F.lit("mystery").alias("category"), F.col("text").alias("description"), none.alias("related_entity_ids"), none.alias("evidence_anchor_ids"))
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat_ws(" ", "p_name", "p_type").alias("description")).distinct()
+    p = p.select(F.col("description").alias("obligation_id"), F.lit("mystery").alias("category"), "description", none.alias("related_entity_ids"), none.alias("evidence_anchor_ids"))
+    return dedupe.find_duplicates(p, 0.6).select("i", "j", F.round("similarity", 6).alias("similarity"))
 
 
 @query

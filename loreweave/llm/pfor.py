@@ -39,7 +39,7 @@ def encode(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE)
     rest = rows - least[:, None]
     at = min(block - 1, max(0, int(np.ceil(percentile * block)) - 1))
     width = _widths(np.partition(rest, at, axis=1)[:, at]) if blocks else np.zeros(0, np.int64)
-    over = _widths(rest) > width[:, None]
+    over = rest > ((1 << width) - 1)[:, None]
     row, place = np.nonzero(over)
     values = rest[over]
     rest = np.where(over, 0, rest)

@@ -16,8 +16,8 @@ from loreweave.llm import pfor
 from loreweave.llm.common import parts
 from loreweave.llm.tokens import encoder
 
-#: Ids of a segment, at which the next document starts a new one.
-SEGMENT_IDS = 1 << 19
+#: Ids of a segment, at which the next documents start a new one; documents encoded at a time.
+SEGMENT_IDS, BATCH = 1 << 19, 64
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text", shards: int | None = None) -> None:
@@ -45,19 +45,20 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, do
 
         def closed() -> pa.RecordBatch:
             lengths = [len(x) // encode.width for x in runs]
+            held = pa.concat_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in ids])
             payload = pfor.encode(np.frombuffer(b"".join(runs), f"<u{encode.width}"))
             kinds = (pa.int32(), pa.int32(), pa.int64(), None, pa.list_(pa.int64()), pa.binary())
-            ids_array = pa.ListArray.from_arrays([0, len(ids)], pa.concat_arrays(ids))
+            ids_array = pa.ListArray.from_arrays([0, len(held)], held)
             values = ([shard], [segment], [first], ids_array, [lengths], [payload])
             return pa.RecordBatch.from_arrays([v if k is None else pa.array(v, k) for v, k in zip(values, kinds)], schema.names)
 
-        for batch in batches:
-            texts = batch.column("text")
-            for i in range(len(texts)):
-                run = encode.encode([texts[i].as_py()])[0] + end
-                ids.append(batch.column("doc_id").slice(i, 1))
-                runs.append(run)
-                size += len(run) // encode.width
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(at, BATCH)
+                own = [x + end for x in encode.encode(batch.column("text").to_pylist())]
+                ids.append(batch.column("doc_id"))
+                runs += own
+                size += sum(map(len, own)) // encode.width
                 if size >= SEGMENT_IDS:
                     yield closed()
                     segment, first, size, ids, runs = segment + 1, first + size, 0, [], []

@@ -16,6 +16,7 @@ CACHED = 700_000
 _PIECES = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
 #: White space or separators beyond ASCII, where that need not hold: such texts are encoded whole.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+_BEFORE_SPACE = re.compile(r"[\t\n\r\f\v] ")
 _WORD = re.compile(r" ?[^\W\d_]+")
 
 
@@ -26,6 +27,18 @@ def _byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Spaced(dict):
+    """Ids of words behind a single space, by the word."""
+
+    def __init__(self, pieces: PieceEncoder) -> None:
+        super().__init__()
+        self.pieces = pieces
+
+    def __missing__(self, word: str) -> bytes:
+        out = self[word] = self.pieces.ids_of(f" {word}")
+        return out
+
+
 class PieceEncoder(dict):
     """encode() gives the ids of texts as little-endian unsigned integers of self.width bytes.
 
@@ -47,6 +60,7 @@ class PieceEncoder(dict):
         self.model = self.tokenizer.model
         if self.pieces:
             self.model._resize_cache(0)  # each piece comes here once
+        self.spaced = _Spaced(self)
         self.chars = str.maketrans({chr(b): c for b, c in _byte_chars().items()})
 
     def _packed(self, ids: list[int]) -> bytes:
@@ -56,17 +70,21 @@ class PieceEncoder(dict):
         return out.tobytes()
 
     def __missing__(self, piece: str) -> bytes:
+        out = self[piece] = self.ids_of(piece)
+        return out
+
+    def ids_of(self, piece: str) -> bytes:
         word = _WORD.match(piece)
         if word and word[0].removeprefix(" ").isalpha():
             if len(word[0]) == len(piece):  # a run of letters is one unit of the pre-tokenizer
                 out = self._packed([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.chars))])
             else:  # a run of letters ends one
-                out = self[word[0]] + self[piece[len(word[0]) :]]
+                head = self.spaced[word[0][1:]] if word[0][0] == " " else self[word[0]]
+                out = head + self[piece[len(word[0]) :]]
         elif len(piece) > 1 and piece[0] == "\n" and piece[1] not in " \t\n\r\f\v":
             out = self["\n"] + self[piece[1:]]
         else:
             out = self._packed(self.tokenizer.encode(piece, add_special_tokens=False).ids)
-        self[piece] = out
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -75,9 +93,14 @@ class PieceEncoder(dict):
             if not self.pieces or not text.isascii() and _ODD.search(text) or text.isascii() and any(c in text for c in "\x1c\x1d\x1e\x1f"):
                 out.append(self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids))
                 continue
-            out.append(b"".join(map(self.__getitem__, _PIECES.findall(text))))
-            if len(self) > CACHED:
+            words = text.split(" ")
+            if all(words) and not _BEFORE_SPACE.search(text):  # every space stands alone behind a word, so pieces are cut there
+                out.append(self[words[0]] + b"".join(map(self.spaced.__getitem__, words[1:])))
+            else:
+                out.append(b"".join(map(self.__getitem__, _PIECES.findall(text))))
+            if len(self) + len(self.spaced) > CACHED:
                 self.clear()
+                self.spaced.clear()
         return out
 
 

@@ -84,18 +84,31 @@ def with_aliases(named: DataFrame, known: DataFrame) -> DataFrame:
     return named.join(own, "entity_id", "left").select("entity_id", "canonical_name", F.coalesce("aliases", F.lit("")).alias("aliases"))
 
 
+#: Characters of a name's end by which it is looked up, and keys up to which they are broadcast to thin out the texts' pieces.
+KEY, MOST_KEYS = 6, 500_000
+
+
+def _pieces(text: Column, n: int) -> Column:
+    """All pieces of n characters."""
+    return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+
 def links(passages: DataFrame, named: DataFrame) -> DataFrame:
     """passage_id, entity_id, canonical_name, entity_type, position: entities whose name stands, in any case, in a passage.
 
-    A name can start anywhere in a text, so names meet passages by an equi-join of their first three characters with
-    all three-character pieces of the text; containment is then verified. No cross join, however many entities.
+    A name can stand anywhere in a text, so names meet passages by an equi-join of their last KEY characters (all of a
+    shorter name) with the pieces of that length of the text; containment is then verified. No cross join, however many
+    entities: the pieces that no name ends with are dropped before anything is shuffled, if the keys are few enough to send.
     """
+    name = F.lower("canonical_name")
+    heads = named.select("entity_id", "canonical_name", "entity_type", name.alias("name"), F.when(F.length(name) > KEY, F.right(name, F.lit(KEY))).otherwise(name).alias("key"))
+    sizes = sorted(r["n"] for r in heads.select(F.length("key").alias("n")).where("n > 0").distinct().collect())  # KEY at most
     low = F.lower("text")
-    heads = named.select("entity_id", "canonical_name", "entity_type", F.lower("canonical_name").alias("name"), F.substring(F.lower("canonical_name"), 1, 3).alias("head"))
-    n = F.length(low)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(low, i, F.lit(3))))
-    # a name can start anywhere in the text, so each three characters of it are a key; short names go by what they have
-    keys = F.array_union(grams, F.array_union(F.transform(grams, lambda g: F.substring(g, 1, 1)), F.transform(grams, lambda g: F.substring(g, 1, 2))))
-    p = passages.select("passage_id", low.alias("low"), F.explode(keys).alias("head"))
-    met = p.join(heads, "head").withColumn("position", F.instr(F.col("low"), F.col("name"))).where("position > 0")
+    pieces = [_pieces(low, n) for n in sizes]
+    each = F.array_distinct(F.concat(*pieces)) if pieces else F.array().cast("array<string>")
+    p = passages.select("passage_id", F.explode(each).alias("key"))  # without the text, which only candidates need
+    keys = heads.select("key").distinct()
+    if keys.count() <= MOST_KEYS:
+        p = p.join(F.broadcast(keys), "key", "left_semi")
+    met = p.join(heads, "key").join(passages.select("passage_id", low.alias("low")), "passage_id").withColumn("position", F.instr(F.col("low"), F.col("name"))).where("position > 0")
     return met.select("passage_id", "entity_id", "canonical_name", "entity_type", "position")

@@ -2,31 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loreweave.functions.lexicons import DOSSIER_ORDER
-from loreweave.functions.lineage import cut
+from loreweave.functions.ranking import ranked
 from loreweave.functions.text import digest
 
 BOOKS = (6, 7)
 
 
-def ranked(rows: DataFrame, key: str) -> DataFrame:
-    """rows with rank, from 0 in order of key, and total. Ranges of the key are counted apart and their counts added up,
-    so that no one task sorts all rows."""
-    parts = rows.repartitionByRange(key).withColumn("part", F.spark_partition_id())
-    parts = parts.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1)
-    parts = cut(parts)
-    sizes = {r["part"]: r["n"] for r in parts.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row per partition
-    before, total = {}, 0
-    for part in sorted(sizes):
-        before[part] = total
-        total += sizes[part]
-    shift = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.create_map(F.lit(0), F.lit(0))
-    return parts.withColumn("rank", F.col("at") + F.coalesce(shift[F.col("part")], F.lit(0))).withColumn("total", F.lit(total)).drop("part", "at")
-
-
 def outline_beats(obliged: DataFrame, named: DataFrame, books: tuple[int, int] = BOOKS) -> DataFrame:
     """beat_id, book_number, obligation_id, description, pov_character, entity_ids: the first half of the obligations by id
     (one at least) makes the first book, the rest the second."""
@@ -49,8 +34,10 @@ def convergence(beats: DataFrame, books: tuple[int, int] = BOOKS) -> DataFrame:
 
 def bridging_beats(points: DataFrame) -> DataFrame:
     """beat_id, section_id, convergence_id: a beat per convergence, numbered by id within its section."""
-    n = F.row_number().over(Window.partitionBy("section_id").orderBy("convergence_id"))
-    return points.select(F.concat(F.lit("bridge_"), F.col("section_id"), F.lit("_"), F.lpad(n.cast("string"), 2, "0")).alias("beat_id"), "section_id", "convergence_id")
+    p = ranked(points.select("section_id", "convergence_id"), "section_id", "convergence_id")
+    first = p.groupBy("section_id").agg(F.min("rank").alias("first"))
+    n = F.col("rank") - F.col("first") + 1
+    return p.join(first, "section_id").select(F.concat(F.lit("bridge_"), F.col("section_id"), F.lit("_"), F.lpad(n.cast("string"), 2, "0")).alias("beat_id"), "section_id", "convergence_id")
 
 
 def coverage_map(obliged: DataFrame, beats: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loreweave.functions.lineage import cut
 from loreweave.operators import dedupe, entities, gates, graph, metrics, obligations, planning, wiki
 from loreweave.operators.segment import BLANK_LINE, segment
 from loreweave.sources.stores import Stores
@@ -23,8 +24,8 @@ class Config:
             raise ValueError("vehicle_min_mentions is 1 or more, similarity_threshold from 0 to 1")
 
 
-def tables(docs: DataFrame, config: Config = Config(), ignored: DataFrame | None = None, forced: DataFrame | None = None, keep=lambda name, rows: rows) -> dict[str, DataFrame]:
-    """Every table of a run up to the graph, lazily unless keep writes them. Obligations are those before merging."""
+def tables(docs: DataFrame, config: Config = Config(), ignored: DataFrame | None = None, forced: DataFrame | None = None, keep=lambda name, rows: cut(rows)) -> dict[str, DataFrame]:
+    """Every table of a run up to the graph; keep cuts the lineage of those that are read more than once. Obligations are those before merging."""
     t: dict[str, DataFrame] = {}
     t["passages"] = keep("passages", segment(docs, config.delimiter))
     t["mentions"] = keep("mentions", entities.mentions(t["passages"], ignored=ignored))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loreweave.functions.ranking import ranked
+
 #: Suffixes that are read.
 TEXT_SUFFIXES = ("txt", "md", "markdown")
 ALL_SUFFIXES = (*TEXT_SUFFIXES, "docx", "pdf")
@@ -35,7 +37,7 @@ def scan_documents(spark: SparkSession, path: str) -> DataFrame:
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*").load(path).where(suffix(F.col("path")).isin(*TEXT_SUFFIXES))
     d = files.select("path", F.when(F.is_valid_utf8("content"), F.regexp_replace(F.col("content").cast("string"), "\r\n?", "\n")).alias("raw_text"))
-    hints = files.select("path").withColumn("order_hint", F.row_number().over(Window.orderBy(F.regexp_extract("path", r"([^/]*)$", 1), "path")) - 1)  # a folder's list of files
+    hints = ranked(files.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("name")), "name", "path").select("path", F.col("rank").alias("order_hint"))
     d = d.join(hints, "path").join(filename_metadata(d.select("path")), "path")
     return d.select(stem(F.col("path")).alias("source_id"), F.col("path").alias("source_path"), "order_hint", "raw_text", "book_label", "chapter_label")
 

@@ -118,8 +118,9 @@ def learn(labelled: DataFrame, chars: int = TRAIN_CHARS, docs: int = TRAIN_DOCS,
     rate = F.create_map(*[x for k, v in n.items() for x in (F.lit(k), F.lit(min(1.0, docs / v)))])
     picked = d.withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(1 << 20)) < rate[F.col("lang")] * (1 << 20))
     per_doc = max(64, 4 * chars // docs)
-    # of each chosen text a slice is enough; what reaches the driver is bounded by languages, docs and per_doc
-    rows = picked.select("lang", "h", F.substring("text", 1, per_doc).alias("text")).distinct().groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "text"))), 1, 2 * docs).alias("rows")).collect()
+    # of each chosen text a slice from anywhere in it is enough; what reaches the driver is bounded by languages, docs and per_doc
+    begin = F.pmod(F.shiftright("h", 20), F.greatest(F.lit(1), F.length("text") - per_doc + 1)) + 1
+    rows = picked.select("lang", "h", F.substring("text", begin.cast("int"), F.lit(per_doc)).alias("text")).distinct().groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "text"))), 1, 2 * docs).alias("rows")).collect()
     out = {}
     for r in rows:
         whole = " ".join(x for x in (folded(y["text"]) for y in r["rows"]) if x)[:chars]

@@ -21,7 +21,9 @@ _HEX = re.compile(r"[0-9a-f]{24,}")  # the runs [0-9a-f]+ of 24 or more
 #: Words that make the text after them sensitive.
 SENSITIVE = ("password", "passwd", "passphrase", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "accesskey", "private_key", "privatekey", "credential", "auth", "bearer", "signature", "client_id", "session", "akia")
 _SENSITIVE = re.compile("|".join(SENSITIVE), re.ASCII | re.IGNORECASE)
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+#: Characters that a candidate has at least.
+_LEAST = 16
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{%d,}" % _LEAST)
 #: Identifiers and words of code and configuration that prime the compressor.
 IDENTIFIERS = (
     "abstract access_token account address admin algorithm api_key application arguments array assert async attribute authorization "
@@ -76,9 +78,10 @@ def novel_spans(text: str, base: list[tuple[str, int, int]], least: float, reach
     taken = sorted((s, e) for _, s, e in base)
     upto = 0
     for word in _SENSITIVE.finditer(text):
-        for m in _CANDIDATE.finditer(text, max(upto, word.end()), min(len(text), word.end() + reach + 4096)):
-            if m.start() > word.end() + reach:
-                break
+        last = word.end() + reach
+        # a candidate begins within reach and has its whole length, however long it is
+        while found := _CANDIDATE.search(text, max(upto, word.end()), last + _LEAST):
+            m = _CANDIDATE.match(text, found.start())
             upto, string = m.end(), m[0]
             if any(s < m.end() and m.start() < e for s, e in taken) or not (re.search("[0-9]", string) and re.search("[A-Za-z]", string)):
                 continue

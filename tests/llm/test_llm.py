@@ -179,6 +179,8 @@ def test_languages(spark, unique, empty):
     got = _by_id(language_id.identify(asked, samples).collect())
     assert [got[i].lang_pred for i in range(1, 6)] == ["en", "de", "und", "und", "und"] and all(0 <= r.score <= 1 for r in got.values())
     assert {r.lang_pred for r in language_id.identify(unique, {}).collect()} == {"und"} and language_id.identify(empty, samples).count() == 0
+    whole = language_id.learn(spark.createDataFrame([(i, "alpha " * 200 + f"omega{chr(97 + i)} " * 2000, "x") for i in range(20)], "doc_id long, text string, lang string"))
+    assert "omega" in whole["x"] and len(whole["x"]) <= language_id.TRAIN_CHARS  # samples come from anywhere in a text
     told = spark.range(300).select(language_id.held_out(F.col("id")).alias("h")).collect()
     assert [r.h for r in told] == [zlib.crc32(str(i).encode()) % 4 == 2 for i in range(300)]
 
@@ -351,6 +353,10 @@ def test_secrets(spark, unique, empty):
     got = {i: [tuple(s) for s in r.spans] for i, r in _by_id(secret_scan.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()).items()}
     assert got[1] == [("assign", 0, 49), ("hex", 9, 49)] and got[2] == [("assign", 15, 32)] and got[3] == [("access", 0, 20)] and got[4] == [] and got[7] == []
     assert got[5] == [("novel", 17, 37)] and got[6] == []
+    rng = random.Random(9)
+    long = "a1" + "".join(rng.choices(string.ascii_letters + string.digits, k=9000))
+    told = secret_scan.secret_spans(spark.createDataFrame([(1, f"the credential is {long} so"), (2, f"credential, {'word ' * 8}{long}")], "doc_id long, text string"))
+    assert {r.doc_id: [tuple(s) for s in r.spans] for r in told.collect()} == {1: [("novel", 18, 18 + len(long))], 2: []}
     assert secret_scan.secret_spans(unique).count() == unique.count() and secret_scan.secret_spans(empty).count() == 0
 
 

@@ -5,20 +5,27 @@ from __future__ import annotations
 import atexit
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in spark.checkpoint.dir; where that is unset and Spark runs in this one machine, in a folder of our own."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset and Spark runs in this one machine, a folder of our own."""
+    if at := spark.conf.get("spark.checkpoint.dir", None):
+        return at.rstrip("/")
     context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and context.applicationId not in _own:
+    if context.applicationId not in _own:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.TemporaryDirectory(prefix="loreweave-", ignore_cleanup_errors=True)
         atexit.register(folder.cleanup)
-        _own[context.applicationId] = folder.name
-        context.setCheckpointDir(f"file://{folder.name}")
+        _own[context.applicationId] = f"file://{folder.name}"
+        context.setCheckpointDir(_own[context.applicationId])
+    return _own[context.applicationId]
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df.checkpoint() in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

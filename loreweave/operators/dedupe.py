@@ -42,19 +42,18 @@ def find_duplicates(rows: DataFrame, threshold: float = 0.8) -> DataFrame:
     return pairs.select(F.col("a.obligation_id").alias("i"), F.col("b.obligation_id").alias("j"), similarity("a", "b").alias("similarity")).where(F.col("similarity") >= threshold - 1e-12).distinct()
 
 
-def groups(pairs: DataFrame, rounds: int = 50) -> DataFrame:
+def groups(pairs: DataFrame) -> DataFrame:
     """(node, root): connected groups by minimum labels with pointer jumping; only labels and pairs move."""
     edges = pairs.select(F.col("i").alias("u"), F.col("j").alias("v"))
     edges = cut(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
     labels = cut(edges.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("root")))
-    for _ in range(rounds):
+    while True:
         near = edges.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("root").alias("near")).withColumnRenamed("u", "node")
         hop = labels.select(F.col("node").alias("root"), F.col("root").alias("far"))
         new = cut(labels.join(near, "node", "left").join(hop, "root", "left").select("node", F.least("root", "near", "far").alias("root"), F.col("root").alias("was")))
         labels = new.select("node", "root")
         if new.where(F.col("root") != F.col("was")).isEmpty():
-            break
-    return labels
+            return labels
 
 
 MERGED = "obligation_id string, category string, description string, evidence_anchor_ids array<string>, last_seen_passage_id string, confidence double, is_resolved boolean, resolution_passage_id string, related_entity_ids array<string>, absorbed array<string>"
@@ -92,21 +91,29 @@ def merge_obligations(rows: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The rows left after greedy merging, with absorbed: the ids that each took in.
 
     Rows with the same words and category are one class before pairs are sought, so that a phrase in a million passages
-    costs no pairs: the row that merging would keep gathers the evidence of the rest. The order of merges matters only
+    costs no pairs: the row that merging would keep gathers the evidence of the rest, whose list grows with it. The order of merges matters only
     inside a connected group, so each group of class representatives is merged alone.
     """
     key = F.struct(tokens(F.col("description")).alias("t"), "category")
-    merit = F.struct((-F.size("evidence_anchor_ids")).alias("n"), "obligation_id")
     base = [c.split(" ")[0] for c in MERGED.split(", ")][:-1]
     digits = F.filter(F.split("last_seen_passage_id", "[_-]"), lambda p: p.rlike(r"^[+-]?[0-9]{1,18}$"))
     newest = F.struct(F.coalesce(F.get(digits, F.size(digits) - 1).cast("long"), F.lit(0).cast("long")).alias("n"), F.col("last_seen_passage_id").alias("id"))
     c = rows.withColumn("key", key).groupBy("key").agg(
-        F.min_by(F.struct(*base), merit).alias("f"), F.max("confidence").alias("top"), F.max(newest).alias("newest"), F.bool_or("is_resolved").alias("resolved"), F.max("resolution_passage_id").alias("at"),
-        F.array_sort(F.collect_set("obligation_id")).alias("ids"), F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(merit.alias("m"), F.col("evidence_anchor_ids").alias("x")))), lambda s: s["x"]))).alias("anchors"),
-        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(merit.alias("m"), F.col("related_entity_ids").alias("x")))), lambda s: s["x"]))).alias("related"),
+        F.max("confidence").alias("top"), F.max(newest).alias("newest"), F.bool_or("is_resolved").alias("resolved"), F.max("resolution_passage_id").alias("at"),
+        F.array_sort(F.collect_list(F.struct("obligation_id", F.col("evidence_anchor_ids").alias("anchors"), F.col("related_entity_ids").alias("related")))).alias("m"),
     )
-    one = cut(c.select("f.obligation_id", "f.category", "f.description", F.col("anchors").alias("evidence_anchor_ids"), F.col("newest.id").alias("last_seen_passage_id"), F.col("top").alias("confidence"), F.col("resolved").alias("is_resolved"), F.coalesce("f.resolution_passage_id", "at").alias("resolution_passage_id"), F.col("related").alias("related_entity_ids"), F.array_remove("ids", F.col("f.obligation_id")).alias("absorbed")))
-    pairs = cut(find_duplicates(one, threshold))
+    # in order of id a row with more evidence than all before it together takes over; winners has the last of these first
+    start = F.struct(F.lit(0).alias("total"), F.array().cast("array<string>").alias("winners"))
+    ahead = lambda s, x: (F.size(s["winners"]) == 0) | (F.size(x["anchors"]) > s["total"])
+    step = lambda s, x: F.struct((s["total"] + F.size(x["anchors"])).alias("total"), F.when(ahead(s, x), F.concat(F.array(x["obligation_id"]), s["winners"])).otherwise(s["winners"]).alias("winners"))
+    c = c.withColumn("winners", F.aggregate("m", start, step)["winners"])
+    place = lambda x: F.when(F.array_contains("winners", x["obligation_id"]), F.array_position("winners", x["obligation_id"])).otherwise(F.size("winners") + 1)
+    c = c.withColumn("m", F.array_sort(F.transform("m", lambda x: F.struct(place(x).alias("place"), x["obligation_id"].alias("obligation_id"), x["anchors"].alias("anchors"), x["related"].alias("related")))))
+    gathered = lambda name: F.array_distinct(F.flatten(F.transform("m", lambda x: x[name])))
+    c = c.select(F.col("winners")[0].alias("obligation_id"), gathered("anchors").alias("anchors"), gathered("related").alias("related"), "top", "newest", "resolved", "at", F.array_sort(F.transform(F.slice("m", 2, F.size("m")), lambda x: x["obligation_id"])).alias("absorbed"))
+    told = cut(rows.select(*base).join(c, "obligation_id"))
+    one = told.select("obligation_id", "category", "description", F.col("anchors").alias("evidence_anchor_ids"), F.col("newest.id").alias("last_seen_passage_id"), F.col("top").alias("confidence"), F.col("resolved").alias("is_resolved"), F.coalesce("resolution_passage_id", "at").alias("resolution_passage_id"), F.col("related").alias("related_entity_ids"), "absorbed")
+    pairs = cut(find_duplicates(told, threshold))  # by each kept row's own entities and evidence, not by those it took in
     root = groups(pairs)
     member = one.join(root.withColumnRenamed("node", "obligation_id"), "obligation_id").withColumn("pairs", F.lit(None).cast("array<struct<s:double,i:string,j:string>>"))
     of = pairs.join(root.withColumnRenamed("node", "i"), "i").groupBy("root").agg(F.collect_list(F.struct(F.col("similarity").alias("s"), "i", "j")).alias("all"))
@@ -132,5 +139,7 @@ def duplicate_edges(merged: DataFrame) -> DataFrame:
     return e.select(digest("dup_", 16, F.col("source_obligation_id"), F.col("target_obligation_id")).alias("edge_id"), "source_obligation_id", "target_obligation_id", F.lit("DUPLICATES").alias("edge_type"))
 
 
-def dedupe_rate(n: int, left: int) -> float:
-    return (n - left) / n if n else 0.0
+def dedupe_rate(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    """One row: rows before and after merging, and the share that merging took away (0 of none)."""
+    n = rows.agg(F.count("*").alias("before")).crossJoin(merged.agg(F.count("*").alias("after")))
+    return n.select("before", "after", F.when(F.col("before") > 0, (F.col("before") - F.col("after")) / F.col("before")).otherwise(F.lit(0.0)).alias("dedupe_rate"))

@@ -29,15 +29,19 @@ def participants(linked: DataFrame) -> DataFrame:
     return linked.groupBy("passage_id").agg(F.array_sort(F.collect_set(F.struct("position", "entity_id", "canonical_name"))).alias("who"), F.min(F.when(F.col("entity_type") == "place", F.struct("entity_id", "canonical_name"))).alias("place"))
 
 
+def event_obligations(events: DataFrame, obliged: DataFrame) -> DataFrame:
+    """event_id, obligation_ids (sorted): obligations that share an anchor with the event, by an equi-join on anchors."""
+    shared = events.select("event_id", F.explode("anchor_ids").alias("anchor_id")).join(obliged.select("obligation_id", F.explode("evidence_anchor_ids").alias("anchor_id")), "anchor_id")
+    return shared.groupBy("event_id").agg(F.array_sort(F.collect_set("obligation_id")).alias("obligation_ids"))
+
+
 def events(passages: DataFrame, linked: DataFrame, by_passage: DataFrame, obliged: DataFrame) -> DataFrame:
     """A row per passage with an event class and evidence. related_obligation_ids share an anchor with it."""
     e = event_class(passages).join(by_passage, "passage_id").join(participants(linked), "passage_id", "left")
     label = F.initcap(F.regexp_replace("event_type", "_", " "))
     title = F.when(F.col("place").isNull(), label).when(F.col("event_type") == "battle", F.concat(F.lit("Battle of "), F.col("place.canonical_name"))).otherwise(F.concat(label, F.lit(" at "), F.col("place.canonical_name")))
     e = e.withColumn("title", title).withColumn("event_id", digest("evt_", 12, F.col("event_type"), F.col("passage_id"), F.col("anchor_ids")[0], F.col("title")))
-    shared = e.select("event_id", F.explode("anchor_ids").alias("anchor_id")).join(obliged.select("obligation_id", F.explode("evidence_anchor_ids").alias("anchor_id")), "anchor_id")
-    shared = shared.groupBy("event_id").agg(F.array_sort(F.collect_set("obligation_id")).alias("obligation_ids"))
-    e = e.join(shared, "event_id", "left")
+    e = e.join(event_obligations(e, obliged), "event_id", "left")
     none = F.array().cast("array<string>")
     return e.select("event_id", "event_type", "title", F.col("text").alias("description"), F.coalesce(F.transform("who", lambda w: w["entity_id"]), none).alias("participant_entity_ids"), F.col("place.entity_id").alias("location_entity_id"), F.coalesce("obligation_ids", none).alias("related_obligation_ids"), F.col("anchor_ids").alias("evidence_anchor_ids"), *_story())
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from loreweave.functions.lineage import shared_dir
+
 CORPUS = (
     ("book1_ch01", 0, "Mira Vale rode to Winterfell with House Rook. A prophecy warned them.\n\nWho had opened the gate? Mira Vale kept it hidden, a secret oath.\r\n\r\n\n  The siege began at Winterfell; Mira Vale, enemy of Tor Hale, was crowned.  "),
     ("book1_ch02", 1, "We sailed aboard the Grey Gull. The Grey Gull left the harbor.\n\nAnother dream, then a Dream. Queen of the Far Isles swore war was coming."),
@@ -18,6 +22,18 @@ def docs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(CORPUS), "source_id string, order_hint int, raw_text string")
 
 
+def files(spark: SparkSession) -> str:
+    """A folder in the shared one with the corpus as text files, one of them not of a suffix that is read."""
+    root = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name, text in [*((f"{source}.{'MD' if source == 'notes' else 'txt'}", text) for source, _, text in CORPUS), ("picture.png", "no text")]:
+        path = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        out = path.getFileSystem(conf).create(path)
+        out.write(bytearray(text.encode()))
+        out.close()
+    return root
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '").replace("\r", "' || chr(13) || '") + "'"
 

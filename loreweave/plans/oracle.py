@@ -179,7 +179,7 @@ def integrity(name: str, rows: str, key: str, known: str, known_key: str) -> str
 
 
 def on_corpus(select: str, *more: str) -> str:
-    return "WITH " + ",\n".join([BASE, *more]) + "\n" + select
+    return "WITH RECURSIVE " + ",\n".join([BASE, *more]) + "\n" + select
 
 
 def on_documents(select: str, *more: str) -> str:
@@ -216,7 +216,24 @@ def _duplicates(threshold: float) -> str:
     return f"SELECT * FROM ({same}) WHERE similarity >= {threshold}"
 
 
+#: Greedy merging as a recursion over the ordered pairs: s has a struct for each row that is left.
+TOLD = f"told AS (SELECT *, {TOKENS.format('description')} AS t FROM obligations)"
+MERGED = f"""
+pairs AS ({_duplicates(0.5)}),
+ordered AS (SELECT coalesce(list({{'i': i, 'j': j}} ORDER BY similarity DESC, i, j), []) AS ps FROM pairs),
+steps AS (
+  SELECT 0 AS k, (SELECT list({{'id': obligation_id, 'a': anchor_list, 'r': related, 'c': confidence, 'l': last_seen_passage_id, 'x': []::VARCHAR[]}}) FROM obligations) AS s
+  UNION ALL
+  SELECT k + 1, CASE WHEN a IS NULL OR b IS NULL THEN s ELSE list_concat(list_filter(s, lambda y: y.id <> a.id AND y.id <> b.id), [{{
+    'id': w.id, 'a': list_concat(w.a, list_filter(o.a, lambda y: NOT list_contains(w.a, y))), 'r': list_concat(w.r, list_filter(o.r, lambda y: NOT list_contains(w.r, y))),
+    'c': greatest(w.c, o.c), 'l': greatest(w.l, o.l), 'x': list_concat(w.x, [o.id], o.x)}}]) END
+  FROM (SELECT *, CASE WHEN len(a.a) >= len(b.a) THEN a ELSE b END AS w, CASE WHEN len(a.a) >= len(b.a) THEN b ELSE a END AS o
+    FROM (SELECT k, s, list_filter(s, lambda y: y.id = ps[k + 1].i)[1] AS a, list_filter(s, lambda y: y.id = ps[k + 1].j)[1] AS b FROM steps, ordered WHERE k < len(ps)))),
+survivors AS (SELECT unnest(s) AS u FROM (SELECT s FROM steps ORDER BY k DESC LIMIT 1))"""
+
 ORACLE_SQL: dict[str, str] = {
+    "scan_documents": "WITH " + corpus.sql() + " SELECT source_id, replace(raw_text, chr(13) || chr(10), chr(10)) AS raw_text, nullif(regexp_extract(source_id, '^(book[0-9]+)_', 1), '') AS book_label, regexp_replace(source_id, '^book[0-9]+_', '') AS chapter_label FROM corpus",
+    "folder_order_hint": "WITH " + corpus.sql() + " SELECT source_id, row_number() OVER (ORDER BY source_id) - 1 AS order_hint FROM corpus",
     "segment_paragraphs": on_documents("SELECT passage_id, source_id, paragraph_index, text FROM passages"),
     "passage_offsets": on_documents("SELECT passage_id, char_start, char_end FROM passages"),
     "entities_documents": on_documents("SELECT entity_id, canonical_name, entity_type, first_seen_passage, mention_count FROM found_entities", ASCII_PASSAGES, mentions_of("found_mentions", "letters"), entities_of("found_entities", "found_mentions", 2)),
@@ -232,6 +249,7 @@ ORACLE_SQL: dict[str, str] = {
     "entities": on_corpus("SELECT * FROM entities"),
     "entities_overridden": on_corpus("SELECT * FROM ruled", "heard AS (SELECT * FROM mentions WHERE canonical_name <> 'Far Isles')", entities_of("ruled", "heard", 2, "(SELECT 'Mira Vale' AS forced_name, 'entity_mira' AS forced_id)")),
     "alias_table": on_corpus("SELECT * FROM aliases"),
+    "override_assign": on_corpus("SELECT * FROM ruled WHERE entity_id = 'entity_gull' OR entity_type = 'vehicle'", entities_of("ruled", "mentions", 99, "(SELECT 'The Grey Gull' AS forced_name, 'entity_gull' AS forced_id)")),
     "entity_with_aliases": on_corpus("SELECT entity_id, canonical_name, coalesce((SELECT string_agg(DISTINCT alias_text, ';' ORDER BY alias_text) FROM aliases AS a WHERE a.entity_id = e.entity_id), '') AS aliases FROM entities AS e"),
     "entity_anchors": on_corpus("SELECT * FROM entity_anchors"),
     "link_entities": on_corpus("SELECT * FROM links"),
@@ -241,6 +259,9 @@ ORACLE_SQL: dict[str, str] = {
     "resolve_evidence": on_corpus("SELECT obligation_id, CAST(i - 1 AS INTEGER) AS position, anchor_id, passage_id, excerpt FROM (SELECT obligation_id, unnest(anchor_list) AS anchor_id, generate_subscripts(anchor_list, 1) AS i FROM obligations) JOIN anchors USING (anchor_id)"),
     "jaccard": on_corpus(f"SELECT i, j, round(({JACCARD})::DOUBLE, 6) AS jaccard FROM (SELECT a.obligation_id AS i, b.obligation_id AS j, a.t AS x, b.t AS y FROM told AS a JOIN told AS b ON a.obligation_id < b.obligation_id AND list_has_any(a.t, b.t))", f"told AS (SELECT obligation_id, {TOKENS.format('description')} AS t FROM obligations)"),
     "find_duplicates": on_corpus(_duplicates(0.5), f"told AS (SELECT *, {TOKENS.format('description')} AS t FROM obligations)"),
+    "similarity": on_corpus(_duplicates(0.3), TOLD),
+    "merge_obligations": on_corpus("SELECT u.id AS obligation_id, category, description, array_to_string(u.a, ';') AS evidence_anchor_ids, u.l AS last_seen_passage_id, u.c AS confidence, is_resolved, NULL::VARCHAR AS resolution_passage_id, array_to_string(u.r, ';') AS related_entity_ids, array_to_string(list_sort(u.x), ';') AS absorbed FROM survivors JOIN obligations ON obligation_id = u.id", TOLD, MERGED),
+    "dedupe_rate": on_corpus("SELECT b AS before, a AS after, round((b - a)::DOUBLE / b, 6) AS dedupe_rate FROM (SELECT (SELECT count(*) FROM obligations) AS b, (SELECT count(*) FROM survivors) AS a)", TOLD, MERGED),
     "passage_recency": on_corpus("SELECT passage_id, coalesce(list_filter(regexp_split_to_array(passage_id, '[_-]'), lambda p: regexp_matches(p, '^[+-]?[0-9]+$'))[-1]::BIGINT, 0) AS recency FROM (SELECT passage_id FROM passages UNION ALL VALUES ('b:9'), ('b:10'), ('passage-9'), ('passage-10'), ('a_7-x'))"),
     "obligations_by_category": on_corpus("SELECT category, count(*) AS n FROM obligations GROUP BY category"),
     "stats": on_corpus("SELECT count(*) AS total, count(*) FILTER (NOT is_resolved) AS open, (SELECT count(*) FROM entities) AS entities, count(*) FILTER (confidence > 0.8) AS high_confidence FROM obligations"),
@@ -261,6 +282,9 @@ ORACLE_SQL: dict[str, str] = {
     "missing_artifacts": finding("error", "missing_artifact", "'Missing artifact: ' || path", "path") + " FROM (VALUES ('canon/passages'), ('qa/findings')) AS v(path)",
     "event_class": on_corpus("SELECT passage_id, event_type FROM classed WHERE event_type IS NOT NULL"),
     "relationship_class": on_corpus("SELECT passage_id, relation_type FROM classed WHERE relation_type IS NOT NULL"),
+    "event_participants": on_corpus("SELECT passage_id, event_type, array_to_string(ids, ';') AS participant_entity_ids FROM classed JOIN who USING (passage_id) WHERE event_type IS NOT NULL"),
+    "event_location": on_corpus("SELECT passage_id, event_type, place AS location_entity_id FROM classed LEFT JOIN who USING (passage_id) WHERE event_type IS NOT NULL"),
+    "event_obligations": on_corpus("SELECT event_id, array_to_string(resolved, ';') AS obligation_ids FROM events WHERE len(resolved) > 0"),
     "events": on_corpus("SELECT event_id, event_type, title, array_to_string(participants, ';') AS participant_entity_ids, location_entity_id, array_to_string(resolved, ';') AS related_obligation_ids, array_to_string(anchor_list, ';') AS evidence_anchor_ids FROM events"),
     "relationships": on_corpus("SELECT relationship_id, relation_type, source_entity_id, target_entity_id, description, array_to_string(anchor_list, ';') AS evidence_anchor_ids FROM relationships"),
     "graph_nodes": on_corpus("SELECT * FROM nodes", NODES),

@@ -12,7 +12,7 @@ from loreweave.functions.lineage import cut
 from loreweave.functions.text import jaccard, recency, tokens
 from loreweave.operators import dedupe, entities, gates, graph, incremental, metrics, obligations, planning
 from loreweave.operators.segment import segment
-from loreweave.operators.wiki import event_class, relationship_class
+from loreweave.operators.wiki import event_class, event_obligations, participants, relationship_class
 from loreweave.plans import corpus
 from loreweave.plans.run import Config, tables
 from loreweave.sources import documents
@@ -158,6 +158,12 @@ def _(t, spark):
     return t["aliases"]
 
 
+@of_corpus("override_assign")
+def _(t, spark):
+    forced = spark.createDataFrame([("The Grey Gull", "entity_gull"), ("Nobody", "entity_none")], "canonical_name string, entity_id string")
+    return entities.entities(t["mentions"], 99, forced).where("entity_id = 'entity_gull' or entity_type = 'vehicle'")
+
+
 @of_corpus("entity_with_aliases")
 def _(t, spark):
     return entities.with_aliases(t["entities"], t["aliases"])
@@ -210,6 +216,18 @@ def _(t, spark):
     return dedupe.find_duplicates(t["obligations"], 0.5).select("i", "j", F.round("similarity", 6).alias("similarity"))
 
 
+@of_corpus("similarity")
+def _(t, spark):
+    """Similarity of pairs that can reach 0.3, the cost of a shared word and the bonuses."""
+    return dedupe.find_duplicates(t["obligations"], 0.3).select("i", "j", F.round("similarity", 6).alias("similarity"))
+
+
+@of_corpus("dedupe_rate")
+def _(t, spark):
+    rows = t["obligations"].drop("seq")
+    return dedupe.dedupe_rate(rows, dedupe.merge_obligations(rows, 0.5)).withColumn("dedupe_rate", F.round("dedupe_rate", 6))
+
+
 @of_corpus("passage_recency")
 def _(t, spark):
     extra = spark.createDataFrame([("b:9",), ("b:10",), ("passage-9",), ("passage-10",), ("a_7-x",)], "passage_id string")
@@ -307,6 +325,24 @@ def _(t, spark):
     return relationship_class(t["passages"]).select("passage_id", "relation_type")
 
 
+@of_corpus("event_participants")
+def _(t, spark):
+    found = event_class(t["passages"]).select("passage_id", "event_type").join(participants(t["links"]), "passage_id")
+    return found.select("passage_id", "event_type", F.array_join(F.transform("who", lambda w: w["entity_id"]), ";").alias("participant_entity_ids"))
+
+
+@of_corpus("event_location")
+def _(t, spark):
+    found = event_class(t["passages"]).select("passage_id", "event_type").join(participants(t["links"]), "passage_id", "left")
+    return found.select("passage_id", "event_type", F.col("place.entity_id").alias("location_entity_id"))
+
+
+@of_corpus("event_obligations")
+def _(t, spark):
+    found = event_obligations(t["events"].select("event_id", F.col("evidence_anchor_ids").alias("anchor_ids")), t["obligations"])
+    return _joined(found, "obligation_ids")
+
+
 @of_corpus("events")
 def _(t, spark):
     return _joined(t["events"].drop("story_time", "story_order", "description"), "participant_entity_ids", "related_obligation_ids", "evidence_anchor_ids")
@@ -415,6 +451,17 @@ def filename_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.filename_metadata(_paths(spark))
 
 
+@query
+def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus as files, read back with line ends made equal."""
+    return documents.scan_documents(spark, corpus.files(spark)).drop("source_path", "order_hint")
+
+
+@query
+def folder_order_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.scan_documents(spark, corpus.files(spark)).select("source_id", F.col("order_hint").cast("long").alias("order_hint"))
+
+
 @query
 def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.changed_files(_paths(spark), "/in")

@@ -169,3 +169,30 @@ def test_stream_of_changes(spark, tmp_path):
 def test_empty_input(spark):
     own = tables(spark.createDataFrame([], SCHEMA))
     assert all(own[k].count() == 0 for k in ("passages", "entities", "obligations", "events", "nodes", "edges", "findings"))
+
+
+def _greedy(rows: list[tuple], threshold: float) -> set[tuple]:
+    """Every pair scored by the rows as they came, then merged one after another."""
+    share = lambda a, b: len({*a} & {*b}) / len({*a, *b}) if a or b else 1.0
+    both = lambda a, b, w: w * share(a, b) if a and b else 0.0
+    pairs = []
+    for x in rows:
+        for y in rows:
+            if x[0] < y[0] and (s := min(1.0, share(x[1].split(), y[1].split()) + 0.1 + both(x[2], y[2], 0.1) + both(x[3], y[3], 0.05))) >= threshold:
+                pairs.append((-round(s, 12), x[0], y[0]))
+    left = {r[0]: (list(r[3]), []) for r in rows}
+    for _, i, j in sorted(pairs):
+        if i in left and j in left:
+            a, b = (i, j) if len(left[i][0]) >= len(left[j][0]) else (j, i)
+            other = left.pop(b)
+            left[a] = (left[a][0] + other[0], [*left[a][1], b, *other[1]])
+    return {(k, tuple(v[0]), tuple(sorted(v[1]))) for k, v in left.items()}
+
+
+def test_merging_is_the_greedy_one(spark):
+    rng = random.Random(11)
+    for trial in range(4):
+        rows = [(f"o{i:02d}", " ".join(rng.sample(["sea", "king", "oath", "gate", "dream", "crown"], 3)), sorted(rng.sample(["e1", "e2", "e3"], rng.randint(0, 2))), [f"a{i:02d}{k}" for k in range(rng.choice([1, 1, 2, 5]))]) for i in range(30)]
+        o = spark.createDataFrame([(i, "mystery", d, a, "p:1", 0.7, False, None, e) for i, d, e, a in rows], "obligation_id string, category string, description string, evidence_anchor_ids array<string>, last_seen_passage_id string, confidence double, is_resolved boolean, resolution_passage_id string, related_entity_ids array<string>")
+        got = {(r.obligation_id, tuple(r.evidence_anchor_ids), tuple(r.absorbed)) for r in dedupe.merge_obligations(o, 0.65).collect()}
+        assert got == _greedy(rows, 0.65), trial

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from math import ceil
+from math import ceil, floor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,41 +43,51 @@ def dice(a: Counter, b: Counter) -> float:
 
 
 class Templates:
-    """An index from bigram to the templates that have it and where, so that texts without any are passed over."""
+    """An index from bigram to the templates that have it, so that texts without any are passed over."""
 
     def __init__(self, templates: dict[str, str], threshold: float) -> None:
         self.threshold = threshold
         self.words = {k: normalised(v) for k, v in sorted(templates.items())}
         self.grams = {k: Counter(zip(w, w[1:])) for k, w in self.words.items()}
-        self.at: dict[tuple[str, str], list[tuple[str, int]]] = defaultdict(list)
-        for k, w in self.words.items():
-            for i, gram in enumerate(zip(w, w[1:])):
-                self.at[gram].append((k, i))
+        self.at: dict[tuple[str, str], list[str]] = defaultdict(list)
+        for k, own in self.grams.items():
+            for gram in own:
+                self.at[gram].append(k)
 
     def found(self, words: list[str]) -> list[tuple[str, float, int, int]]:
         """(template, Dice, first word, end word) of the best window of each template that reaches the threshold, best first.
 
-        A window has as many words as its template. By the size bound, one with Dice t shares at least t / (2 - t) of the
-        template's bigrams; templates with fewer in the whole text are pruned.
+        By the size bound, a window with Dice t has t / (2 - t) to (2 - t) / t times the template's bigrams and shares at
+        least t / (2 - t) of them. The best begins and ends with a bigram of the template, as others only add to its size.
         """
-        hits: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        hits: dict[str, list[int]] = defaultdict(list)
         at = self.at
         for i, gram in enumerate(zip(words, words[1:])):
             if gram in at:
-                for k, place in at[gram]:
-                    hits[k].append((i, place))
+                for k in at[gram]:
+                    hits[k].append(i)
         out = []
         for k, own in hits.items():
-            size = len(self.words[k])
-            need = ceil(self.threshold / (2 - self.threshold) * self.grams[k].total() - 1e-9)
-            if len({i for i, _ in own}) < need:
-                continue
+            grams = self.grams[k]
+            size = grams.total()
+            need = ceil(self.threshold / (2 - self.threshold) * size - 1e-9)
+            most = floor((2 - self.threshold) / self.threshold * size + 1e-9)
             best = (0.0, 0, 0)
-            for start in sorted({max(0, i - place) for i, place in own}):
-                window = words[start : start + size]
-                score = dice(Counter(zip(window, window[1:])), self.grams[k])
-                if score > best[0] + 1e-12:
-                    best = (score, start, start + len(window))
+            for x in range(len(own) - need + 1):
+                start = own[x]
+                if own[x + need - 1] - start >= most:
+                    continue
+                left, shared = dict(grams), 0
+                for i in own[x : x + most]:
+                    if i - start >= most:
+                        break
+                    gram = (words[i], words[i + 1])
+                    if left[gram]:
+                        left[gram] -= 1
+                        shared += 1
+                        score = 2 * shared / (i - start + 1 + size)
+                        if score > best[0] + 1e-12:
+                            best = (score, start, i + 2)
             if best[0] >= self.threshold:
                 out.append((k, *best))
         return sorted(out, key=lambda x: (-x[1], x[0]))
@@ -86,8 +96,8 @@ class Templates:
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, license (best template or null), dice, and matches (license, dice, first_word, end_word; best first): a row per row of docs.
 
-    Words are letters and digits, lower-cased; a window as long as a template is compared with it by the Dice
-    coefficient of their word bigrams, repeats included. Ties go to the template first by name and its first window.
+    Words are letters and digits, lower-cased; windows of every length that can reach the threshold are compared with a
+    template by the Dice coefficient of their word bigrams, repeats included. Ties go to the template first by name and its first window.
     Null and empty texts match nothing; equal rows match alike; an empty table gives no rows; other columns play no part.
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))

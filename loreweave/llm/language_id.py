@@ -110,20 +110,25 @@ class Parser:
 
 
 def learn(labelled: DataFrame, chars: int = TRAIN_CHARS, docs: int = TRAIN_DOCS, text: str = "text", lang: str = "lang") -> dict[str, str]:
-    """A sample of text per language: chars characters at most, of docs documents or about so many, chosen by their hash."""
-    d = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
+    """A sample of text per language: chars characters at most, in equal shares from docs distinct texts with letters (or
+    all, where there are fewer) whose hashes are the least of those that pass a rate."""
+    d = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    d = d.withColumn("h", F.xxhash64("text"))
+    n = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count_distinct("h").alias("n")).collect()}  # a row per language
     if not n:
         return {}
-    rate = F.create_map(*[x for k, v in n.items() for x in (F.lit(k), F.lit(min(1.0, docs / v)))])
-    picked = d.withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(1 << 20)) < rate[F.col("lang")] * (1 << 20))
-    per_doc = max(64, 4 * chars // docs)
-    # of each chosen text a slice from anywhere in it is enough; what reaches the driver is bounded by languages, docs and per_doc
-    begin = F.pmod(F.shiftright("h", 20), F.greatest(F.lit(1), F.length("text") - per_doc + 1)) + 1
-    rows = picked.select("lang", "h", F.substring("text", begin.cast("int"), F.lit(per_doc)).alias("text")).distinct().groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "text"))), 1, 2 * docs).alias("rows")).collect()
+    rate = F.create_map(*[x for k, v in n.items() for x in (F.lit(k), F.lit(min(1.0, 2 * docs / v)))])
+    picked = d.where(F.pmod("h", F.lit(1 << 40)) < rate[F.col("lang")] * (1 << 40))  # twice as many as are wanted, so that too few are improbable
+    size = F.create_map(*[x for k, v in n.items() for x in (F.lit(k), F.lit(2 * chars // min(docs, v) + 1))])
+    per_doc = size[F.col("lang")]
+    # of each chosen text a slice from anywhere in it is enough; what reaches the driver is bounded by languages and chars
+    begin = F.pmod(F.xxhash64("h"), F.greatest(F.lit(1), F.length("text") - per_doc + 1)) + 1
+    rows = picked.select("lang", "h", F.substring("text", begin.cast("int"), per_doc).alias("text")).distinct().groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "text"))), 1, docs).alias("rows")).collect()
     out = {}
     for r in rows:
-        whole = " ".join(x for x in (folded(y["text"]) for y in r["rows"]) if x)[:chars]
+        told = [x for x in (folded(y["text"]) for y in r["rows"]) if x]
+        share = max(1, chars // len(told) - 1) if told else 0  # and a space
+        whole = " ".join(x[:share].rstrip() for x in told)[:chars]
         if whole:
             out[r["lang"]] = whole
     return out

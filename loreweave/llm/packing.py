@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 
 from loreweave.llm.tokens import encoder
 
-#: Documents of a group, about.
-GROUP = 1024
+#: Bytes of text of a group, about, and what a document counts besides its text: a group's ids are packed in one task.
+GROUP, EACH = 4_000_000, 64
 #: A gap of fewer tokens stays padding; larger ones are filled by cutting pieces of the emptiest sequences.
 LEAST_CUT = 16
 
@@ -77,25 +77,27 @@ def pack(sizes: list[int], capacity: int, least_cut: int = LEAST_CUT) -> list[li
     return whole + [b for b in bins if b]
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", group: int = GROUP, seed: int = 0, with_ids: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", group: int = GROUP, seed: int = 0, with_ids: bool = True, special_as_text: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, with_ids, ids (little-endian unsigned 32-bit):
     a row per piece; each id of each document, end_id after its last included, lies in one piece of one sequence.
 
-    Groups are random, so that no key or source fills one; a document is in one group. Null and empty texts have the
-    end id alone. Repeated rows are packed each. An empty table gives no rows. Sequence ids are the same for the same
+    Groups of about group bytes of text are random, so that no key or source fills one; a document is in one group, which
+    a longer document fills alone or nearly. Null and empty texts have the end id alone. Strings of the vocabulary's
+    special tokens become these tokens, as the library has it, unless special_as_text. Repeated rows are packed each. An empty table gives no rows. Sequence ids are the same for the same
     input files and partitions.
     """
-    groups = max(1, round(docs.count() / group))
+    held = docs.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + EACH), F.lit(0))).collect()[0][0]
+    groups = max(1, round(held / group))
     d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     id_field = T.StructField("doc_id", d.schema["doc_id"].dataType)
     tokens = T.StructType([T.StructField("grp", T.LongType()), T.StructField("place", T.LongType()), id_field, T.StructField("width", T.IntegerType()), T.StructField("ids", T.BinaryType())])
 
     def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, row = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        end = encode._packed([end_id])
+        encode, part, row = encoder(tokenizer, special_as_text), TaskContext.get().partitionId(), 0
+        end = encode.packed([end_id])
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
                 ids = [x + end for x in encode.encode(batch.column("text").to_pylist())]
                 place = [part << 40 | row + i for i in range(len(ids))]
                 row += len(ids)

@@ -22,6 +22,24 @@ def _widths(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, np.floor(np.log2(np.maximum(x, 1).astype(np.float64))).astype(np.int64) + 1, 0)
 
 
+def _packed(rows: np.ndarray, w: int) -> np.ndarray:
+    """The low w bits of each number, most significant first, rows of whole bytes."""
+    if w in (8, 16, 32):
+        return np.ascontiguousarray(rows.astype(f">u{w // 8}")).view(np.uint8)
+    kind, bits = _wide(w)
+    some = np.unpackbits(rows.astype(kind).view(np.uint8).reshape(rows.size, bits // 8), axis=1)[:, bits - w :]
+    return np.packbits(some.reshape(len(rows), rows.shape[1] * w), axis=1)
+
+
+def _unpacked(taken: np.ndarray, w: int, block: int) -> np.ndarray:
+    if w in (8, 16, 32):
+        return taken.view(f">u{w // 8}")
+    kind, bits = _wide(w)
+    some = np.zeros((len(taken) * block, bits), np.uint8)
+    some[:, bits - w :] = np.unpackbits(taken, axis=1)[:, : block * w].reshape(len(taken) * block, w)
+    return np.packbits(some, axis=1).view(kind).reshape(len(taken), block)
+
+
 def _wide(w: int) -> tuple[str, int]:
     return (">u2", 16) if w <= 16 else (">u4", 32)
 
@@ -49,9 +67,7 @@ def encode(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE)
     for w in np.unique(width):
         if w:
             of = np.flatnonzero(width == w)
-            kind, bits = _wide(w)
-            some = np.unpackbits(rest[of].astype(kind).view(np.uint8).reshape(len(of) * block, bits // 8), axis=1)[:, bits - w :]
-            packed = np.packbits(some.reshape(len(of), block * w), axis=1)
+            packed = _packed(rest[of], int(w))
             body[starts[of][:, None] + np.arange(packed.shape[1])] = packed
     exceptions = np.zeros(blocks + 1, np.int64)
     np.cumsum(np.bincount(row, minlength=blocks), out=exceptions[1:])
@@ -84,11 +100,8 @@ def decode_range(payload: bytes, first: int, last: int) -> np.ndarray:
     for w in np.unique(width[lo:hi]):
         if w:
             of = np.flatnonzero(width[lo:hi] == w)
-            kind, bits = _wide(w)
             taken = body[starts[lo:hi][of].astype(np.int64)[:, None] + np.arange(-(-block * int(w) // 8))]
-            some = np.zeros((len(of) * block, bits), np.uint8)
-            some[:, bits - w :] = np.unpackbits(taken, axis=1)[:, : block * int(w)].reshape(len(of) * block, w)
-            out[of] = np.packbits(some, axis=1).view(kind).reshape(len(of), block)
+            out[of] = _unpacked(taken, int(w), block)
     own = slice(int(exceptions[lo]), int(exceptions[hi]))
     row = np.repeat(np.arange(hi - lo), np.diff(exceptions[lo : hi + 1].astype(np.int64)))
     out[row, place[own]] = values[own]

@@ -16,13 +16,15 @@ from loreweave.llm import pfor
 from loreweave.llm.common import parts
 from loreweave.llm.tokens import encoder
 
-#: Ids of a segment, at which the next documents start a new one; documents encoded at a time.
-SEGMENT_IDS, BATCH = 1 << 19, 64
+#: Ids of a segment, at which the next document starts a new one; documents encoded at a time.
+SEGMENT_IDS, BATCH = 1 << 19, 2048
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text", shards: int | None = None) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text", shards: int | None = None, special_as_text: bool = False) -> None:
     """Writes the ids of every whole text, each followed by end_id, in ascending doc_id order.
 
+    Strings of the vocabulary's special tokens become these tokens, as the library has it, unless special_as_text.
+
     The folder holds a Parquet file per shard: a row per segment with shard, segment, first (ids of this shard before
     it), doc_ids, lengths and payload (see pfor). Shards are ranges of doc_id, ascending by number. Spark's committer
     writes them, so a lost or repeated task leaves one copy, and any store that Spark reaches will do. Null and empty
@@ -37,16 +39,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, do
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, segment, first = TaskContext.get().partitionId(), 0, 0
-        encode = encoder(tokenizer)
-        end = encode._packed([end_id])
-        ids: list = []
+        encode = encoder(tokenizer, special_as_text)
+        end = encode.packed([end_id])
+        ids: list[pa.Array] = []
         runs: list[bytes] = []
         size = 0
 
         def closed() -> pa.RecordBatch:
             lengths = [len(x) // encode.width for x in runs]
-            held = pa.concat_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in ids])
-            payload = pfor.encode(np.frombuffer(b"".join(runs), f"<u{encode.width}"))
+            held = pa.concat_arrays(ids)
+            payload = pfor.encode(np.frombuffer(b"".join(runs), encode.kind))
             kinds = (pa.int32(), pa.int32(), pa.int64(), None, pa.list_(pa.int64()), pa.binary())
             ids_array = pa.ListArray.from_arrays([0, len(held)], held)
             values = ([shard], [segment], [first], ids_array, [lengths], [payload])
@@ -55,13 +57,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, do
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(at, BATCH)
-                own = [x + end for x in encode.encode(batch.column("text").to_pylist())]
-                ids.append(batch.column("doc_id"))
-                runs += own
-                size += sum(map(len, own)) // encode.width
-                if size >= SEGMENT_IDS:
-                    yield closed()
-                    segment, first, size, ids, runs = segment + 1, first + size, 0, [], []
+                own, begun = encode.encode(batch.column("text").to_pylist()), 0
+                for i, x in enumerate(own):
+                    runs.append(x + end)
+                    size += len(x) // encode.width + 1
+                    if size >= SEGMENT_IDS:
+                        ids.append(batch.column("doc_id").slice(begun, i + 1 - begun))
+                        yield closed()
+                        segment, first, size, ids, runs, begun = segment + 1, first + size, 0, [], [], i + 1
+                ids.append(batch.column("doc_id").slice(begun))
         if runs:
             yield closed()
 

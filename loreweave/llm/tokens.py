@@ -1,110 +1,128 @@
-"""Token ids by the tokenizers library, with each distinct piece of text encoded once in a worker."""
+"""Token ids by the tokenizers library, with each distinct word encoded once while a worker remembers it."""
 
 from __future__ import annotations
 
-import array
 import json
 import os
 import re
-import sys
+from collections.abc import Iterator
 from functools import lru_cache
 
-#: Pieces that a worker remembers; past that it starts anew.
-CACHED = 700_000
-#: A piece is white space and what follows up to the next. Cut before ASCII white space that follows something else, a
-#: text falls into parts that byte-level BPE encodes alike alone and together.
-_PIECES = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
-#: White space or separators beyond ASCII, where that need not hold: such texts are encoded whole.
-_ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-_BEFORE_SPACE = re.compile(r"[\t\n\r\f\v] ")
-_WORD = re.compile(r" ?[^\W\d_]+")
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+#: Words that a worker remembers, past which it starts anew, and characters of text that are looked up together.
+CACHED, CHARS = 1_000_000, 8_000_000
+#: White space or separators beyond ASCII, where words need not be encoded alike alone and together.
+_ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Where one of these is, or a blank is first or last, a space or line end need not stand alone between words: the same.
+_RUNS = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\f", "\v", "\x1c", "\x1d", "\x1e", "\x1f")
 
-def _byte_chars() -> dict[int, str]:
-    """The printable character that byte-level BPE writes for each byte: itself where printable, else the next from U+0100 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
-
-class _Spaced(dict):
-    """Ids of words behind a single space, by the word."""
-
-    def __init__(self, pieces: PieceEncoder) -> None:
-        super().__init__()
-        self.pieces = pieces
-
-    def __missing__(self, word: str) -> bytes:
-        out = self[word] = self.pieces.ids_of(f" {word}")
-        return out
-
-
-class PieceEncoder(dict):
+class WordEncoder:
     """encode() gives the ids of texts as little-endian unsigned integers of self.width bytes.
 
-    Strings of special tokens in a text are ordinary text. The dict holds the ids of pieces met so far.
+    The ids are those of Tokenizer.encode(text, add_special_tokens=False). Byte-level BPE parts a text before each single
+    space, and around each single line end, so that words are encoded alike alone and together; texts where that need not
+    hold, other kinds of tokenizers and texts with the string of an added token go to the library whole.
+    special_as_text: strings of special tokens are ordinary text.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special_as_text: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.code = {2: "H", 4: "I"}[self.width]
-        self.pieces = spec["model"]["type"] == "BPE" and not spec.get("normalizer") and not spec["model"].get("dropout") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-        self.model = self.tokenizer.model
-        if self.pieces:
-            self.model._resize_cache(0)  # each piece comes here once
-        self.spaced = _Spaced(self)
-        self.chars = str.maketrans({chr(b): c for b, c in _byte_chars().items()})
-
-    def _packed(self, ids: list[int]) -> bytes:
-        out = array.array(self.code, ids)
-        if sys.byteorder == "big":
-            out.byteswap()
-        return out.tobytes()
-
-    def __missing__(self, piece: str) -> bytes:
-        out = self[piece] = self.ids_of(piece)
-        return out
-
-    def ids_of(self, piece: str) -> bytes:
-        word = _WORD.match(piece)
-        if word and word[0].removeprefix(" ").isalpha():
-            if len(word[0]) == len(piece):  # a run of letters is one unit of the pre-tokenizer
-                out = self._packed([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.chars))])
-            else:  # a run of letters ends one
-                head = self.spaced[word[0][1:]] if word[0][0] == " " else self[word[0]]
-                out = head + self[piece[len(word[0]) :]]
-        elif len(piece) > 1 and piece[0] == "\n" and piece[1] not in " \t\n\r\f\v":
-            out = self["\n"] + self[piece[1:]]
-        else:
-            out = self._packed(self.tokenizer.encode(piece, add_special_tokens=False).ids)
-        return out
+        vocab = self.tokenizer.get_vocab()
+        self.kind = np.dtype("<u2" if max(vocab.values(), default=0) < 1 << 16 else "<u4")
+        self.width = self.kind.itemsize
+        self.by_words = spec["model"]["type"] == "BPE" and not spec.get("normalizer") and not spec["model"].get("dropout") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        self.added = tuple(t["content"] for t in spec.get("added_tokens", ()) if t["content"])
+        if self.by_words and hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # each word comes here once; only speed depends on it
+        self.begins = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.begins[[i for t, i in vocab.items() if t[:1] in ("Ġ", "Ċ")]] = True  # ids that start with a space or line end
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids, self.ends, self.used = np.zeros(1 << 16, self.kind), np.zeros(1, np.int64), 0
+
+    def packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+
+    def _learn(self, words: list[str]) -> None:
+        """Encodes words in one call; one that starts with a line end has that in front of it, any other a space. Each
+        begins with an id that starts so, and no other id does."""
+        behind = [w if w[0] == "\n" else f" {w}" for w in words]
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(behind)], add_special_tokens=False)[0].ids, self.kind)
+        at = np.flatnonzero(self.begins[ids])
+        if len(at) != len(words):
+            each = [self._whole(x) for x in behind]
+            ids, at = np.concatenate(each), np.r_[0, np.cumsum([len(x) for x in each])[:-1]]
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.ends = np.concatenate([self.ends, np.r_[at[1:], len(ids)] + self.used])
+        self.used += len(ids)
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words))))
+
+    def _fits(self, text: str) -> bool:
+        """Whether words of the text are encoded alike alone and together."""
+        if not text or not self.by_words or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _RUNS) or any(x in text for x in self.added):
+            return False
+        return text.isascii() or not _ODD.search(text)
+
+    def _by_words(self, texts: list[str]) -> list[np.ndarray]:
+        split = pc.split_pattern(pa.array(["\n" + x.replace("\n", " \n") for x in texts], pa.string()), " ")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if len(self.place) + len(words) > CACHED:
+            self._forget()
+        if new := [w for w in words if w not in self.place]:
+            self._learn(new)
+        place = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
+        begin = self.ends[place]
+        size = self.ends[place + 1] - begin
+        upto = np.cumsum(size)
+        ids = self.ids[np.repeat(begin - upto + size, size) + np.arange(upto[-1])]
+        cut = np.r_[0, upto][split.offsets.to_numpy()]
+        line_end = len(self._whole("\n"))  # that was put in front of each text
+        return [ids[i + line_end : j] for i, j in zip(cut, cut[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            if not self.pieces or not text.isascii() and _ODD.search(text) or text.isascii() and any(c in text for c in "\x1c\x1d\x1e\x1f"):
-                out.append(self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids))
-                continue
-            words = text.split(" ")
-            if all(words) and not _BEFORE_SPACE.search(text):  # every space stands alone behind a word, so pieces are cut there
-                out.append(self[words[0]] + b"".join(map(self.spaced.__getitem__, words[1:])))
-            else:
-                out.append(b"".join(map(self.__getitem__, _PIECES.findall(text))))
-            if len(self) + len(self.spaced) > CACHED:
-                self.clear()
-                self.spaced.clear()
+        out: list[bytes] = [b""] * len(texts)
+        for some in _portions(texts):
+            fit = [i for i in some if self._fits(texts[i])]
+            for i in set(some).difference(fit):
+                out[i] = self._whole(texts[i]).tobytes()
+            if fit:
+                for i, ids in zip(fit, self._by_words([texts[i] for i in fit])):
+                    out[i] = ids.tobytes()
         return out
 
 
+def _portions(texts: list[str]) -> Iterator[list[int]]:
+    """Places of texts, in portions of about CHARS characters."""
+    some, size = [], 0
+    for i, x in enumerate(texts):
+        some.append(i)
+        size += len(x)
+        if size >= CHARS:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 @lru_cache(maxsize=2)
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, special_as_text: bool = False) -> WordEncoder:
     """One for each worker and vocabulary file."""
-    return PieceEncoder(path)
+    return WordEncoder(path, special_as_text)

@@ -14,7 +14,9 @@ import xxhash
 from pyspark.sql import functions as F
 
 from loreweave.llm import components, decontaminate, language_id, license_scan, line_dedup, packing, pfor, pii, quality, secret_scan, simhash, token_files
-from loreweave.llm.tokens import PieceEncoder
+from loreweave.llm import tokens
+from loreweave.llm.tokens import WordEncoder
+from tokenizers import Tokenizer
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -62,8 +64,22 @@ def _by_id(rows):
 # 1
 
 
-def test_pieces_are_encoded_as_the_library_does():
-    e = PieceEncoder(PATH)
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_words_are_encoded_as_the_library_does(special_as_text, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHED", 150)
+    e, plain = WordEncoder(PATH, special_as_text), Tokenizer.from_file(PATH)
+    plain.encode_special_tokens = special_as_text
+    rng = random.Random(1)
+    signs = [*"aéZ'st12.,;-_<|>漢ñſ³ª😀$Ġ", "'ll", "don't", "the", "\n", "<|endoftext|>"]
+    for _ in range(100):
+        many = [" ".join("".join(rng.choices(signs, k=rng.randint(1, 6))) for _ in range(rng.randint(0, 12))) for _ in range(20)]
+        for text, ids in zip(many, e.encode(many)):
+            assert np.frombuffer(ids, "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_any_text_is_encoded_as_the_library_does():
+    e = WordEncoder(PATH)
+    assert np.frombuffer(e.encode(["a <|endoftext|> b"])[0], "<u2").tolist() == Tokenizer.from_file(PATH).encode("a <|endoftext|> b", add_special_tokens=False).ids
     rng = random.Random(1)
     letters = [*"aéZ'st 123  \n\t\r.,;-_<|> 　\x1c\x85漢字ñſ😀", "'ll", "<|endoftext|>", " \n", "³", "ª"]
     for _ in range(3000):
@@ -85,7 +101,7 @@ def test_blocks_round_trip(n):
 
 
 def test_token_files(spark, docs, texts, empty, tmp_path):
-    e = PieceEncoder(PATH)
+    e = WordEncoder(PATH)
     rows = sorted([(r.doc_id, r.text or "") for r in docs.collect()], key=lambda r: (r[0] is not None, r[0] or 0))
     token_files.write_tokens(docs, str(tmp_path / "t"), PATH, shards=3)
     got = sorted(token_files.read_tokens(spark, str(tmp_path / "t"), with_ids=True).collect(), key=lambda r: r.start)
@@ -328,10 +344,20 @@ def test_first_fit_decreasing_takes_the_first_bin():
 
 
 def test_packed_documents(docs, empty):
-    e = PieceEncoder(PATH)
-    rows = packing.pack_documents(docs, PATH, capacity=64, group=8).collect()
-    want = sorted((r.doc_id if r.doc_id is not None else -1, len(e.tokenizer.encode(r.text or "", add_special_tokens=False).ids) + 1) for r in docs.collect())
-    assert sum(r.length for r in rows) == sum(n for _, n in want)
+    plain = Tokenizer.from_file(PATH)
+    rows = packing.pack_documents(docs, PATH, capacity=64, group=600).collect()
+    want = sorted((r.doc_id if r.doc_id is not None else -1, (*plain.encode(r.text or "", add_special_tokens=False).ids, 1)) for r in docs.collect())
+    pieces: dict[tuple, dict[int, list]] = {}
+    for r in rows:
+        pieces.setdefault((r.doc_id if r.doc_id is not None else -1, r.doc_tokens), {}).setdefault(r.start, []).append(np.frombuffer(r.ids, "<u4").tolist())
+        assert len(r.ids) == 4 * r.length
+    told = [(d, x) for d, x in want if sum(y == d for y, _ in want) == 1]  # documents whose id is theirs alone
+    for d, ids in told:
+        own = pieces[d, len(ids)]
+        assert all(len(v) == 1 for v in own.values()) and [t for k in sorted(own) for t in own[k][0]] == list(ids)
+        assert all(k == sum(len(own[j][0]) for j in own if j < k) for k in own)
+    assert len(told) > 5 and len({r.sequence_id >> 32 for r in rows}) > 1
+    assert sorted(t for _, x in want for t in x) == sorted(t for r in rows for t in np.frombuffer(r.ids, "<u4").tolist())
     by = {}
     for r in rows:
         assert r.ids_crc32 == zlib.crc32(r.ids) and len(r.ids) == 4 * r.length

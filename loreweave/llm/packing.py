@@ -96,8 +96,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
         encode, part, row = encoder(tokenizer, special_as_text), TaskContext.get().partitionId(), 0
         end = encode.packed([end_id])
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
                 ids = [x + end for x in encode.encode(batch.column("text").to_pylist())]
                 place = [part << 40 | row + i for i in range(len(ids))]
                 row += len(ids)

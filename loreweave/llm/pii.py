@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreweave.llm.common import power_of_two, written
-from loreweave.llm.ngrams import blank_split
+from loreweave.llm.common import dropped, power_of_two, written
+from loreweave.llm.ngrams import with_window_hashes
 
 #: Kinds in their order, and a Java pattern for each. Possessive loops and look-behinds leave the matches as
 #: they are and keep long runs linear and off the stack.
@@ -19,11 +19,15 @@ PATTERNS = {
 }
 #: A text without this has no match of the kind.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-#: Characters of a string that can be an identifier, once the punctuation around it is gone.
-_AROUND = r"^[\"'(\[<{]+|[\"')\]>}.,;:!?]+$"
-_IDENTIFIER = r"^(?=.*[0-9])[A-Za-z0-9@._+()/#-]{6,64}$"
+#: A string that can be an identifier: what blanks part, where a digit or @ is near its start, with the groups of digits
+#: that follow behind single blanks. Once the punctuation around it is gone it has SIZES characters, and three digits or an @.
+CANDIDATE = r"(?<![A-Za-z0-9@._+()/#:-])(?=[A-Za-z._+(/#:-]{0,63}[0-9@])[A-Za-z0-9@._+()/#:-]++(?:\x20[0-9(][0-9@._+()/#:-]*+(?![A-Za-z]))*+"
+SIZES = (6, 64)
+_AROUND = r"^[._/#:)-]+|[._+(/#:-]+$"
+#: Characters before and behind a place in which its context words, runs of letters, are sought.
+NEAR = 80
 _BLOCK = 256
-#: The bit table of contexts that is sent to every task has so many bits at most.
+#: The bit table of contexts that is sent to every task has so many bits at most; fuller, it only prunes less.
 MOST_BITS = 1 << 22
 
 
@@ -44,12 +48,11 @@ def _ahead(size: str, i: Column) -> Column:
     return F.get("before", b) + _sum(F.slice(size, b * _BLOCK + 1, i % _BLOCK))
 
 
-def _with_spans(d: DataFrame, kind: str) -> DataFrame:
+def _with_spans(d: DataFrame, kind: str, pattern: str, maybe: Column) -> DataFrame:
     """Adds the kind's (kind, start, end, match) in order of start, told from the lengths of the gaps between matches."""
-    maybe = F.contains("text", F.lit(NEEDS[kind])) if kind == "email" else F.col("text").rlike(NEEDS[kind])
     none = F.array().cast("array<string>")
-    d = d.withColumn("m", F.when(maybe, F.regexp_extract_all("text", F.lit(PATTERNS[kind]), F.lit(0))).otherwise(none))
-    d = d.withColumn("gap", F.when(F.size("m") > 0, F.split("text", PATTERNS[kind], -1)).otherwise(none))
+    d = d.withColumn("m", F.when(maybe, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(none))
+    d = d.withColumn("gap", F.when(F.size("m") > 0, F.split("text", pattern, -1)).otherwise(none))
     d = d.withColumn("size", F.zip_with(F.slice("gap", 1, F.size("m")), "m", lambda g, m: F.length(g) + F.length(m)))
     d = _with_sums(d, "size")
 
@@ -83,121 +86,146 @@ def base_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     """doc_id, text (null as empty) and an array of (kind, start, end, match) for each kind."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     for kind in KINDS:
-        d = _with_spans(d, kind)
+        maybe = F.contains("text", F.lit(NEEDS[kind])) if kind == "email" else F.col("text").rlike(NEEDS[kind])
+        d = _with_spans(d, kind, PATTERNS[kind], maybe)
     return d
 
 
-def _token(x: Column) -> Column:
-    return F.regexp_replace(x, _AROUND, "")
+def _words(text: Column) -> Column:
+    """Lower-cased runs of letters."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
 
 
-def _contexts(before: Column) -> Column:
-    """The last word before a place, and the last two, lower-cased: the lexical patterns that a place fits."""
-    words = F.filter(F.slice(F.split(F.lower(before), r"[\x20\x09-\x0D]+"), -3, 3), lambda w: w != "")
-    n = F.size(words)
-    return F.filter(F.array(F.get(words, n - 1), F.when(n > 1, F.concat_ws(" ", F.get(words, n - 2), F.get(words, n - 1)))), lambda c: c.isNotNull())
+def _contexts(text: Column, start: Column, end: Column) -> Column:
+    """The lexical patterns of a place: side, and the word or two words next to it on that side."""
+    before = _words(F.substring(text, F.greatest(F.lit(1), start - (NEAR - 1)), F.least(start, F.lit(NEAR))))
+    behind = _words(F.substring(text, end + 1, F.lit(NEAR)))
+    n = F.size(before)
+    pair = lambda side, a, b: F.concat_ws(" ", F.lit(side), a, b)
+    each = [F.when(n > 0, pair("<", F.get(before, n - 1), F.lit(None))), F.when(n > 1, pair("<", F.get(before, n - 2), F.get(before, n - 1)))]
+    each += [F.when(F.size(behind) > 0, pair(">", F.get(behind, F.lit(0)), F.lit(None))), F.when(F.size(behind) > 1, pair(">", F.get(behind, F.lit(0)), F.get(behind, F.lit(1))))]
+    return F.filter(F.array(*each), lambda c: c.isNotNull())
 
 
-def _occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Every place in the corpus behind one of the contexts: doc_id, mark, context, and for identifier-like strings token and start."""
-    hashes = patterns.select(F.xxhash64("context").alias("h"))
-    bits = min(MOST_BITS, max(64, power_of_two(16 * hashes.count())))
-    rows = hashes.select(F.col("h").bitwiseAND(F.lit(bits - 1)).alias("b")).groupBy(F.shiftright("b", 6).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v")).collect()
+def _places(d: DataFrame) -> DataFrame:
+    """Adds places (kind, token, start, end, contexts): the base spans, and strings that can be identifiers and overlap none, whose kind is null."""
+    d = _with_spans(d, "candidate", CANDIDATE, F.col("text").rlike("[0-9@]"))
+
+    def trimmed(c: Column) -> Column:
+        token = F.regexp_replace(c["match"], _AROUND, "")
+        start = c["start"] + F.length(F.regexp_extract(c["match"], r"^[._/#:)-]*", 0))
+        return F.struct(F.lit(None).cast("string").alias("kind"), token.alias("token"), start.alias("start"), (start + F.length(token)).alias("end"))
+
+    def fits(c: Column) -> Column:
+        free = ~F.exists("spans", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+        return F.length(c["token"]).between(*SIZES) & c["token"].rlike(r"@|[0-9][^0-9]*[0-9][^0-9]*[0-9]") & free
+
+    base = F.transform("spans", lambda b: F.struct(b["kind"].alias("kind"), b["match"].alias("token"), b["start"].alias("start"), b["end"].alias("end")))
+    both = F.concat(base, F.filter(F.transform("candidate", trimmed), fits))
+    placed = F.transform(both, lambda p: F.struct(p["kind"].alias("kind"), p["token"].alias("token"), p["start"].alias("start"), p["end"].alias("end"), _contexts(F.col("text"), p["start"], p["end"]).alias("contexts")))
+    return d.withColumn("places", placed).drop("candidate")
+
+
+def _frequencies(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """context, total: how often the words of each pattern stand in the corpus, whatever is next to them."""
+    own = patterns.select("context", F.split("context", " ").alias("w")).select("context", F.when(F.size("w") == 2, F.xxhash64(F.col("w")[1])).otherwise(F.xxhash64(F.xxhash64(F.col("w")[1]), F.xxhash64(F.col("w")[2]))).alias("h"))
+    own = written(own, "pattern-hashes")
+    bits = min(MOST_BITS, max(64, power_of_two(16 * own.count())))
+    rows = own.select(F.col("h").bitwiseAND(F.lit(bits - 1)).alias("b")).groupBy(F.shiftright("b", 6).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v")).collect()
     longs = [0] * (bits // 64)
     for r in rows:
         longs[r["at"]] = r["v"]
     table = F.split(F.lit(",".join(map(str, longs))), ",").cast("array<bigint>")
 
-    def known(context: Column) -> Column:
-        h = F.xxhash64(context)
+    def known(h: Column) -> Column:
         return F.call_function("shiftright", F.get(table, F.shiftright(h.bitwiseAND(F.lit(bits - 1)), 6).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
-    d = docs.withColumn("words", blank_split(F.col("text"))).withColumn("low", F.transform("words", lambda w: F.lower(w)))
-
-    def place(w: Column, i: Column) -> Column:
-        one, two = F.get("low", i - 1), F.concat_ws(" ", F.get("low", i - 2), F.get("low", i - 1))
-        return F.struct(F.when(known(one), one).alias("one"), F.when((i > 1) & known(two), two).alias("two"), i.alias("i"), w.alias("w"))
-
-    found = F.filter(F.transform("words", lambda w, i: F.when(i > 0, place(w, i))), lambda x: x["one"].isNotNull() | x["two"].isNotNull())
-    d = d.withColumn("found", found)
-    # a place's start is the length of all pieces, of blanks and a word, before it and the blanks of its own
-    d = d.withColumn("pieces", F.when(F.size("found") > 0, F.transform(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), lambda x: F.length(x))))
-    d = _with_sums(d, "pieces")
-
-    def told(f: Column) -> Column:
-        token = _token(f["w"])
-        lead = F.length(F.regexp_extract(f["w"], r"^[\"'(\[<{]*", 0))
-        start = _ahead("pieces", f["i"]) + F.get("pieces", f["i"]) - F.length(f["w"]) + lead
-        like = token.rlike(_IDENTIFIER)
-        return F.struct(f["one"].alias("one"), f["two"].alias("two"), F.when(like, token).alias("token"), F.when(like, start).alias("start"))
-
-    d = d.select("doc_id", "mark", F.explode(F.transform("found", told)).alias("f"))
-    d = d.select("doc_id", "mark", F.explode(F.filter(F.array("f.one", "f.two"), lambda c: c.isNotNull())).alias("context"), "f.token", "f.start")
-    return d
+    d = with_window_hashes(docs.select(_words(F.col("text")).alias("low")), "low", [1, 2], "h_")
+    met = d.select(F.explode(F.concat(F.filter("h_1", known), F.filter("h_2", known))).alias("h")).groupBy("h").agg(F.count("*").alias("total"))
+    out = written(own.join(met, "h").select("context", "total"), "pattern-totals")
+    dropped(own)
+    return out
 
 
 def _scores(graph: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
-    """kind, context, confidence, support. graph has (kind, context, token, n) with null tokens for what cannot be an identifier.
+    """kind, context, confidence, support, places of the patterns of graph (kind, context, token, n).
 
     In turn, a pattern's confidence is the share of its places that hold believed instances, and an instance's score
     the chance that any of its patterns is right; seeds are certain.
     """
     score = written(seeds.select("kind", "token", F.lit(1.0).alias("score")), "instance-scores")
-    edges = written(graph.where(F.col("token").isNotNull()), "pattern-edges")
-    totals = written(graph.groupBy("kind", "context").agg(F.sum("n").alias("total")), "pattern-totals")
+    patterns = None
     for step in range(rounds):
-        held = edges.join(score, ["kind", "token"]).groupBy("kind", "context").agg(F.sum(F.col("n") * F.col("score")).alias("held"), F.sum((F.col("score") == 1.0).cast("int")).alias("support"))
-        patterns = written(held.join(totals, ["kind", "context"]).select("kind", "context", (F.col("held") / F.col("total")).alias("confidence"), "support"), "pattern-scores")
+        told = graph.join(score, ["kind", "token"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+        told = told.groupBy("kind", "context").agg((F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("confidence"), F.count_if(F.col("score") == 1.0).alias("support"), F.sum("n").alias("places"))
+        if patterns is not None:
+            dropped(patterns)
+        patterns = written(told, "pattern-scores")
+        dropped(score)
         if step < rounds - 1:
-            found = edges.join(patterns, ["kind", "context"]).groupBy("kind", "token").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("found"))
-            both = found.join(seeds.withColumn("seed", F.lit(1.0)), ["kind", "token"], "full")
-            score = written(both.select("kind", "token", F.coalesce("seed", F.least("found", F.lit(0.999)), F.lit(0.0)).alias("score")), "instance-scores")
+            found = graph.join(patterns, ["kind", "context"]).groupBy("kind", "token").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("found"))
+            both = found.join(seeds.withColumn("seed", F.lit(1.0)), ["kind", "token"], "left")
+            score = written(both.select("kind", "token", F.coalesce("seed", F.least("found", F.lit(0.999))).alias("score")), "instance-scores")
     return patterns
 
 
-def discovered(docs: DataFrame, base: DataFrame, least_seeds: int = 5, least_confidence: float = 0.5, rounds: int = 3) -> DataFrame | None:
-    """doc_id, mark, kind, start, end of identifiers behind high-confidence patterns; None where no context has seeds enough.
+def discovered(docs: DataFrame, places: DataFrame, least_seeds: int = 5, least_confidence: float = 0.5, least_selectivity: float = 0.05, rounds: int = 3) -> DataFrame | None:
+    """doc_id, mark, kind, start, end of identifiers in high-confidence patterns; None where there is no such pattern.
 
-    base: doc_id, mark, text, spans. Only contexts that precede least_seeds different seeds of a kind become patterns.
+    docs: text. places: doc_id, mark, places. Contexts of least_seeds different seeds of a kind become patterns. A
+    pattern is good if least_confidence of the identifier-like places it has hold believed instances, and
+    least_selectivity of all places of its words in the corpus are such places: function words are not.
     """
-    one = base.where(F.size("spans") > 0).select("text", F.explode("spans").alias("s"))
-    near = F.substring("text", F.greatest(F.lit(1), F.col("s.start") - 199), F.least(F.col("s.start"), F.lit(200)))
-    seeds = one.select(F.col("s.kind").alias("kind"), F.split("s.match", r"\x20")[0].alias("token"), F.col("s.match").alias("match"), F.explode(_contexts(near)).alias("context"))
-    seeds = written(seeds.groupBy("kind", "context", "token", "match").agg(F.count("*").alias("n")), "seeds")
-    patterns = written(seeds.groupBy("kind", "context").agg(F.count("*").alias("k")).where(F.col("k") >= least_seeds).select("kind", "context"), "patterns")
-    if not patterns.count():
+    one = places.where(F.size("places") > 0).select("doc_id", "mark", F.explode("places").alias("p")).select("doc_id", "mark", "p.*")
+    each = one.select("kind", "token", F.explode("contexts").alias("context")).groupBy("kind", "token", "context").agg(F.count("*").alias("n"))
+    edges = written(each, "context-instances")
+    patterns = written(edges.where(F.col("kind").isNotNull()).groupBy("kind", "context").agg(F.count("*").alias("k")).where(F.col("k") >= least_seeds).select("kind", "context"), "patterns")
+    if patterns.isEmpty():
+        dropped(edges)
+        dropped(patterns)
         return None
-    at = written(_occurrences(docs, patterns.select("context").distinct()), "pattern-places")
-    counted = at.groupBy("context", "token").agg(F.count("*").alias("n"))
+    counted = edges.groupBy("context", "token").agg(F.sum("n").alias("n"))
     graph = written(counted.join(patterns, "context").select("kind", "context", "token", "n"), "pattern-graph")
-    scores = _scores(graph, written(seeds.select("kind", "token").distinct(), "seed-instances"), rounds)
-    good = scores.where((F.col("confidence") >= least_confidence) & (F.col("support") >= least_seeds)).groupBy("context").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
-    good = written(good, "good-patterns")
-    new = at.where(F.col("token").isNotNull()).join(good, "context")
-    return new.select("doc_id", "mark", "kind", "start", (F.col("start") + F.length("token")).alias("end")).distinct()
+    seeds = written(edges.where(F.col("kind").isNotNull()).select("kind", "token").distinct(), "seed-instances")
+    scores = _scores(graph, seeds, rounds)
+    sure = written(scores.where((F.col("confidence") >= least_confidence) & (F.col("support") >= least_seeds)), "sure-patterns")
+    for x in (edges, patterns, graph, seeds, scores):
+        dropped(x)
+    if sure.isEmpty():
+        dropped(sure)
+        return None
+    total = _frequencies(docs, sure.select("context").distinct())
+    good = sure.join(total, "context").where(F.col("places") >= least_selectivity * F.col("total")).groupBy("context").agg(F.max(F.struct("confidence", "kind")).alias("best"))
+    good = written(good.select("context", "best"), "good-patterns")
+    met = one.where(F.col("kind").isNull()).select("doc_id", "mark", "start", "end", F.explode("contexts").alias("context")).join(good, "context")
+    found = written(met.groupBy("doc_id", "mark", "start", "end").agg(F.max("best").alias("best")).select("doc_id", "mark", F.col("best.kind").alias("kind"), "start", "end"), "found-identifiers")
+    for x in (sure, total, good):
+        dropped(x)
+    return found
 
 
-def pii_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_seeds: int = 5, least_confidence: float = 0.5, rounds: int = 3) -> DataFrame:
+def pii_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_seeds: int = 5, least_confidence: float = 0.5, least_selectivity: float = 0.05, rounds: int = 3) -> DataFrame:
     """doc_id, base and spans, arrays of (kind, start, end) by kind as in KINDS, then start: a row per row of docs.
 
     base are the fixed patterns, leftmost and not overlapping within a kind, less those that fail (address parts above
     255, card numbers not of 13 to 19 digits or not passing Luhn, telephone numbers not of 9 to 15 digits); spans has
-    those too, and what bootstrapping adds: identifier-like strings behind contexts that mostly precede identifiers,
-    where they overlap no base span, under the kind of that context. Offsets are code points, ends exclusive. Null and
-    empty texts have none; equal rows have equal spans; an empty table gives no rows; other columns play no part.
+    those too, and what bootstrapping adds: identifier-like strings (see CANDIDATE) in contexts that mostly hold
+    identifiers, where they overlap no base span, under the kind of that context. A context is the word, or two words, to
+    the left or right within NEAR characters, lower-cased, punctuation and digits passed over. Offsets are code points,
+    ends exclusive. Null and empty texts have none; equal rows have equal spans; an empty table gives no rows; other
+    columns play no part.
     """
-    found = base_spans(docs, doc_id, text).withColumn("mark", _text_mark())
-    base = written(found.select("doc_id", "mark", F.when(F.size(F.concat(*KINDS)) > 0, F.col("text")).alias("text"), F.concat(*KINDS).alias("spans")), "base-spans")
-    plain = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("mark", _text_mark())
-    new = discovered(plain, base, least_seeds, least_confidence, rounds)
+    found = base_spans(docs, doc_id, text).withColumn("mark", _text_mark()).withColumn("spans", F.concat(*KINDS)).drop(*KINDS)
     bare = lambda spans: F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    out = base.select("doc_id", "mark", bare("spans").alias("base"))
+    base = written(_places(found).select("doc_id", "mark", bare("spans").alias("base"), "places"), "base-spans")
+    plain = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
+    new = discovered(plain, base, least_seeds, least_confidence, least_selectivity, rounds)
+    out = base.select("doc_id", "mark", "base")
     if new is None:
         return out.select("doc_id", "base", F.col("base").alias("spans"))
     more = new.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("kind", "start", "end")).alias("more")).select(F.struct("doc_id", "mark").alias("of"), "more")
-    more = written(more, "new-spans")
     out = out.withColumn("own", F.struct("doc_id", "mark"))
     out = out.join(more, out["own"].eqNullSafe(more["of"]), "left")
-    fresh = F.filter(F.coalesce("more", F.array().cast("array<struct<kind:string,start:int,end:int>>")), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    fresh = F.coalesce("more", F.array().cast("array<struct<kind:string,start:int,end:int>>"))
     ranked = F.array_sort(F.transform(F.concat("base", fresh), lambda s: F.struct(F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     return out.select("doc_id", "base", bare(ranked).alias("spans"))

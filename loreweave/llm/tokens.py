@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words that a worker remembers, past which it starts anew, and characters of text that are looked up together.
-CACHED, CHARS = 1_000_000, 8_000_000
+CACHED, CHARS = 700_000, 4_000_000
 #: White space or separators beyond ASCII, where words need not be encoded alike alone and together.
 _ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Where one of these is, or a blank is first or last, a space or line end need not stand alone between words: the same.

@@ -311,6 +311,31 @@ def test_pii_discovers_by_context(spark):
     s = got[7].spans[0]
     assert rows[7][1][s.start : s.end] == "AB777310X"
 
+def test_pii_discovers_unseen_identifiers_of_all_kinds(spark):
+    """Recall and precision on identifiers that no fixed pattern finds, among harmless numbers and function words."""
+    rng = random.Random(3)
+    n = lambda k: "".join(rng.choices("123456789", k=k))
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 7)))
+    seen = {"email": lambda: f"{word()}{n(2)}@{word()}.org", "ip": lambda: f"10.{rng.randint(0, 255)}.{rng.randint(0, 255)}.7", "card": lambda: "4111 1111 1111 1111", "phone": lambda: f"+1 (555) {n(3)}-{n(4)}"}
+    cards = [c for c in (f"4{n(15)}" for _ in range(4000)) if _luhn(c)]
+    seen["card"] = lambda: cards.pop()
+    unseen = {"email": lambda: f"{word()}{n(3)}@{word()}", "ip": lambda: f"fe80::{n(4)}:{n(2)}", "card": lambda: f"{n(4)}-{n(4)}-{n(3)}", "phone": lambda: f"({n(3)}) {n(3)}-{n(4)}"}
+    lead = {"email": "write to my mailbox", "ip": "seen from host", "card": "paid with visa:", "phone": "my mobile:"}
+    rows, hidden = [], {}
+    for i in range(400):
+        kind = pii.KINDS[i % 4]
+        new = i % 10 < 3
+        text = f"{word()} {word()} the {n(6)} {word()} {lead[kind]} "
+        item = (unseen if new else seen)[kind]()
+        if new:
+            hidden[i] = (kind, len(text), len(text) + len(item))
+        rows.append((i, f"{text}{item}, {word()} and the {n(5)} of {word()}"))
+    got = _by_id(pii.pii_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    added = {(i, *s) for i, r in got.items() for s in r.spans if s not in r.base}
+    want = {(i, *v) for i, v in hidden.items()}
+    assert {k for _, k, _, _ in added & want} == set(pii.KINDS)
+    assert len(added & want) >= 0.95 * len(want) and len(added & want) >= 0.95 * len(added)
+
 
 # 7
 

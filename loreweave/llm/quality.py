@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
+from statistics import median
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreweave.llm.common import packed_row, parts, written
+from loreweave.llm.common import dropped, packed_row, parts, written
 from loreweave.llm.ngrams import blank_split, with_window_hashes
 
 #: Words of a repeated window.
@@ -25,6 +27,8 @@ class Thresholds:
     max_dup_line_percent: int = 30
     min_mean_word: float = 1.5
     max_mean_word: float = 25.0
+    max_bullet_percent: int = 90
+    max_ellipsis_percent: int = 30
 
 
 def _word_chars() -> Column:
@@ -55,15 +59,25 @@ def _repeat_words() -> Column:
     return F.when(F.size(F.array_distinct("windows")) == n, F.lit(0)).otherwise(covered).cast("long")
 
 
-def rules(limits: Thresholds) -> dict[str, Column]:
-    """Each rule is true where a text must go. They read columns body, words, windows and n_words."""
+def _share_of_lines(pattern: str) -> Column:
+    """Percent of the lines with words that the pattern finds."""
+    lines = _full_lines()
+    return 100 * F.size(F.filter(lines, lambda x: x.rlike(pattern))) / F.greatest(F.size(lines), F.lit(1))
+
+
+def rules(limits: Thresholds, symbols: Column | None = None, dup_lines: Column | None = None, repeat_words: Column | None = None) -> dict[str, Column]:
+    """Each rule is true where a text must go. They read columns body, words, windows, n_words and word_chars, and measure
+    what else they need when they are asked; measures that are there already can be given."""
+    symbols, dup_lines, repeat_words = _symbols() if symbols is None else symbols, _dup_lines() if dup_lines is None else dup_lines, _repeat_words() if repeat_words is None else repeat_words
     return {
         "few_words": F.col("n_words") < limits.min_words,
-        "repeated_words": 100 * _repeat_words() > limits.max_repeat_percent * F.col("n_words"),
-        "symbols": 100 * _symbols() > limits.max_symbol_percent * _word_chars(),
-        "repeated_lines": 100 * _dup_lines() > limits.max_dup_line_percent * F.size(_full_lines()),
-        "short_words": _word_chars() < limits.min_mean_word * F.col("n_words"),
-        "long_words": _word_chars() > limits.max_mean_word * F.col("n_words"),
+        "repeated_words": 100 * repeat_words > limits.max_repeat_percent * F.col("n_words"),
+        "symbols": 100 * symbols > limits.max_symbol_percent * F.col("word_chars"),
+        "repeated_lines": 100 * dup_lines > limits.max_dup_line_percent * F.size(_full_lines()),
+        "short_words": F.col("word_chars") < limits.min_mean_word * F.col("n_words"),
+        "long_words": F.col("word_chars") > limits.max_mean_word * F.col("n_words"),
+        "bullet_lines": _share_of_lines(r"^[\x20\x09-\x0D]*[•*-]") > limits.max_bullet_percent,
+        "ellipsis_lines": _share_of_lines(r"(\.\.\.|…)[\x20\x09-\x0D]*\z") > limits.max_ellipsis_percent,
     }
 
 
@@ -71,31 +85,41 @@ def _prepared(docs: DataFrame, text: str, keep: Column) -> DataFrame:
     d = docs.select(keep.alias("kept_row"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     d = d.withColumn("words", blank_split(F.col("body")))
     d = with_window_hashes(d, "words", [WINDOW], "windows_")
-    return d.withColumn("n_words", F.size("words").cast("long")).withColumnRenamed(f"windows_{WINDOW}", "windows")
+    return d.withColumn("n_words", F.size("words").cast("long")).withColumn("word_chars", _word_chars()).withColumnRenamed(f"windows_{WINDOW}", "windows")
+
+
+def _timed(job: Callable[[], list], times: int = 3) -> tuple[float, list]:
+    """The median of the seconds that a job takes, and what it returns."""
+    took = []
+    for _ in range(times):
+        began = time.perf_counter()
+        out = job()
+        took.append(time.perf_counter() - began)
+    return median(took), out
 
 
 def rule_order(docs: DataFrame, limits: Thresholds = Thresholds(), text: str = "text", sample_rows: int = 2000, seed: int = 7) -> list[dict]:
     """Cost (seconds) and selectivity of each rule over a sample of about sample_rows rows, best rejection per cost first.
 
-    The order changes how much work a rejected text costs, never the verdict.
+    A rule's cost is what its job takes beyond one that reads the same columns and asks nothing. The order changes how
+    much work a rejected text costs, never the verdict.
     """
     n = docs.count()
-    sample = written(docs.select(F.col(text).alias("text")).sample(fraction=min(1.0, sample_rows / max(1, n)), seed=seed).coalesce(max(1, parts(docs.sparkSession) // 8)), "rule-sample")
-    d = _prepared(sample, "text", F.lit(0))
-    d = written(d.drop("kept_row"), "rule-sample-words")  # each rule then costs what is its own
-    d.agg(F.count("*")).collect()
+    sample = docs.select(F.col(text).alias("text")).sample(fraction=min(1.0, sample_rows / max(1, n)), seed=seed).coalesce(max(1, parts(docs.sparkSession) // 8))
+    d = written(_prepared(sample, "text", F.lit(0)).drop("kept_row"), "rule-sample-words")  # each rule then costs what is its own
+    read = [F.count("*"), F.max(F.size("words")), F.max(F.size("windows")), F.max(F.octet_length("body"))]
+    d.agg(*read).collect()
+    idle, _ = _timed(lambda: d.agg(*read).collect())
     found = []
     for name, rejects in rules(limits).items():
-        began = time.perf_counter()
-        total, hit = d.agg(F.count("*"), F.coalesce(F.sum(rejects.cast("long")), F.lit(0))).collect()[0]
-        cost = time.perf_counter() - began
-        found.append({"rule": name, "cost": cost, "selectivity": hit / max(1, total)})
-    return sorted(found, key=lambda x: (-x["selectivity"] / max(x["cost"], 1e-9), x["cost"], x["rule"]))
+        took, told = _timed(lambda: d.agg(*read, F.coalesce(F.sum(rejects.cast("long")), F.lit(0))).collect())
+        found.append({"rule": name, "cost": max(took - idle, 1e-4), "selectivity": told[0][-1] / max(1, told[0][0])})
+    dropped(d)
+    return sorted(found, key=lambda x: (-x["selectivity"] / x["cost"], x["cost"], x["rule"]))
 
 
-def verdict(order: list[str], limits: Thresholds = Thresholds()) -> Column:
-    """The first rule in this order that a text fails, null if none: later rules are not evaluated for a rejected text."""
-    known = rules(limits)
+def verdict(order: list[str], known: dict[str, Column]) -> Column:
+    """The first of the known rules in this order that a text fails, null if none: later rules are not evaluated for a rejected text."""
     out = F.lit(None).cast("string")
     for name in reversed(order):
         out = F.when(known[name], F.lit(name)).otherwise(out)
@@ -105,26 +129,19 @@ def verdict(order: list[str], limits: Thresholds = Thresholds()) -> Column:
 def quality_report(docs: DataFrame, limits: Thresholds = Thresholds(), doc_id: str = "doc_id", text: str = "text", order: list[str] | None = None) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, failed_rule: a row per row of docs.
 
-    A null text is an empty one: no words, so it fails. An empty table gives an empty report; equal rows give equal
-    rows; a null doc_id stays null. Other columns of docs play no part, whatever their names. Very long texts are
-    handled whole, inside their row.
+    The four measures and base_failed (fewer than 10 words, or more than a fifth of them in repeated windows) are told for
+    every row; kept and failed_rule come from the cascade, which asks a row that failed the base nothing and any other
+    row one rule after the other until it fails. A null text is an empty one: no words, so it fails. An empty table gives
+    an empty report; equal rows give equal rows; a null doc_id stays null. Other columns of docs play no part, whatever
+    their names. Very long texts are handled whole, inside their row.
     """
     order = order or [x["rule"] for x in rule_order(docs, limits, text)]
     d = _prepared(docs, text, F.col(doc_id))
-    d = d.select(F.col("kept_row").alias("doc_id"), "body", "words", "windows", "n_words", _word_chars().alias("word_chars"), _symbols().alias("n_symbols"), _dup_lines().alias("n_dup_lines"), _repeat_words().alias("n_repeat_words"), F.size(_full_lines()).alias("full_lines"))
-    measured = {
-        "few_words": F.col("n_words") < limits.min_words,
-        "repeated_words": 100 * F.col("n_repeat_words") > limits.max_repeat_percent * F.col("n_words"),
-        "symbols": 100 * F.col("n_symbols") > limits.max_symbol_percent * F.col("word_chars"),
-        "repeated_lines": 100 * F.col("n_dup_lines") > limits.max_dup_line_percent * F.col("full_lines"),
-        "short_words": F.col("word_chars") < limits.min_mean_word * F.col("n_words"),
-        "long_words": F.col("word_chars") > limits.max_mean_word * F.col("n_words"),
-    }
-    failed = F.lit(None).cast("string")
-    for name in reversed(order):
-        failed = F.when(measured[name], F.lit(name)).otherwise(failed)
+    d = d.select(F.col("kept_row").alias("doc_id"), "body", "words", "windows", "n_words", "word_chars", _symbols().alias("n_symbols"), _dup_lines().alias("n_dup_lines"), _repeat_words().alias("n_repeat_words"))
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & failed.isNull()).alias("kept"), failed.alias("failed_rule"))
+    failed = F.when(base, F.lit("base")).otherwise(verdict(order, rules(limits, F.col("n_symbols"), F.col("n_dup_lines"), F.col("n_repeat_words"))))
+    d = d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), failed.alias("failed_rule"))
+    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("failed_rule").isNull().alias("kept"), "failed_rule")
 
 
 def quality_filter(docs: DataFrame, limits: Thresholds = Thresholds(), text: str = "text", order: list[str] | None = None) -> DataFrame:
@@ -135,5 +152,5 @@ def quality_filter(docs: DataFrame, limits: Thresholds = Thresholds(), text: str
     order = order or [x["rule"] for x in rule_order(docs, limits, text)]
     d = _prepared(docs, text, packed_row(docs))
     # an id in the verdict keeps the optimizer from copying the word arrays' expressions into a filter below them
-    failed = F.when(F.monotonically_increasing_id() < 0, F.lit("")).otherwise(verdict(order, limits))
+    failed = F.when(F.monotonically_increasing_id() < 0, F.lit("")).otherwise(verdict(order, rules(limits)))
     return d.select("kept_row", failed.alias("failed")).where(F.col("failed").isNull()).select("kept_row.*")

@@ -135,13 +135,14 @@ WITH norm AS (
   SELECT doc_id, i FROM spots JOIN (SELECT doc_id, gram FROM spots GROUP BY doc_id, gram HAVING count(*) > 1) USING (doc_id, gram)
 ), inside AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY doc_id
 ), lines AS (
-  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM norm) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup_lines,
+    count(*) FILTER (regexp_matches(x, '^[\x20\x09-\x0D]*[•*-]')) AS n_bullets, count(*) FILTER (regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$')) AS n_ellipses FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM norm) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id
 ), m AS (
   SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
-    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(n_bullets, 0) AS n_bullets, coalesce(n_ellipses, 0) AS n_ellipses
   FROM norm LEFT JOIN inside USING (doc_id) LEFT JOIN lines USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 100 * n_symbols > 20 * word_chars OR 100 * n_dup_lines > 30 * n_lines OR word_chars < 1.5 * n_words OR word_chars > 25 * n_words) AS kept
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 100 * n_symbols > 20 * word_chars OR 100 * n_dup_lines > 30 * n_lines OR word_chars < 1.5 * n_words OR word_chars > 25 * n_words OR 100 * n_bullets > 90 * n_lines OR 100 * n_ellipses > 30 * n_lines) AS kept
 FROM m
 """,
 }

@@ -474,10 +474,26 @@ def test_quality(unique, texts, empty):
 
 def test_rules_are_ordered_by_rejections_per_cost(unique):
     order = quality.rule_order(unique)
-    gain = [r["selectivity"] / max(r["cost"], 1e-9) for r in order]
+    gain = [r["selectivity"] / r["cost"] for r in order]
     assert gain == sorted(gain, reverse=True) and {r["rule"] for r in order} == set(quality.rules(quality.Thresholds()))
 
 
+def test_a_rejected_row_skips_later_rules(unique):
+    never = F.raise_error(F.concat(F.lit("asked "), F.col("n_words"))).cast("boolean")
+    few = quality._prepared(unique, "text", F.col("doc_id")).where("n_words < 10")
+    known = quality.rules(quality.Thresholds()) | {"symbols": never}
+    assert {r[0] for r in few.select(quality.verdict(["few_words", "symbols"], known)).collect()} == {"few_words"}
+    with pytest.raises(Exception, match="asked"):
+        few.select(quality.verdict(["symbols", "few_words"], known)).collect()
+
+
+def test_lines_of_bullets_and_ellipses_go(spark):
+    line = "one two three four five six seven eight"
+    rows = [(1, "\n".join(f"- {line} {i}" for i in range(12))), (2, "\n".join(f"{line} {i}..." for i in range(3))), (3, f"{line} nine ten.")]
+    got = _by_id(quality.quality_report(spark.createDataFrame(rows, "doc_id long, text string"), order=["bullet_lines", "ellipsis_lines"]).collect())
+    assert {i: r.failed_rule for i, r in got.items() if not r.base_failed} == {k: v for k, v in {1: "bullet_lines", 2: "ellipsis_lines", 3: None}.items() if not got[k].base_failed} and not got[3].base_failed
+
+
 # All in a row
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from math import log2
 
 import pyarrow as pa
 import zstandard
@@ -21,9 +22,15 @@ _HEX = re.compile(r"[0-9a-f]{24,}")  # the runs [0-9a-f]+ of 24 or more
 #: Words that make the text after them sensitive.
 SENSITIVE = ("password", "passwd", "passphrase", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "accesskey", "private_key", "privatekey", "credential", "auth", "bearer", "signature", "client_id", "session", "akia")
 _SENSITIVE = re.compile("|".join(SENSITIVE), re.ASCII | re.IGNORECASE)
-#: Characters that a candidate has at least.
+#: Characters that a candidate has at least, and signs that it consists of; a sentence's last sign is not its own.
 _LEAST = 16
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{%d,}" % _LEAST)
+_SIGNS = "A-Za-z0-9+/_=.!@#$%^&*~?-"
+_CANDIDATE = re.compile(rf"[{_SIGNS}]{{{_LEAST},}}")
+#: Characters beyond which a candidate's cost is measured against its alphabet.
+_LONG = 64
+_SIGN = re.compile(rf"[{_SIGNS}]")
+#: Shapes that carry no secret however new they are: dates and times, e-mail addresses, versions.
+_HARMLESS = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}[0-9T.+Z-]*|[A-Za-z0-9._+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+|v?[0-9]+(\.[0-9]+)+(-[a-z]+[0-9.]*)?")
 #: Identifiers and words of code and configuration that prime the compressor.
 IDENTIFIERS = (
     "abstract access_token account address admin algorithm api_key application arguments array assert async attribute authorization "
@@ -41,14 +48,15 @@ IDENTIFIERS = (
     "sample schema script secret secret_key section select self sender server service session settings signature size socket source "
     "start state static status storage stream string struct style subject submit success super switch system table target task temp "
     "template test text thread throw timeout timestamp title token tools transaction transform true type undefined unique update "
-    "upload url user username utils valid value variable vector version view void warning while window worker write xml yaml"
+    "upload url user username utils valid value variable vector version view void warning while window worker write xml yaml "
+    "changeme dummy fake foo goes here insert my none placeholder put replace sample some unset with your"
 )
 
 
 @lru_cache(maxsize=2)
 def _primed(identifiers: str, level: int) -> zstandard.ZstdCompressor:
     words = identifiers.split()
-    primed = " ".join(words) + "_".join(words) + "".join(w.capitalize() for w in words) + "0123456789abcdef ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    primed = " ".join(words) + "_".join(words) + "".join(w.capitalize() for w in words) + "_".join(words).upper() + "0123456789abcdef ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(primed.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
@@ -71,32 +79,37 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def novel_spans(text: str, base: list[tuple[str, int, int]], least: float, reach: int, context: int) -> list[tuple[str, int, int]]:
-    """Candidates within reach characters after a sensitive word, outside base spans, with letters and digits, that add least bytes a character."""
+    """Candidates that begin within reach behind a sensitive word or end within reach before one, outside base spans, and add least bytes a character."""
     low, out = text.lower(), []
     if not any(w in low for w in SENSITIVE):
         return out
     taken = sorted((s, e) for _, s, e in base)
     upto = 0
     for word in _SENSITIVE.finditer(text):
-        last = word.end() + reach
-        # a candidate begins within reach and has its whole length, however long it is
-        while found := _CANDIDATE.search(text, max(upto, word.end()), last + _LEAST):
+        at, last = max(upto, word.start() - reach), word.end() + reach
+        while at > upto and _SIGN.match(text, at - 1):  # a candidate has its whole length, however long it is
+            at -= 1
+        while found := _CANDIDATE.search(text, at, last + _LEAST):
             m = _CANDIDATE.match(text, found.start())
-            upto, string = m.end(), m[0]
-            if any(s < m.end() and m.start() < e for s, e in taken) or not (re.search("[0-9]", string) and re.search("[A-Za-z]", string)):
+            at, string = m.end(), m[0].rstrip(".!?")
+            end = m.start() + len(string)
+            if len(string) < _LEAST or _HARMLESS.fullmatch(string) or any(s < end and m.start() < e for s, e in taken):
                 continue
-            if novelty(text[max(0, m.start() - context) : m.start()], string, text[m.end() : m.end() + context]) >= least:
-                out.append(("novel", m.start(), m.end()))
+            # the compressor writes so long a string in the bits that its alphabet needs, a shorter one as it is
+            bits = 8 if len(string) <= _LONG else log2(max(2, len(set(string))))
+            if novelty(text[max(0, m.start() - context) : m.start()], string, text[end : end + context]) >= least * bits / 8:
+                out.append(("novel", m.start(), end))
+        upto = max(upto, at, last)
     return out
 
 
-def secret_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_novelty: float = 0.7, reach: int = 40, context: int = 256) -> DataFrame:
+def secret_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_novelty: float = 0.8, reach: int = 40, context: int = 1024) -> DataFrame:
     """doc_id and spans, an array of (kind, start, end) by start, then kind as in KINDS: a row per row of docs.
 
     Offsets are code points of the text as it is, ends exclusive. Kinds assign, access and hex are the fixed patterns;
-    novel are strings of 16 or more key characters, with letters and digits, at most reach characters behind a
-    sensitive word, which cost least_novelty compressed bytes a character beside their surroundings and an identifier
-    dictionary. Null and empty texts have no spans; equal rows have equal spans; an empty table gives no rows; other
+    novel are strings of 16 or more letters, digits and signs, at most reach characters from a sensitive word on either
+    side, which cost least_novelty compressed bytes a character beside context characters around them and an identifier
+    dictionary (beyond 64 characters, that share of the bits that their alphabet needs): random strings cost 0.8 to 1, and words that the text or the dictionary knows seldom so much. Null and empty texts have no spans; equal rows have equal spans; an empty table gives no rows; other
     columns play no part.
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))

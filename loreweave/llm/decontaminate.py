@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreweave.llm.common import ascii_lower, packed_row, power_of_two, written
+from loreweave.llm.common import ascii_lower, dropped, packed_row, power_of_two, written
 from loreweave.llm.ngrams import with_window_hashes
 
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -57,13 +57,14 @@ def _spots(hashes: Column, n: int, table: Column, bits: int) -> Column:
     return F.filter(F.transform(hashes, spot), lambda x: x.isNotNull())
 
 
-def _found(docs: DataFrame, bench: DataFrame, window: int, keep: dict[str, Column], text: str, item_id: str) -> tuple[DataFrame, DataFrame]:
-    """(base, hits): base has at, the kept columns and n_words of every document; hits has at, hits (start, len) and items of those with any."""
+def _found(docs: DataFrame, bench: DataFrame, window: int, at: Column, keep: dict[str, Column], text: str, item_id: str) -> tuple[DataFrame, DataFrame]:
+    """(base, hits): base has at, the kept columns and n_words of every document; hits has at, hits (start, len) and items
+    of those with any. Documents of equal texts may share an at."""
     grams = written(item_windows(bench, window, item_id), "benchmark-windows")
     told = grams.groupBy("len").agg(F.sum(F.octet_length("gram") + 24 + 16 * F.size("items")).alias("b")).collect()
     lengths, size = sorted(r["len"] for r in told), sum(r["b"] for r in told)
     tables, bits = _table(grams, lengths) if lengths else ({}, {})
-    d = docs.select(F.monotonically_increasing_id().alias("at"), *[c.alias(f"kept_{k}") for k, c in keep.items()], words_of(F.col(text)).alias("words"))
+    d = docs.select(at.alias("at"), *[c.alias(f"kept_{k}") for k, c in keep.items()], words_of(F.col(text)).alias("words"))
     spots = F.array().cast("array<struct<start:int,len:int>>")
     if lengths:
         d = with_window_hashes(d, "words", lengths, "h_")
@@ -90,7 +91,7 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, doc_i
     Null and empty texts have no words and no hits; an item of fewer words than the window is one window; a null item
     text has none; a null item_id is no item. Repeated rows each get a row. Empty tables give empty or clean results.
     """
-    base, hits = _found(docs, bench.where(F.col(item_id).isNotNull()), window, {"doc_id": F.col(doc_id)}, text, item_id)
+    base, hits = _found(docs, bench.where(F.col(item_id).isNotNull()), window, F.monotonically_increasing_id(), {"doc_id": F.col(doc_id)}, text, item_id)
     items = F.array_sort(F.transform(F.coalesce("items", F.array().cast("array<string>")), lambda x: x.cast("string")))
     out = base.drop("probable").join(hits.withColumn("items", F.col("items").cast("array<string>")), "at", "left")
     out = out.select(F.col("kept_doc_id").alias("doc_id"), "n_words", F.coalesce(_covered(F.col("hits")), F.lit(0).cast("long")).alias("n_hit"), items.alias("items"))
@@ -101,18 +102,24 @@ def decontaminate(docs: DataFrame, bench: DataFrame, remove: str = "documents",
     """docs without benchmark passages, with all their columns: remove="documents" drops each text with a hit,
     remove="spans" drops from it each hit word and the separator after it, the rest staying as it was.
 
-    Null and empty texts stay. Repeated rows are treated alike.
+    What a text is decides, so that only its digest is looked up where it lies, and texts are shuffled only where very
+    many are contaminated. Null and empty texts stay; repeated rows are treated alike; an empty table stays empty, and an
+    empty benchmark leaves all; columns may have any names.
     """
     if remove not in ("documents", "spans"):
         raise ValueError("remove must be documents or spans")
-    base, hits = _found(docs, bench.where(F.col(item_id).isNotNull()), window, {"row": packed_row(docs)}, text, item_id)
+    mark = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    base, hits = _found(docs, bench.where(F.col(item_id).isNotNull()), window, mark, {}, text, item_id)
+    hits = written(hits.select("at", "hits"), "contaminated")
+    dropped(base)
+    rows = docs.select(packed_row(docs).alias("row"), mark.alias("at"))
     if remove == "documents":
-        return base.join(hits, "at", "left_anti").select("kept_row.*")
-    out = base.drop("probable").join(hits, "at", "left")
-    body = F.coalesce(F.col(f"kept_row.`{text}`"), F.lit(""))
+        return rows.join(hits.select("at"), "at", "left_anti").select("row.*")
+    out = rows.join(hits, "at", "left")
+    body = F.coalesce(F.col(f"row.`{text}`"), F.lit(""))
     lead = F.regexp_extract(body, r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
     pieces = F.regexp_extract_all(body, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"), F.lit(0))
     flags = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["start"], x["start"] + x["len"] - 1))))
     left = F.array_join(F.transform(F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), flags)), lambda i: F.get(pieces, i)), "")
-    cleaned = F.when(F.col("hits").isNotNull(), F.concat(lead, left)).otherwise(F.col(f"kept_row.`{text}`"))
-    return out.select(F.col("kept_row").withField(f"`{text}`", cleaned).alias("kept_row")).select("kept_row.*")
+    cleaned = F.when(F.col("hits").isNotNull(), F.concat(lead, left)).otherwise(F.col(f"row.`{text}`"))
+    return out.select(F.col("row").withField(f"`{text}`", cleaned).alias("row")).select("row.*")

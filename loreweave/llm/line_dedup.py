@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loreweave.llm.common import parts, power_of_two, written
+from loreweave.llm.common import dropped, parts, power_of_two, written
 
 BLANK_BYTES = b" \t\n\x0b\x0c\r"
 #: Bits of a filter for each hash that goes into it, and bits that one hash sets.
@@ -19,6 +19,8 @@ BITS_EACH, PROBES = 16, 4
 #: The filter of twice-seen hashes that every task gets has so many bytes at most: past that it lets more lines
 #: through to the exact count, and the result stays the same.
 FILTER_BYTES = 64 << 20
+#: Bytes of text whose lines share a segment of the hash space; a task has the filter of one segment at a time.
+SEGMENT_BYTES = 64 << 20
 #: Lines to drop are sent to every task up to so many bytes, and joined to the documents beyond.
 DROP_BYTES = 32 << 20
 
@@ -81,7 +83,8 @@ def _document_keys(body: bytes, least: int) -> list[bytes]:
 def _suspects(docs: DataFrame, least: int) -> tuple[int, dict[int, bytes]]:
     """For each segment of the hash space the filter of the hashes seen twice or more."""
     spark = docs.sparkSession
-    segments = max(4 * parts(spark), power_of_two(docs.count() / 50_000))
+    held = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).collect()[0][0]
+    segments = max(4 * parts(spark), power_of_two(held / SEGMENT_BYTES))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,21 +111,31 @@ def _suspects(docs: DataFrame, least: int) -> tuple[int, dict[int, bytes]]:
     most_bits = max(64, power_of_two(FILTER_BYTES * 8 / segments + 1) // 2)
 
     def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once: dict[int, Bloom] = {}
-        twice: dict[int, set[int]] = {}
+        """Rows come sorted by segment, so one pair of filters is alive at a time."""
+        own, once, twice = None, Bloom(64), []
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            found = np.unique(np.concatenate(twice)) if twice else []
+            if len(found):
+                out = Bloom(min(most_bits, max(64, power_of_two(BITS_EACH * len(found)))))
+                out.add(found)
+                yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([out.packed()], pa.binary())], ["segment", "filter"])
+
         for batch in batches:
             for seg, seen, again in zip(*(c.to_pylist() for c in batch.columns)):
+                if seg != own:
+                    yield from closed()
+                    own, once, twice = seg, Bloom(once_bits), []
                 h = np.frombuffer(seen, dtype=np.uint64)
-                seen_once = once.setdefault(seg, Bloom(once_bits))
-                twice.setdefault(seg, set()).update(h[seen_once.has(h)].tolist(), np.frombuffer(again, dtype=np.uint64).tolist())
-                seen_once.add(h)
-        for seg, found in twice.items():
-            if found:
-                out = Bloom(min(most_bits, max(64, power_of_two(BITS_EACH * len(found)))))
-                out.add(np.fromiter(found, dtype=np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array([seg], pa.int32()), pa.array([out.packed()], pa.binary())], ["segment", "filter"])
-
-    rows = told.repartition(parts(spark), "segment").mapInArrow(filtered, "segment int, filter binary").collect()
+                twice += [h[once.has(h)], np.frombuffer(again, dtype=np.uint64)]
+                if len(twice) > 1000:
+                    twice = [np.unique(np.concatenate(twice))]
+                once.add(h)
+        yield from closed()
+
+    tasks = max(parts(spark), segments // 64)
+    rows = told.repartition(tasks, "segment").sortWithinPartitions("segment").mapInArrow(filtered, "segment int, filter binary").collect()
+    dropped(told)
     return segments, {r["segment"]: bytes(r["filter"]) for r in rows}  # FILTER_BYTES in all
 
 
@@ -157,7 +170,8 @@ def _suspected_rows(docs: DataFrame, least: int, with_mark: bool) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) -> DataFrame:
-    """key, n, keeper: each line key found in least_docs rows or more, and the largest doc_id that holds it (null if none has one)."""
+    """key, n, keeper: each line key found in least_docs rows or more, and the largest doc_id that holds it (null if none
+    has one). A row counts once for a key, however often it has it; null texts hold one empty line; no rows, no keys."""
     found = _suspected_rows(docs.select("doc_id", "text"), least_chars, False)
     return found.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= least_docs)
 

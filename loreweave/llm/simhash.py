@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from loreweave.llm.common import packed_row, parts, written
 from loreweave.llm.components import connected_components
+from loreweave.llm.similar_sets import one_of_each_similar
 
 BITS = 64
 #: Segments of the ring. With 4 differing bits, a chain of l segments may hold 4 l / 9 differences, rounded down.
@@ -225,9 +226,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, doc_id
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("root.doc_id").alias("component_id"))
 
 
-def one_of_each_group(docs: DataFrame, shingle: int = 5, distance: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each_group(docs: DataFrame, shingle: int = 5, distance: int = 4, similarity: float | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs, with all columns, without the near-duplicates of others: of each component the row with the smallest doc_id
-    stays (the smallest hash of its text, then any one of equal rows, where rows share that doc_id; nulls come last)."""
+    stays (the smallest hash of its text, then any one of equal rows, where rows share that doc_id; nulls come last).
+
+    Rows are linked by fingerprints that differ in up to distance bits or, with similarity, by that Jaccard similarity of
+    their shingle sets. At 0.8 two fingerprints differ in about 10 of 64 bits, and at any distance that reaches them the
+    ring's keys hold too few bits to part texts that have nothing in common; so similar sets meet by their rarest
+    shingles instead, and no pair of the similarity is passed over. Null and empty texts are texts without words, which
+    are alike; an empty table stays empty.
+    """
+    if similarity is not None:
+        return one_of_each_similar(docs, shingle, similarity, doc_id, text)
     mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     told = _grouped(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), {"mark": F.xxhash64(F.coalesce("text", F.lit("")))}, shingle, distance)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")

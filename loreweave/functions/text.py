@@ -2,22 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PUNCTUATION = ".,!?;:\"'()-[]{}"
 
 
 def spans(text: Column, pattern: str) -> Column:
-    """(start, end, excerpt) of every match of a Java pattern, in code points. Matches must not be empty."""
+    """(start, end, excerpt) of every match of a Java pattern, in code points. Matches must not be empty.
+
+    A text without a match costs one search. Gaps and matches are taken in turn, so that each is found once.
+    """
+    none = F.array().cast("array<struct<start:int,end:int,excerpt:string>>")
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    size = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.length(g) + F.length(m))
+    turns = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m")))  # behind the last gap is no match
+
+    def step(s: Column, t: Column) -> Column:
+        start = s["at"] + t["gap"]
+        end = start + F.length(t["m"])
+        one = F.array(F.struct(start.alias("start"), end.alias("end"), t["m"].alias("excerpt")))
+        return F.when(t["m"].isNull(), s).otherwise(F.struct(end.alias("at"), F.concat(s["out"], one).alias("out")))
+
+    told = F.aggregate(turns, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
+    return F.when(text.rlike(pattern), told).otherwise(none)
+
+
+#: Places of an array whose sizes are summed up together.
+BLOCK = 256
+
+
+def _sum(sizes: Column) -> Column:
+    return F.aggregate(sizes, F.lit(0), lambda s, x: s + x)
+
+
+def with_block_sums(rows: DataFrame, size: str) -> DataFrame:
+    """Adds before_block: the sum of all sizes before each block, so that ahead() costs a block at most."""
+    last = F.floor((F.size(size) - 1) / BLOCK).cast("int")
+    rows = rows.withColumn("block_sum", F.when(F.size(size) > 0, F.transform(F.sequence(F.lit(0), last), lambda b: _sum(F.slice(size, b * BLOCK + 1, BLOCK)))))
+    grown = F.aggregate("block_sum", F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.get(s, F.size(s) - 1) + x)))
+    return rows.withColumn("before_block", grown).drop("block_sum")
 
-    def span(m: Column, i: Column) -> Column:
-        start = F.aggregate(F.slice(size, 1, i), F.lit(0), lambda s, x: s + x) + F.length(F.get(gaps, i))
-        return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("excerpt"))
 
-    return F.when(F.size(found) > 0, F.transform(found, span)).otherwise(F.array().cast("array<struct<start:int,end:int,excerpt:string>>"))
+def ahead(size: str, i: Column) -> Column:
+    """The sum of the sizes before place i."""
+    b = F.floor(i / BLOCK).cast("int")
+    return F.get("before_block", b) + _sum(F.slice(size, b * BLOCK + 1, i % BLOCK))
 
 
 def any_case(pattern: str) -> str:

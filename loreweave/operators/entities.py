@@ -11,6 +11,7 @@ from loreweave.functions.lexicons import COMMON_WORDS, MENTION_RULES, PLACES, VE
 from loreweave.functions.text import folded_digest, spans
 
 CONTEXT = 100
+MENTIONS = "array<struct<rule_seq:int,pattern_seq:int,canonical_name:string,entity_type:string,char_start:int,char_end:int,excerpt:string>>"
 
 
 def _of_rule(rule: MentionRule, ordinal: int) -> Column:
@@ -36,7 +37,13 @@ def mentions(passages: DataFrame, rules: Iterable[MentionRule] = MENTION_RULES,
 
     All rules run in one pass over a passage. ignored: names (canonical_name) that are no mentions.
     """
-    found = F.concat(*[_of_rule(rule, i) for i, rule in enumerate(rules)])
+    numbered = list(enumerate(rules))
+    fixed = [(i, r) for i, r in numbered if r.seq <= 4]  # most passages hold none of their words: one search tells
+    each = [_of_rule(r, i) for i, r in numbered if r.seq > 4]
+    if fixed:
+        some = F.concat(*[_of_rule(r, i) for i, r in fixed])
+        each.append(F.when(F.col("text").rlike("(?U)" + "|".join(r.pattern for _, r in fixed)), some).otherwise(F.array().cast(MENTIONS)))
+    found = F.concat(*each)
     out = passages.select("passage_id", "source_id", "order_hint", "paragraph_index", F.explode(found).alias("m")).select("passage_id", "source_id", "order_hint", "paragraph_index", "m.*")
     return out if ignored is None else out.join(ignored.select("canonical_name"), "canonical_name", "left_anti").select(out.columns)
 

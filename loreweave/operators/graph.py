@@ -20,19 +20,23 @@ def _nodes(rows: DataFrame, label: str, node_id: str, temporal: bool, *own: str)
 
 
 def graph_nodes(passages: DataFrame, anchors: DataFrame, named: DataFrame, obliged: DataFrame, happened: DataFrame, related: DataFrame) -> DataFrame:
+    nothing = F.lit(None).cast("string")
+    time = F.struct(nothing.alias("time_label"), nothing.alias("time_start"), nothing.alias("time_end"))
+    placed = passages.withColumn("story_time", time).withColumn("story_order", F.struct(F.col("paragraph_index").alias("order_index"), nothing.alias("order_label"), "source_id", "passage_id"))
     every = [
-        _nodes(passages, "Passage", "passage_id", False, "source_id", "paragraph_index", "text", "char_start", "char_end"),
+        _nodes(placed, "Passage", "passage_id", True, "source_id", "paragraph_index", "text", "char_start", "char_end"),
         _nodes(anchors, "EvidenceAnchor", "anchor_id", False, "passage_id", "char_start", "char_end", "excerpt"),
         _nodes(named, "Entity", "entity_id", False, "canonical_name", "entity_type", "first_seen_passage", "mention_count"),
         _nodes(obliged, "Obligation", "obligation_id", False, "category", "description", "last_seen_passage_id", "confidence", "is_resolved", "resolution_passage_id"),
         _nodes(happened, "Event", "event_id", True, "event_type", "title", "description"),
         _nodes(related, "Relationship", "relationship_id", True, "relation_type", "source_entity_id", "target_entity_id", "description"),
     ]
-    return latest(reduce(DataFrame.unionByName, every), ["label", "node_id"], "properties")
+    written = [rows.withColumn("seq", F.struct(F.lit(i).alias("table"), "properties")) for i, rows in enumerate(every)]
+    return latest(reduce(DataFrame.unionByName, written), ["label", "node_id"], "seq").drop("seq")
 
 
 def latest(rows: DataFrame, key: list[str], by: str) -> DataFrame:
-    """One row per key, that with the largest by: an upsert in which the last write wins."""
+    """One row per key, that with the largest by, which numbers the writes: an upsert in which the last write wins."""
     rest = [c for c in rows.columns if c not in key]
     return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), by).alias("r")).select(*key, "r.*").select(rows.columns)
 

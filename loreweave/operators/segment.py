@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loreweave.functions.text import ahead, with_block_sums
+
 BLANK_LINE = r"\n\s*\n"
 
 
@@ -17,11 +19,11 @@ def segment(docs: DataFrame, delimiter: str = BLANK_LINE) -> DataFrame:
     pattern = f"(?U){delimiter}"
     parts, gaps = F.split("raw_text", pattern, -1), F.regexp_extract_all("raw_text", F.lit(pattern), F.lit(0))
     d = docs.where(F.col("raw_text").isNotNull()).select("source_id", "order_hint", parts.alias("part"), gaps.alias("gap"))
-    d = d.withColumn("size", F.transform("part", lambda x, i: F.length(x) + F.coalesce(F.length(F.get("gap", i)), F.lit(0))))
+    d = with_block_sums(d.withColumn("size", F.zip_with("part", "gap", lambda x, g: F.length(x) + F.coalesce(F.length(g), F.lit(0)))), "size")
 
     def paragraph(part, i):
         bare = F.regexp_replace(part, r"(?U)^\s+|\s+\z", "")
-        start = F.aggregate(F.slice("size", 1, i), F.lit(0), lambda s, x: s + x) + F.length(part) - F.length(F.regexp_replace(part, r"(?U)^\s+", ""))
+        start = ahead("size", i) + F.length(part) - F.length(F.regexp_replace(part, r"(?U)^\s+", ""))
         return F.struct(F.regexp_replace(bare, "\r\n", "\n").alias("text"), start.alias("char_start"), (start + F.length(bare)).alias("char_end"))
 
     kept = F.filter(F.transform("part", paragraph), lambda p: p["text"] != "")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loreweave.functions.lineage import shared_dir
 
@@ -42,3 +43,26 @@ def sql() -> str:
     """corpus(source_id, order_hint, raw_text) as a common table expression."""
     rows = ", ".join(f"({_quoted(s)}, {o}, {_quoted(t)})" for s, o, t in CORPUS)
     return f"corpus AS (SELECT * FROM (VALUES {rows}) AS v(source_id, order_hint, raw_text))"
+
+
+#: Letters that tell names of a story apart.
+LETTERS = "bcdfghjklmnprst"
+
+
+def story(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text of the corpus for each document, with names and order by its doc_id: names that many passages share, equal
+    phrases everywhere, and two documents at each place of the order."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    texts = [t for _, _, t in CORPUS if t.strip()]
+    text = F.element_at(F.array(*map(F.lit, texts)), (F.col("doc_id") % len(texts) + 1).cast("int"))
+    letter = lambda n: F.substring(F.lit(LETTERS), (n % len(LETTERS) + 1).cast("int"), F.lit(1))
+    named = F.replace(F.replace(text, F.lit("Vale"), F.concat(F.lit("Va"), letter(F.col("doc_id")), F.lit("e"))), F.lit("Hale"), F.concat(F.lit("Ha"), letter(F.floor(F.col("doc_id") / len(LETTERS))), F.lit("e")))
+    return d.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source_id"), F.floor(F.col("doc_id") / 2).cast("int").alias("order_hint"), named.alias("raw_text"))
+
+
+def story_sql() -> str:
+    """corpus(source_id, order_hint, raw_text) as a common table expression over documents."""
+    texts = [t for _, _, t in CORPUS if t.strip()]
+    letter = lambda n: f"substr('{LETTERS}', CAST({n} % {len(LETTERS)} + 1 AS INTEGER), 1)"
+    named = f"replace(replace([{', '.join(map(_quoted, texts))}][CAST(doc_id % {len(texts)} + 1 AS INTEGER)], 'Vale', 'Va' || {letter('doc_id')} || 'e'), 'Hale', 'Ha' || {letter(f'(doc_id // {len(LETTERS)})')} || 'e')"
+    return f"corpus AS (SELECT 'd' || doc_id AS source_id, CAST(doc_id // 2 AS INTEGER) AS order_hint, {named} AS raw_text FROM documents)"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from loreweave.functions.lexicons import CATEGORIES, COMMON_WORDS, CONTRADICTIONS, DOSSIER_ORDER, EVENT_RULES, MENTION_RULES, OBLIGATION_RULES, PLACES, RELATION_RULES, REVIEW_CATEGORIES, VEHICLE_WORDS
 from loreweave.plans import corpus
-from loreweave.plans.queries import PATHS
+from loreweave.plans.queries import PATHS, STORY
 
 
 def q(x: object) -> str:
@@ -83,7 +83,6 @@ def finding(severity: str, category: str, message: str, related: str) -> str:
 
 
 BASE = ",\n".join([
-    corpus.sql(),
     passages_of("passages", "corpus", r"\n\s*\n"),
     mentions_of("mentions", "passages"),
     entities_of("entities", "mentions", 2),
@@ -151,7 +150,11 @@ def edges_of(t: dict[str, str]) -> str:
 
 
 EDGES = "edges AS (" + edges_of({k: k for k in ("anchors", "entities", "obligations", "events", "relationships")}) + ")"
-NODES = "nodes AS (SELECT 'Passage' AS label, passage_id AS node_id, NULL::INTEGER AS story_order_index FROM passages UNION ALL SELECT 'EvidenceAnchor', anchor_id, NULL FROM (SELECT DISTINCT anchor_id FROM anchors) UNION ALL SELECT 'Entity', entity_id, NULL FROM entities UNION ALL SELECT 'Obligation', obligation_id, NULL FROM obligations UNION ALL SELECT 'Event', event_id, paragraph_index FROM events UNION ALL SELECT 'Relationship', relationship_id, paragraph_index FROM relationships)"
+NODES = """nodes AS (
+  SELECT 'Passage' AS label, passage_id AS node_id, paragraph_index AS story_order_index, source_id AS story_order_source_id, passage_id AS story_order_passage_id FROM passages
+  UNION ALL SELECT 'EvidenceAnchor', anchor_id, NULL, NULL, NULL FROM (SELECT DISTINCT anchor_id FROM anchors) UNION ALL SELECT 'Entity', entity_id, NULL, NULL, NULL FROM entities
+  UNION ALL SELECT 'Obligation', obligation_id, NULL, NULL, NULL FROM obligations UNION ALL SELECT 'Event', event_id, paragraph_index, source_id, passage_id FROM events
+  UNION ALL SELECT 'Relationship', relationship_id, paragraph_index, source_id, passage_id FROM relationships)"""
 TOKENS = r"list_sort(list_distinct(list_filter(list_transform(regexp_split_to_array(lower({0}), '\s+'), lambda w: trim(w, '.,!?;:""''()-[]{{}}')), lambda w: w <> '')))".replace('""', '"')
 JACCARD = "CASE WHEN len(x) = 0 AND len(y) = 0 THEN 1.0 ELSE len(list_intersect(x, y))::DOUBLE / greatest(1, len(list_distinct(list_concat(x, y)))) END"
 BROKEN = """
@@ -179,7 +182,7 @@ def integrity(name: str, rows: str, key: str, known: str, known_key: str) -> str
 
 
 def on_corpus(select: str, *more: str) -> str:
-    return "WITH RECURSIVE " + ",\n".join([BASE, *more]) + "\n" + select
+    return "WITH RECURSIVE " + ",\n".join([corpus.sql(), BASE, *more]) + "\n" + select
 
 
 def on_documents(select: str, *more: str) -> str:
@@ -276,7 +279,8 @@ ORACLE_SQL: dict[str, str] = {
     "integrity_report": on_corpus(" UNION ALL ".join([
         integrity("obligation_anchor", "(SELECT unnest(anchor_list) AS a FROM b_obligations)", "a", "b_anchors", "anchor_id"), integrity("obligation_last_seen", "b_obligations", "last_seen_passage_id", "b_passages", "passage_id"), "SELECT 'obligation_resolution', 0, 0",
         integrity("obligation_entity", "(SELECT unnest(related) AS e FROM b_obligations)", "e", "b_entities", "entity_id"), integrity("alias_entity", "aliases", "entity_id", "b_entities", "entity_id"), integrity("anchor_passage", "b_anchors", "passage_id", "b_passages", "passage_id"), integrity("entity_first_seen", "b_entities", "first_seen_passage", "b_passages", "passage_id"),
-    ]), BROKEN),
+        *[integrity(f"edge_{end}", "edges", f"{end}_label || ':' || {end}_id", "(SELECT label || ':' || node_id AS nk FROM nodes WHERE label <> 'Event') AS n", "nk") for end in ("source", "target")],
+    ]), BROKEN, NODES, EDGES),
     "schema_gate": finding("error", "schema", "'Row ''' || id || ''' fails ' || rule || ': ' || field", "id") + " FROM (VALUES ('b', 'type', 'n'), ('c', 'required', 'n'), ('c', 'type', 'share')) AS v(id, rule, field)",
     "review_items": on_corpus(_review(), BROKEN, GATED, CONTRADICTED),
     "missing_artifacts": finding("error", "missing_artifact", "'Missing artifact: ' || path", "path") + " FROM (VALUES ('canon/passages'), ('qa/findings')) AS v(path)",
@@ -304,8 +308,11 @@ ORACLE_SQL: dict[str, str] = {
     "dossier_lines": on_corpus(f"SELECT CAST(list_position([{', '.join(map(q, DOSSIER_ORDER))}], category) AS BIGINT) AS section, obligation_id, '### ' || description || chr(10) || 'Confidence: ' || printf('%.2f', confidence) || chr(10) || (SELECT string_agg('> ' || a.excerpt || ' (' || a.passage_id || ')', chr(10) ORDER BY u.i) FROM (SELECT unnest(anchor_list) AS id, generate_subscripts(anchor_list, 1) AS i) AS u JOIN anchors AS a ON a.anchor_id = u.id) AS block FROM obligations"),
     "inc_payload": on_corpus(" UNION ALL ".join(f"SELECT DISTINCT '{k}' AS store, {v} AS id FROM t_{k}" for k, v in _TABLES.items()), TOUCHED),
     "inc_graph": on_corpus(f"SELECT rel_type, source_label, target_label, count(*) AS n FROM ({edges_of({k: f't_{k}' for k in _TABLES})}) GROUP BY ALL", TOUCHED),
-    "filename_metadata": rf"SELECT path, CASE WHEN split THEN string_split(s, '_')[1] END AS book_label, CASE WHEN split THEN substr(s, instr(s, '_') + 1) ELSE s END AS chapter_label FROM (SELECT *, starts_with(lower(s), 'book') AND contains(s, '_') AND (regexp_matches(substr(string_split(s, '_')[1], 5), '^[0-9]+$') OR length(string_split(s, '_')[1]) > 4) AS split FROM (SELECT path, {_STEM} AS s FROM {_FILES}))",
+    "filename_metadata": rf"SELECT path, CASE WHEN split THEN string_split(s, '_')[1] END AS book_label, CASE WHEN split THEN substr(s, instr(s, '_') + 1) ELSE s END AS chapter_label FROM (SELECT *, starts_with(s, 'book') AND contains(s, '_') AND (regexp_matches(substr(string_split(s, '_')[1], 5), '^[0-9]+$') OR length(string_split(s, '_')[1]) > 4) AS split FROM (SELECT path, {_STEM} AS s FROM {_FILES}))",
     "changed_files": rf"SELECT path FROM {_FILES} WHERE starts_with(path, '/in/') AND regexp_matches(lower(path), '[^/]\.(txt|md|markdown|docx|pdf)$')",
+    # by hand: taken are a.txt, a (2), a (4), c.md, b (x).MD, and an upload is itself named c (2).md
+    "upload_names": "SELECT * FROM " + values([(0, 'a.txt', 'a (3).txt'), (1, 'a.txt', 'a (5).txt'), (2, 'b.MD', 'b.MD'), (3, 'a.txt', 'a (6).txt'), (4, 'b.MD', 'b (2).MD'), (5, 'c (2).md', 'c (2).md'), (6, 'c.md', 'c (3).md'), (7, 'c.md', 'c (4).md'), (8, 'noend', 'noend'), (9, 'noend', 'noend (2)'), (10, '.txt', '.txt')], "upload_id, name, stored_name"),
     "source_ids_from_paths": f"SELECT DISTINCT source_id FROM (SELECT {_STEM} AS source_id FROM {_FILES}) WHERE source_id <> ''",
 }
 
+ORACLE_SQL |= {f"{name}_story": ORACLE_SQL[name].replace(corpus.sql(), corpus.story_sql()) for name in STORY}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loreweave.functions.lexicons import MENTION_RULES
 from loreweave.functions.lineage import cut
 from loreweave.functions.text import jaccard, recency, tokens
 from loreweave.operators import dedupe, entities, gates, graph, incremental, metrics, obligations, planning
@@ -29,6 +30,7 @@ def query(f: Query) -> Query:
 
 
 _corpus_tables: dict[str, dict[str, DataFrame]] = {}
+_story_tables: dict[str, dict[str, DataFrame]] = {}
 
 
 def corpus_tables(spark: SparkSession) -> dict[str, DataFrame]:
@@ -40,11 +42,30 @@ def corpus_tables(spark: SparkSession) -> dict[str, DataFrame]:
     return _corpus_tables[app]
 
 
+#: Queries that are answered over a text for each document too, at the size of the driver's table.
+STORY = (
+    "corpus_passages", "mentions_vehicle", "mentions_capitalized", "entities", "alias_table", "entity_with_aliases", "entity_anchors", "link_entities", "obl_prophecy", "obl_chekhov", "obl_mystery",
+    "obl_plot_thread", "evidence_index", "anchors_by_passage", "resolve_evidence", "stats", "event_participants", "event_location", "events", "event_obligations", "relationships", "graph_nodes", "graph_edges",
+    "g_events_for_entity", "g_timeline", "g_evidence_for_relationship", "outline_beats", "convergence", "coverage_map", "reveal_ledger", "twist_bank", "dossier_lines",
+)
+
+
+def story_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The tables over a text for each document, computed once for an application and folder."""
+    key = f"{spark.sparkContext.applicationId} {sf_dir}"
+    if key not in _story_tables:
+        _story_tables.clear()
+        _story_tables[key] = tables(corpus.story(spark, sf_dir), CONFIG)
+    return _story_tables[key]
+
+
 def of_corpus(name: str):
     """Registers a query over the tables of the small corpus."""
 
     def register(f: Callable[[dict[str, DataFrame], SparkSession], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: f(corpus_tables(spark), spark)
+        if name in STORY:
+            QUERIES[f"{name}_story"] = lambda spark, sf_dir: f(story_tables(spark, sf_dir), spark)
         return f
 
     return register
@@ -78,8 +99,8 @@ def entities_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def mentions_capitalized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = entities.mentions(segment(documents.documents_table(spark, sf_dir), r"\n"))
-    return found.where("rule_seq = 6").select("passage_id", "canonical_name", "char_start", "char_end")
+    found = entities.mentions(segment(documents.documents_table(spark, sf_dir), r"\n"), [r for r in MENTION_RULES if r.seq == 6])
+    return found.select("passage_id", "canonical_name", "char_start", "char_end")
 
 
 @query
@@ -287,6 +308,7 @@ def _(t, spark):
     b = _broken(t)
     used = b["obligations"].select("obligation_id", F.explode("evidence_anchor_ids").alias("anchor_id"))
     related = b["obligations"].select(F.explode("related_entity_ids").alias("entity_id"))
+    nodes = t["nodes"].where("label <> 'Event'").select(F.concat_ws(":", "label", "node_id").alias("key"))
     return gates.integrity_report({
         "obligation_anchor": (used, "anchor_id", b["anchors"], "anchor_id"),
         "obligation_last_seen": (b["obligations"], "last_seen_passage_id", b["passages"], "passage_id"),
@@ -295,6 +317,7 @@ def _(t, spark):
         "alias_entity": (b["aliases"], "entity_id", b["entities"], "entity_id"),
         "anchor_passage": (b["anchors"], "passage_id", b["passages"], "passage_id"),
         "entity_first_seen": (b["entities"], "first_seen_passage", b["passages"], "passage_id"),
+        **{f"edge_{end}": (t["edges"].select(F.concat_ws(":", f"{end}_label", f"{end}_id").alias("key")), "key", nodes, "key") for end in ("source", "target")},
     })
 
 
@@ -355,7 +378,7 @@ def _(t, spark):
 
 @of_corpus("graph_nodes")
 def _(t, spark):
-    return t["nodes"].select("label", "node_id", "story_order_index")
+    return t["nodes"].select("label", "node_id", "story_order_index", "story_order_source_id", "story_order_passage_id")
 
 
 @of_corpus("graph_edges")
@@ -467,6 +490,16 @@ def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.changed_files(_paths(spark), "/in")
 
 
+UPLOADS = ("a.txt", "a.txt", "b.MD", "a.txt", "b.MD", "c (2).md", "c.md", "c.md", "noend", "noend", ".txt")
+STORED = ("a.txt", "a (2).txt", "a (4).txt", "c.md", "b (x).MD")
+
+
+@query
+def upload_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = spark.createDataFrame(list(enumerate(UPLOADS)), "upload_id int, name string")
+    return documents.free_names(wanted, spark.createDataFrame([(x,) for x in STORED], "name string"))
+
+
 @query
 def source_ids_from_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.source_ids(_paths(spark))

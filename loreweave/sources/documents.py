@@ -26,7 +26,7 @@ def filename_metadata(paths: DataFrame) -> DataFrame:
     name = stem(F.col("path"))
     rest = F.expr("substring(s, instr(s, '_') + 1)")
     d = paths.select("path", name.alias("s")).withColumn("head", F.substring_index("s", "_", 1)).withColumn("rest", rest)
-    split = F.lower("s").startswith("book") & F.col("s").contains("_") & (F.substring("head", 5, 99).rlike("^[0-9]+$") | (F.length("head") > 4))
+    split = F.col("s").startswith("book") & F.col("s").contains("_") & (F.substring("head", 5, 99).rlike("^[0-9]+$") | (F.length("head") > 4))
     return d.select("path", F.when(split, F.col("head")).alias("book_label"), F.when(split, F.col("rest")).otherwise(F.col("s")).alias("chapter_label"))
 
 
@@ -84,10 +84,20 @@ def source_ids(paths: DataFrame) -> DataFrame:
 
 
 def free_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
-    """name and stored_name of uploads: a name that is taken or comes again gets the next free (2), (3), ..."""
-    n = F.row_number().over(Window.partitionBy("name").orderBy("upload_id"))
-    w = wanted.join(taken.select("name", F.lit(1).alias("has")).distinct(), "name", "left").withColumn("n", n + F.coalesce("has", F.lit(0)))
-    return w.select("upload_id", "name", F.when(F.col("n") == 1, F.col("name")).otherwise(F.concat(stem(F.col("name")), F.lit(" ("), F.col("n").cast("string"), F.lit(")."), suffix(F.col("name")))).alias("stored_name"))
+    """upload_id, name and stored_name of uploads: a name that is taken or comes again gets the next free (2), (3), ...
+
+    Numbers that stored files or uploads have in their own names are not free, so that nothing is overwritten.
+    """
+    ending = F.regexp_extract("name", r"(?<=.)(\.[^.]*)$", 1)
+    named = taken.select("name").unionByName(wanted.select("name")).distinct().withColumn("ending", ending).withColumn("head", stem(F.col("name")))
+    number = F.regexp_extract("head", r" \(([0-9]{1,9})\)$", 1).cast("int")
+    held = named.where("head rlike ' [(][0-9]{1,9}[)]$'").select(F.concat(F.regexp_replace("head", r" \([0-9]{1,9}\)$", ""), "ending").alias("name"), number.alias("n")).where("n > 1")
+    held = held.unionByName(taken.select("name", F.lit(1).alias("n"))).groupBy("name").agg(F.array_sort(F.collect_set("n")).alias("held"))
+    w = wanted.withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("upload_id"))).join(held, "name", "left").withColumn("held", F.coalesce("held", F.array().cast("array<int>")))
+    # before the t-th of the held numbers, x, lie x - t free ones
+    w = w.withColumn("n", F.col("k") + F.size(F.filter("held", lambda x, t: x - t - 1 < F.col("k"))))
+    stored = F.concat(stem(F.col("name")), F.lit(" ("), F.col("n").cast("string"), F.lit(")"), ending)
+    return w.select("upload_id", "name", F.when(F.col("n") == 1, F.col("name")).otherwise(stored).alias("stored_name"))
 
 
 def documents_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,7 +110,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, remove: str = "documents",
         raise ValueError("remove must be documents or spans")
     mark = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
     base, hits = _found(docs, bench.where(F.col(item_id).isNotNull()), window, mark, {}, text, item_id)
-    hits = written(hits.select("at", "hits"), "contaminated")
+    hits = written(hits.select("at", *["hits"] * (remove == "spans")), "contaminated")
     dropped(base)
     rows = docs.select(packed_row(docs).alias("row"), mark.alias("at"))
     if remove == "documents":

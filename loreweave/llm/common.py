@@ -58,6 +58,12 @@ def dropped(df: DataFrame) -> None:
         drop_path(df.sparkSession, path)
 
 
+def sent_if_small(table: DataFrame, column: str, row_bytes: int = 64, most: int = 32 << 20) -> DataFrame:
+    """A written table to look a column up in: broadcast where its size, which is measured, is at most so many bytes."""
+    size = table.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0)) + row_bytes), F.lit(0))).collect()[0][0]
+    return F.broadcast(table) if size <= most else table
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

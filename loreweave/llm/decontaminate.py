@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreweave.llm.common import ascii_lower, dropped, packed_row, power_of_two, written
+from loreweave.llm.common import ascii_lower, dropped, packed_row, power_of_two, sent_if_small, written
 from loreweave.llm.ngrams import with_window_hashes
 
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -114,7 +114,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, remove: str = "documents",
     dropped(base)
     rows = docs.select(packed_row(docs).alias("row"), mark.alias("at"))
     if remove == "documents":
-        return rows.join(hits.select("at"), "at", "left_anti").select("row.*")
+        return rows.join(sent_if_small(hits.select("at"), "at", most=BROADCAST_BYTES), "at", "left_anti").select("row.*")
     out = rows.join(hits, "at", "left")
     body = F.coalesce(F.col(f"row.`{text}`"), F.lit(""))
     lead = F.regexp_extract(body, r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)

@@ -6,6 +6,7 @@ import atexit
 import math
 import tempfile
 import uuid
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +69,23 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def numbered(rows: DataFrame, *order: Column | str, name: str = "numbered") -> DataFrame:
+    """rows with at, their place from 0 in that order over the whole table, as a written table.
+
+    Ranges of the order are sorted apart; each range's rows lie behind those of the ranges before it, whose sizes (a row
+    per range) are added up. rows should be cheap to read twice, as ranges are sampled.
+    """
+    spark = rows.sparkSession
+    shard, place = F.shiftright("at", 33).cast("int"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = written(rows.repartitionByRange(parts(spark), *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), name)
+    sizes = placed.groupBy(shard.alias("shard")).count().orderBy("shard").collect()
+    ahead = list(accumulate((r["count"] for r in sizes), initial=0))
+    before = spark.createDataFrame([(r["shard"], n) for r, n in zip(sizes, ahead)], "shard int, before long")
+    out = placed.withColumn("shard", shard).join(F.broadcast(before), "shard").select(*rows.columns, (place + F.col("before")).alias("at"))
+    out.loreweave_path = placed.loreweave_path
+    return out
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else; pure ASCII text takes the byte-wise path of lower()."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

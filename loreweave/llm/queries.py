@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.llm import decontaminate, language_id, license_scan, line_dedup, packing, pii, quality, secret_scan, simhash, token_files
+from loreweave.llm import decontaminate, importance, language_id, license_scan, line_dedup, merkle, packing, pii, quality, secret_scan, simhash, token_files, warc
 from loreweave.llm.common import new_path
 
 
@@ -82,6 +82,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(_table(spark, sf_dir, "documents")).drop("failed_rule")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance_ranks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "documents")
+    leaf = lambda text: merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, leaf(F.replace(F.col("text"), F.lit("\n"), F.lit("")))).otherwise(leaf(F.col("text")))
+    found = merkle.merkle_manifest(d.select("doc_id", "source", leaf(F.col("text")).alias("leaf"), tampered.alias("tampered")))
+    told = found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), merkle.folded(F.col("tampered"), F.col("proof")).alias("folded_root"))
+    return told.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_warc(_table(spark, sf_dir, "pages"), path)
+    return warc.read_warc(spark, path).drop("fault")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_decontamination": op2_decontamination,
@@ -93,9 +112,99 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_warc": op13_warc,
 }
 
+
+
+def _crc_table() -> str:
+    """The 256 remainders by which CRC-32 goes through a string byte by byte."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ 0xEDB88320 * (c & 1)
+        out.append(f"{c}::BIGINT")
+    return f"[{', '.join(out)}]"
+
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of a string's UTF-8 bytes, in SQL."""
+    each = f"list_transform(range(0, strlen({text})), lambda i: CAST('0x' || substr(hex(encode({text})), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))"
+    return f"xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, {each}), lambda c, b: xor(c >> 8, {_crc_table()}[(xor(c, b) & 255) + 1])))"
+
+
+def _merkle_sql(levels: int = 12, upper: int = 4) -> str:
+    """Trees of up to 3 ** levels leaves each, over up to 3 ** upper sources."""
+    value = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+    leaf = lambda text: "sha256(" + " || ".join(map(value, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    out = [f"""d AS (
+  SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN {_crc32('CAST(doc_id AS VARCHAR)')} % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf('text')} END AS changed,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS grp FROM documents)"""]
+
+    def grow(name: str, first: str, steps: int) -> str:
+        """Levels by (grp, pos) until one node is left: h is the digest, n the nodes of the level."""
+        out.append(f"{name}0 AS ({first})")
+        for i in range(steps):
+            out.append(f"{name}{i + 1} AS (SELECT grp, pos // 3 AS pos, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY pos)) END AS h, CAST(ceil(any_value(n) / 3.0) AS BIGINT) AS n FROM {name}{i} GROUP BY grp, pos // 3)")
+        return f"{name}{steps}"
+
+    top = grow("t", "SELECT grp, pos, leaf AS h, count(*) OVER (PARTITION BY grp) AS n FROM d", levels)
+    root = grow("u", f"SELECT 0 AS grp, grp AS pos, h, count(*) OVER () AS n FROM {top}", upper)
+    state = "SELECT doc_id, grp, pos, leaf, changed AS f, '' AS p FROM d"
+    for name, steps, at in (("t", levels, "pos"), ("u", upper, "pos")):
+        if name == "u":
+            state = f"SELECT s.doc_id, s.grp AS own, 0 AS grp, s.grp AS pos, s.leaf, s.f, s.p FROM ({state}) s"
+        for i in range(steps):
+            run = f"(SELECT grp, pos // 3 AS run, any_value(n) AS n, list(h ORDER BY pos) AS hs FROM {name}{i} GROUP BY grp, pos // 3)"
+            own = "s.own, " if name == "u" else ""
+            out.append(f"{name}p{i} AS (SELECT s.doc_id, {own}s.grp, s.pos // 3 AS pos, s.leaf, CASE WHEN n = 1 THEN f ELSE sha256(array_to_string(hs[1:s.pos % 3], '') || f || array_to_string(hs[s.pos % 3 + 2:], '')) END AS f, CASE WHEN n = 1 THEN p ELSE p || array_to_string(hs[1:s.pos % 3], '') || array_to_string(hs[s.pos % 3 + 2:], '') END AS p FROM ({state}) s JOIN {run} r ON s.grp = r.grp AND s.pos // 3 = r.run)")
+            state = f"SELECT * FROM {name}p{i}"
+    return f"""WITH {', '.join(out)}
+SELECT doc_id, leaf, t.h AS subroot, u.h AS root, sha256(p) AS proof_sha256, f AS folded_root, f = u.h AS verified FROM ({state}) s JOIN {top} t ON s.own = t.grp CROSS JOIN {root} u"""
+
+
+def _base32(hexes: str) -> str:
+    """A 40-digit hex string in base 32, in SQL."""
+    each = "list_transform([0, 1, 2, 3, 4, 5, 6, 7], lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr({0}, {1}, 10) AS BIGINT) >> (35 - 5 * j)) & 31) + 1 AS BIGINT), 1))"
+    return " || ".join(f"array_to_string({each.format(hexes, 10 * i + 1)}, '')" for i in range(4))
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_importance_resampling": rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), b AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), own AS (
+  SELECT doc_id, f, count(*) AS n FROM (
+    SELECT doc_id, unnest(ws) AS f FROM d UNION ALL SELECT doc_id, ws[i] || ' ' || ws[i + 1] FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM d WHERE len(ws) > 1)) GROUP BY doc_id, f
+), aim AS (
+  SELECT f, count(*) AS n FROM (
+    SELECT unnest(ws) AS f FROM b UNION ALL SELECT ws[i] || ' ' || ws[i + 1] FROM (SELECT ws, unnest(range(1, len(ws))) AS i FROM b WHERE len(ws) > 1)) GROUP BY f
+), known AS (SELECT f, {_crc32("f")} % 10000 AS bucket FROM (SELECT f FROM own UNION SELECT f FROM aim)
+), s AS (SELECT bucket, sum(n) AS n FROM own JOIN known USING (f) GROUP BY bucket
+), t AS (SELECT bucket, sum(n) AS n FROM aim JOIN known USING (f) GROUP BY bucket
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)::DOUBLE / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM (SELECT unnest(range(0, 10000)) AS bucket) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)
+), sums AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS total FROM own JOIN known USING (f) JOIN gains USING (bucket) GROUP BY doc_id
+), told AS (
+  SELECT doc_id, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, CAST(coalesce(floor(total::DOUBLE / n_features), 0) AS BIGINT) AS weight,
+    CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS noise
+  FROM d LEFT JOIN sums USING (doc_id)
+), ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS r, count(*) OVER () AS n FROM told WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN r <= 25 * n // 100 THEN r END AS rank FROM told LEFT JOIN ranked USING (doc_id)
+""",
+    "op12_merkle_manifest": _merkle_sql(),
+    "op13_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages
+), first AS (SELECT html, min(page_id) AS of FROM p GROUP BY html)
+SELECT page_id, strlen(html) AS payload_bytes, {_base32("upper(sha1(html))")} AS payload_digest, CASE WHEN page_id = of THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> of THEN of END AS refers_to
+FROM p JOIN first USING (html)
+""",
     "op2_decontamination": r"""
 WITH norm AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents

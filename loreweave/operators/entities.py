@@ -48,14 +48,22 @@ def mentions(passages: DataFrame, rules: Iterable[MentionRule] = MENTION_RULES,
     return out if ignored is None else out.join(ignored.select("canonical_name"), "canonical_name", "left_anti").select(out.columns)
 
 
+#: Where a mention stands in the order of all, and behind that what its name is if it is the first.
+FIRST_MENTION = ("order_hint", "source_id", "paragraph_index", "rule_seq", "pattern_seq", "char_start", "entity_type", "passage_id")
+
+
 def entities(found: DataFrame, vehicle_min: int = 3, forced: DataFrame | None = None) -> DataFrame:
     """entity_id, canonical_name, entity_type, first_seen_passage, mention_count: one row per name.
 
     Type and passage are those of the first mention; a name first seen as a vehicle needs vehicle_min mentions, or to be
     in forced (canonical_name, entity_id), whose ids win.
     """
-    order = F.struct("order_hint", "source_id", "paragraph_index", "rule_seq", "pattern_seq", "char_start")
-    e = found.groupBy("canonical_name").agg(F.min_by(F.struct("entity_type", "passage_id"), order).alias("first"), F.count("*").alias("mention_count"))
+    e = found.groupBy("canonical_name").agg(F.min(F.struct(*FIRST_MENTION)).alias("first"), F.count("*").alias("mention_count"))
+    return entities_of(e, vehicle_min, forced)
+
+
+def entities_of(e: DataFrame, vehicle_min: int = 3, forced: DataFrame | None = None) -> DataFrame:
+    """Entities from a row per name: canonical_name, first (FIRST_MENTION) and mention_count."""
     e = e.select("canonical_name", F.col("first.entity_type").alias("entity_type"), F.col("first.passage_id").alias("first_seen_passage"), "mention_count")
     e = e.withColumn("forced_id", F.lit(None).cast("string")) if forced is None else e.join(forced.select("canonical_name", F.col("entity_id").alias("forced_id")), "canonical_name", "left")
     e = e.where((F.col("entity_type") != "vehicle") | (F.col("mention_count") >= vehicle_min) | F.col("forced_id").isNotNull())
@@ -89,33 +97,3 @@ def with_aliases(named: DataFrame, known: DataFrame) -> DataFrame:
     """entity_id, canonical_name and the sorted texts of its aliases, joined by ;"""
     own = known.groupBy("entity_id").agg(F.array_join(F.array_sort(F.collect_set("alias_text")), ";").alias("aliases"))
     return named.join(own, "entity_id", "left").select("entity_id", "canonical_name", F.coalesce("aliases", F.lit("")).alias("aliases"))
-
-
-#: Characters of a name's end by which it is looked up, and keys up to which they are broadcast to thin out the texts' pieces.
-KEY, MOST_KEYS = 6, 500_000
-
-
-def _pieces(text: Column, n: int) -> Column:
-    """All pieces of n characters."""
-    return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-
-
-def links(passages: DataFrame, named: DataFrame) -> DataFrame:
-    """passage_id, entity_id, canonical_name, entity_type, position: entities whose name stands, in any case, in a passage.
-
-    A name can stand anywhere in a text, so names meet passages by an equi-join of their last KEY characters (all of a
-    shorter name) with the pieces of that length of the text; containment is then verified. No cross join, however many
-    entities: the pieces that no name ends with are dropped before anything is shuffled, if the keys are few enough to send.
-    """
-    name = F.lower("canonical_name")
-    heads = named.select("entity_id", "canonical_name", "entity_type", name.alias("name"), F.when(F.length(name) > KEY, F.right(name, F.lit(KEY))).otherwise(name).alias("key"))
-    sizes = sorted(r["n"] for r in heads.select(F.length("key").alias("n")).where("n > 0").distinct().collect())  # KEY at most
-    low = F.lower("text")
-    pieces = [_pieces(low, n) for n in sizes]
-    each = F.array_distinct(F.concat(*pieces)) if pieces else F.array().cast("array<string>")
-    p = passages.select("passage_id", F.explode(each).alias("key"))  # without the text, which only candidates need
-    keys = heads.select("key").distinct()
-    if keys.count() <= MOST_KEYS:
-        p = p.join(F.broadcast(keys), "key", "left_semi")
-    met = p.join(heads, "key").join(passages.select("passage_id", low.alias("low")), "passage_id").withColumn("position", F.instr(F.col("low"), F.col("name"))).where("position > 0")
-    return met.select("passage_id", "entity_id", "canonical_name", "entity_type", "position")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreweave.functions.lineage import shared_dir
@@ -49,15 +49,41 @@ def sql() -> str:
 LETTERS = "bcdfghjklmnprst"
 
 
+def _story_text(doc_id: Column) -> Column:
+    texts = [t for _, _, t in CORPUS if t.strip()]
+    text = F.element_at(F.array(*map(F.lit, texts)), (doc_id % len(texts) + 1).cast("int"))
+    letter = lambda n: F.substring(F.lit(LETTERS), (n % len(LETTERS) + 1).cast("int"), F.lit(1))
+    return F.replace(F.replace(text, F.lit("Vale"), F.concat(F.lit("Va"), letter(doc_id), F.lit("e"))), F.lit("Hale"), F.concat(F.lit("Ha"), letter(F.floor(doc_id / len(LETTERS))), F.lit("e")))
+
+
 def story(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A text of the corpus for each document, with names and order by its doc_id: names that many passages share, equal
     phrases everywhere, and two documents at each place of the order."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
-    texts = [t for _, _, t in CORPUS if t.strip()]
-    text = F.element_at(F.array(*map(F.lit, texts)), (F.col("doc_id") % len(texts) + 1).cast("int"))
-    letter = lambda n: F.substring(F.lit(LETTERS), (n % len(LETTERS) + 1).cast("int"), F.lit(1))
-    named = F.replace(F.replace(text, F.lit("Vale"), F.concat(F.lit("Va"), letter(F.col("doc_id")), F.lit("e"))), F.lit("Hale"), F.concat(F.lit("Ha"), letter(F.floor(F.col("doc_id") / len(LETTERS))), F.lit("e")))
-    return d.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source_id"), F.floor(F.col("doc_id") / 2).cast("int").alias("order_hint"), named.alias("raw_text"))
+    return d.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source_id"), F.floor(F.col("doc_id") / 2).cast("int").alias("order_hint"), _story_text(F.col("doc_id")).alias("raw_text"))
+
+
+def _annotated(d: DataFrame, prefix: str = "d", shift: int = 0) -> DataFrame:
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("\n\n"), _story_text(F.col("doc_id") + shift))
+    return d.select(F.concat(F.lit(prefix), F.col("doc_id").cast("string")).alias("source_id"), F.floor(F.col("doc_id") / 2).cast("int").alias("order_hint"), text.alias("raw_text"))
+
+
+def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's own text with that of story() behind it, so that the rule tables find something in driver's texts."""
+    return _annotated(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def annotated_before(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """An earlier version of annotated(), and what leads to it: changed documents, and removed source_ids. Of the labelled
+    documents those of low quality had another story, toxic ones are new, and those of high quality had a copy each at
+    the very beginning that is gone."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    told = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    d = d.join(told, "doc_id", "left")
+    new, other = F.coalesce(F.col("toxic") == 1, F.lit(False)), F.coalesce(F.col("quality") == 0, F.lit(False))
+    copies = _annotated(d.where("quality = 1"), "x").withColumn("order_hint", F.lit(-1))
+    before = _annotated(d.where(~new & ~other)).unionByName(_annotated(d.where(~new & other), shift=7)).unionByName(copies)
+    return before, _annotated(d.where(new | other)), copies.select("source_id")
 
 
 def story_sql() -> str:
@@ -66,3 +92,8 @@ def story_sql() -> str:
     letter = lambda n: f"substr('{LETTERS}', CAST({n} % {len(LETTERS)} + 1 AS INTEGER), 1)"
     named = f"replace(replace([{', '.join(map(_quoted, texts))}][CAST(doc_id % {len(texts)} + 1 AS INTEGER)], 'Vale', 'Va' || {letter('doc_id')} || 'e'), 'Hale', 'Ha' || {letter(f'(doc_id // {len(LETTERS)})')} || 'e')"
     return f"corpus AS (SELECT 'd' || doc_id AS source_id, CAST(doc_id // 2 AS INTEGER) AS order_hint, {named} AS raw_text FROM documents)"
+
+
+def annotated_sql() -> str:
+    """corpus(source_id, order_hint, raw_text) as a common table expression over documents, their texts before those of a story."""
+    return f"{story_sql().replace('corpus AS', 'told AS')}, corpus AS (SELECT source_id, order_hint, coalesce(text, '') || chr(10) || chr(10) || raw_text AS raw_text FROM told JOIN documents ON source_id = 'd' || doc_id)"

@@ -192,6 +192,17 @@ def on_documents(select: str, *more: str) -> str:
 
 #: One ASCII letter for each character beyond ASCII, so that RE2's word borders fall where Unicode's do.
 ASCII_PASSAGES = r"letters AS (SELECT * REPLACE (regexp_replace(text, '[^\x00-\x7F]', '0', 'g') AS text) FROM passages)"
+
+
+def on_annotated(select: str) -> str:
+    return "WITH " + ",\n".join([corpus.annotated_sql(), passages_of("passages", "corpus", r"\n\s*\n"), ASCII_PASSAGES, mentions_of("found_mentions", "letters"), entities_of("found_entities", "found_mentions", 2)]) + "\n" + select
+
+
+SESSIONS = """numbered AS (
+  SELECT user_id, epoch_us(ts) AS us, sum(CASE WHEN gap <= 21600000000 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts) AS session
+  FROM (SELECT user_id, ts, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) AS gap FROM events)
+), sessions AS (
+  SELECT user_id, CAST(session AS BIGINT) AS session, min(us) AS first, CASE WHEN session < max(session) OVER (PARTITION BY user_id) THEN max(us) END AS last FROM numbered GROUP BY user_id, session)"""
 _TABLES = {"passages": "passage_id", "anchors": "anchor_id", "obligations": "obligation_id", "events": "event_id", "relationships": "relationship_id", "entities": "entity_id"}
 TOUCHED = """
 t_passages AS (SELECT * FROM passages WHERE source_id = 'book2_ch01'),
@@ -240,6 +251,17 @@ ORACLE_SQL: dict[str, str] = {
     "segment_paragraphs": on_documents("SELECT passage_id, source_id, paragraph_index, text FROM passages"),
     "passage_offsets": on_documents("SELECT passage_id, char_start, char_end FROM passages"),
     "entities_documents": on_documents("SELECT entity_id, canonical_name, entity_type, first_seen_passage, mention_count FROM found_entities", ASCII_PASSAGES, mentions_of("found_mentions", "letters"), entities_of("found_entities", "found_mentions", 2)),
+    "link_names_documents": on_documents(
+        f"SELECT passage_id, {digest('name_', 12, 'name')} AS entity_id, name AS canonical_name, CAST(strpos(low, lower(name)) AS INTEGER) AS position FROM (SELECT passage_id, lower(text) AS low FROM passages), names WHERE contains(low, lower(name))",
+        "names AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Z][a-z]{8,}')) AS name FROM documents)",
+    ),
+    "inc_entities_documents": on_annotated("SELECT entity_id, canonical_name, entity_type, first_seen_passage, mention_count FROM found_entities"),
+    "inc_links_documents": on_annotated("SELECT passage_id, entity_id, canonical_name, entity_type, CAST(strpos(low, lower(canonical_name)) AS INTEGER) AS position FROM (SELECT passage_id, lower(text) AS low FROM passages), found_entities WHERE contains(low, lower(canonical_name))"),
+    "sessions_open_at_purchases": f"WITH {SESSIONS} SELECT event_id, count(*) AS n_open, min(first) AS earliest FROM (SELECT event_id, epoch_us(ts) AS us FROM events WHERE event_type = 'purchase') JOIN sessions ON first <= us AND (last >= us OR last IS NULL) GROUP BY event_id",
+    "relationships_active_at_days": f"""WITH {SESSIONS}, related AS (
+  SELECT user_id || ':' || session AS relationship_id, strftime(make_timestamp(first), '%Y-%m-%d %H:%M') AS s, strftime(make_timestamp(last), '%Y-%m-%d %H:%M') AS e FROM sessions
+), times AS (SELECT DISTINCT unnest([d, d || ' 00:00', d || ' 12:00']) AS time_value FROM (SELECT strftime(ts, '%Y-%m-%d') AS d FROM events))
+SELECT DISTINCT relationship_id, time_value FROM related JOIN times ON time_value = substr(s, 1, 10) OR s <= time_value AND (e >= time_value OR e IS NULL)""",
     "mentions_capitalized_documents": on_documents("SELECT passage_id, canonical_name, char_start, char_end FROM found_mentions WHERE rule_seq = 6", ASCII_PASSAGES, mentions_of("found_mentions", "letters")),
     "tokenize": f"SELECT conv_id, turn, array_to_string({TOKENS.format('text')}, ' ') AS tokens FROM conversations",
     "dataset_manifest": "SELECT count(*) AS documents, CAST(sum(length(text)) AS BIGINT) AS characters, count(DISTINCT doc_id) AS sources FROM documents",

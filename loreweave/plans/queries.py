@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loreweave.functions.lexicons import MENTION_RULES
-from loreweave.functions.lineage import cut
-from loreweave.functions.text import jaccard, recency, tokens
-from loreweave.operators import dedupe, entities, gates, graph, incremental, metrics, obligations, planning
+from loreweave.functions.lineage import cut, shared_dir
+from loreweave.functions.text import digest, jaccard, recency, tokens
+from loreweave.operators import dedupe, entities, gates, graph, incremental, intervals, linking, metrics, obligations, planning
 from loreweave.operators.segment import segment
 from loreweave.operators.wiki import event_class, event_obligations, participants, relationship_class
 from loreweave.plans import corpus
 from loreweave.plans.run import Config, tables
+from loreweave.plans.upkeep import Upkeep
 from loreweave.sources import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,6 +146,71 @@ def speaker_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("conv_id", "role").agg(F.count("*").alias("turns"), F.sum(F.length("text")).alias("characters"), F.min("turn").alias("first_turn"))
 
 
+@query
+def link_names_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long capitalised words of the documents as names, and the paragraphs that hold them in any case."""
+    docs = documents.documents_table(spark, sf_dir)
+    words = docs.select(F.explode(F.regexp_extract_all("raw_text", F.lit("[A-Z][a-z]{8,}"), F.lit(0))).alias("canonical_name")).distinct()
+    named = cut(words.select(digest("name_", 12, F.col("canonical_name")).alias("entity_id"), "canonical_name", F.lit("person").alias("entity_type")))
+    return linking.links(segment(docs, r"\n"), named).select("passage_id", "entity_id", "canonical_name", "position")
+
+
+_upkeep: dict[str, Upkeep] = {}
+
+
+def upkeep(spark: SparkSession, sf_dir: str) -> Upkeep:
+    """Stores loaded with an earlier version of the annotated documents and then brought up to date, once for an application and folder."""
+    key = f"{spark.sparkContext.applicationId} {sf_dir}"
+    if key not in _upkeep:
+        before, changed, removed = corpus.annotated_before(spark, sf_dir)
+        stores = Upkeep(spark, f"{shared_dir(spark)}/upkeep-{uuid.uuid4().hex}", vehicle_min=CONFIG.vehicle_min_mentions)
+        stores.load(before)
+        stores.update(1, changed, removed)
+        _upkeep.clear()
+        _upkeep[key] = stores
+    return _upkeep[key]
+
+
+@query
+def inc_entities_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities after an incremental update, as a whole run over the later version has them."""
+    return upkeep(spark, sf_dir).entities()
+
+
+@query
+def inc_links_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links after an incremental update, as a whole run over the later version has them."""
+    return upkeep(spark, sf_dir).links()
+
+
+def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of events.ts by user, parted by six hours of silence; each user's last one is still open."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    own = Window.partitionBy("user_id").orderBy("at")
+    e = e.withColumn("session", F.sum(F.when(F.col("at") - F.lag("at").over(own) <= 6 * 3600 * 1_000_000, 0).otherwise(1)).over(own.rangeBetween(Window.unboundedPreceding, 0)))
+    s = e.groupBy("user_id", "session").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    return s.withColumn("last", F.when(F.col("session") < F.max("session").over(Window.partitionBy("user_id")), F.col("last")))
+
+
+@query
+def sessions_open_at_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every purchase, how many sessions are open when it happens, both ends included, and the earliest begun of these."""
+    points = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'purchase'").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    met = intervals.containing(_sessions(spark, sf_dir), points)
+    return met.groupBy("event_id").agg(F.count("*").alias("n_open"), F.min("first").alias("earliest"))
+
+
+@query
+def relationships_active_at_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions as relationships labelled by their day, with start and end as text, and each day's beginning, noon and label at which they are active."""
+    text = lambda c: F.date_format(F.timestamp_micros(c), "yyyy-MM-dd HH:mm")
+    s = _sessions(spark, sf_dir).select(F.concat_ws(":", "user_id", "session").alias("relationship_id"), text("first").alias("time_start"), text("last").alias("time_end"))
+    related = s.select("relationship_id", F.struct(F.substring("time_start", 1, 10).alias("time_label"), "time_start", "time_end").alias("story_time"))
+    day = F.date_format("ts", "yyyy-MM-dd")
+    times = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.explode(F.array(day, F.concat(day, F.lit(" 00:00")), F.concat(day, F.lit(" 12:00")))).alias("time_value"))
+    return intervals.active_at(related, times)
+
+
 # Over the small corpus.
 
 

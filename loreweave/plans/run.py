@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loreweave.functions.lineage import cut
-from loreweave.operators import dedupe, entities, gates, graph, metrics, obligations, planning, wiki
+from loreweave.operators import dedupe, entities, gates, graph, linking, metrics, obligations, planning, wiki
 from loreweave.operators.segment import BLANK_LINE, segment
 from loreweave.sources.stores import Stores
 
@@ -31,7 +31,7 @@ def tables(docs: DataFrame, config: Config = Config(), ignored: DataFrame | None
     t["mentions"] = keep("mentions", entities.mentions(t["passages"], ignored=ignored))
     t["entities"] = keep("entities", entities.entities(t["mentions"], config.vehicle_min_mentions, forced))
     t["aliases"] = keep("aliases", entities.aliases(t["entities"]))
-    t["links"] = keep("links", entities.links(t["passages"], t["entities"]))
+    t["links"] = keep("links", linking.links(t["passages"], t["entities"]))
     t["matches"] = keep("matches", obligations.with_ids(obligations.obligation_matches(t["passages"])))
     t["obligations"] = keep("obligations", obligations.obligations(t["matches"], t["links"]))
     t["anchors"] = keep("anchors", entities.entity_anchors(t["mentions"], t["entities"]).unionByName(obligations.obligation_anchors(t["matches"])))

@@ -1,12 +1,15 @@
-"""Near-duplicate obligations: a blocked similarity join, connected groups, and the greedy merge inside each."""
+"""Near-duplicate obligations: a blocked similarity join, and greedy merging in rounds of pairs that no other can change."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loreweave.functions.lineage import cut
+from loreweave.functions.lineage import written
+from loreweave.functions.ranking import ranked, running
 from loreweave.functions.text import digest, jaccard, tokens
 
 #: What equal categories, related entities and shared evidence can add to a description's Jaccard.
@@ -42,101 +45,163 @@ def find_duplicates(rows: DataFrame, threshold: float = 0.8) -> DataFrame:
     return pairs.select(F.col("a.obligation_id").alias("i"), F.col("b.obligation_id").alias("j"), similarity("a", "b").alias("similarity")).where(F.col("similarity") >= threshold - 1e-12).distinct()
 
 
-def groups(pairs: DataFrame) -> DataFrame:
-    """(node, root): connected groups by minimum labels with pointer jumping; only labels and pairs move."""
-    edges = pairs.select(F.col("i").alias("u"), F.col("j").alias("v"))
-    edges = cut(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-    labels = cut(edges.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("root")))
-    while True:
-        near = edges.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("root").alias("near")).withColumnRenamed("u", "node")
-        hop = labels.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        new = cut(labels.join(near, "node", "left").join(hop, "root", "left").select("node", F.least("root", "near", "far").alias("root"), F.col("root").alias("was")))
-        labels = new.select("node", "root")
-        if new.where(F.col("root") != F.col("was")).isEmpty():
-            return labels
-
-
-MERGED = "obligation_id string, category string, description string, evidence_anchor_ids array<string>, last_seen_passage_id string, confidence double, is_resolved boolean, resolution_passage_id string, related_entity_ids array<string>, absorbed array<string>"
-
-
-def _recency(passage_id: str) -> tuple[int, str]:
-    for piece in reversed(passage_id.replace("-", "_").split("_")):
-        try:
-            return int(piece), passage_id
-        except ValueError:
-            pass
-    return 0, passage_id
-
-
-def merge_group(rows: dict[str, dict], pairs: list[tuple[float, str, str]]) -> list[dict]:
-    """Pairs by similarity, best first and then by id: the row with more evidence (the first on a tie) takes in the other."""
-    taken: dict[str, list[str]] = {k: [] for k in rows}
-    for _, i, j in sorted(pairs, key=lambda p: (-p[0], p[1], p[2])):
-        if i not in rows or j not in rows:
-            continue
-        a, b = (i, j) if len(rows[i]["evidence_anchor_ids"]) >= len(rows[j]["evidence_anchor_ids"]) else (j, i)
-        into, other = dict(rows[a]), rows.pop(b)
-        for name in ("evidence_anchor_ids", "related_entity_ids"):
-            into[name] = list(dict.fromkeys([*into[name], *other[name]]))
-        into["confidence"] = max(into["confidence"], other["confidence"])
-        into["last_seen_passage_id"] = max(into["last_seen_passage_id"], other["last_seen_passage_id"], key=_recency)
-        into["is_resolved"] = bool(into["is_resolved"] or other["is_resolved"])
-        into["resolution_passage_id"] = into["resolution_passage_id"] or other["resolution_passage_id"]
-        rows[a] = into
-        taken[a] += [b, *taken.pop(b, [])]
-    return [v | {"absorbed": taken[k]} for k, v in rows.items()]
-
-
-def merge_obligations(rows: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The rows left after greedy merging, with absorbed: the ids that each took in.
-
-    Rows with the same words and category are one class before pairs are sought, so that a phrase in a million passages
-    costs no pairs: the row that merging would keep gathers the evidence of the rest, whose list grows with it. The order of merges matters only
-    inside a connected group, so each group of class representatives is merged alone.
+#: Pairs of one row that a round of merging works off.
+PARTNERS = 1000
+
+
+def _class() -> Column:
+    """Words and category of a row, as a key."""
+    return F.sha2(F.to_json(F.struct(tokens(F.col("description")).alias("t"), F.col("category").alias("c")), {"ignoreNullFields": "false"}), 256)
+
+
+@dataclass(frozen=True)
+class Merges:
+    """What merging did. owners: obligation_id, owner (the row that it is part of at the end, itself if it stayed). edges: source,
+    target, weight of every merge, target being what source took in. items: owner, kind (anchor, entity, resolution), value and
+    at, the order of the merged lists. Nothing is gathered by owner."""
+
+    owners: DataFrame
+    edges: DataFrame
+    items: DataFrame
+
+
+def _classes(base: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows alike in words and category, merged in order of id: a row with more evidence than all before it together takes
+    over. Returns rows with rep, place (of the list's order) and before; edges; and each rep with the size of its evidence.
+
+    A takeover at least doubles what a class has, so there are few in a class, however many rows that has.
+    """
+    held = base.select("class", "obligation_id", F.explode("evidence_anchor_ids").alias("anchor"))
+    fresh = held.groupBy("class", "anchor").agg(F.min("obligation_id").alias("obligation_id")).groupBy("obligation_id").agg(F.count("*").alias("fresh"))
+    sized = base.select("class", "obligation_id", F.size("evidence_anchor_ids").cast("long").alias("n")).join(fresh, "obligation_id", "left").select("class", "obligation_id", "n", F.coalesce("fresh", F.lit(0)).alias("fresh"))
+    told = written(running(sized, "class", "obligation_id", "fresh", "before"))
+    ends = told.groupBy("class").agg(F.min("obligation_id").alias("first"), F.sum("fresh").alias("size"), F.sort_array(F.collect_list(F.when(F.col("n") > F.col("before"), F.col("obligation_id"))), False).alias("more"))  # 64 at most
+    ends = ends.select("class", "size", F.when(F.array_contains("more", F.col("first")), F.col("more")).otherwise(F.concat("more", F.array("first"))).alias("winners"))
+    told = told.join(ends, "class").withColumn("rep", F.col("winners")[0]).withColumn("place", F.array_position("winners", F.col("obligation_id")))
+    later = F.get("winners", F.col("place").cast("int") - 2)
+    now = F.element_at(F.filter("winners", lambda w: w < F.col("obligation_id")), 1)
+    into = F.when(F.col("place") == 0, now).when(F.col("place") > 1, later)
+    told = written(told.withColumn("into", into).withColumn("place", F.when(F.col("place") == 0, F.lit(1 << 30)).otherwise(F.col("place"))))
+    edges = told.where("into is not null").select(F.col("into").alias("source"), F.col("obligation_id").alias("target"), F.lit(1.0).alias("weight"))
+    return told.select("obligation_id", "rep", "place", "before"), edges, told.where("rep = obligation_id").select(F.col("rep").alias("node"), F.col("size").alias("n"))
+
+
+def _round(pairs: DataFrame, sizes: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One round: merges (source, target, weight) and moves (node, owner, shift, n): whose lists go where in whose, and new sizes.
+
+    A pair is decided once no other pair of its two rows comes first. So wherever two rows are each other's first pair, the
+    one that stays works off its next pairs too, as long as these are the first of the other row, until it is taken in itself.
+    """
+    way = lambda x, y: pairs.select(F.col(x).alias("x"), F.col(y).alias("y"), F.struct((-F.col("similarity")).alias("s"), "i", "j").alias("r"))
+    both = way("i", "j").unionByName(way("j", "i"))
+    best = written(both.groupBy("x").agg(F.min("r").alias("first")))
+    rows = both.join(best.select(F.col("x").alias("y"), F.col("first").alias("of_y")), "y").withColumn("due", F.col("r") == F.col("of_y"))
+    stop = rows.groupBy("x").agg(F.min(F.when(~F.col("due"), F.col("r"))).alias("stop"), F.min("r").alias("first"))
+    rows = rows.where("due").join(stop, "x").where(F.col("stop").isNull() | (F.col("r") < F.col("stop")))
+    n = lambda c, to: sizes.select(F.col("node").alias(c), F.col("n").alias(to))
+    mutual = rows.where(F.col("r") == F.col("first")).select("x", F.col("r.i").alias("i"), F.col("r.j").alias("j")).join(n("i", "ni"), "i").join(n("j", "nj"), "j")
+    stays = mutual.where(F.col("x") == F.when(F.col("ni") >= F.col("nj"), F.col("i")).otherwise(F.col("j"))).select("x")
+    line = rows.join(stays, "x", "left_semi").withColumn("k", F.row_number().over(Window.partitionBy("x").orderBy("r"))).where(F.col("k") <= PARTNERS)
+    line = written(line.join(n("y", "n"), "y").select("x", "y", "k", "n", (-F.col("r.s")).alias("weight")))
+    own = line.select("x").distinct().join(n("x", "n"), "x").select("x", F.col("x").alias("y"), F.lit(0).alias("k"), "n", F.lit(None).cast("double").alias("weight"))
+    line = own.unionByName(line)
+    fresh = line.join(items.where("kind = 'anchor'").withColumnRenamed("owner", "y"), "y").groupBy("x", "value").agg(F.min("k").alias("k")).groupBy("x", "k").agg(F.count("*").alias("fresh"))
+    before = Window.partitionBy("x").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)  # PARTNERS + 1 rows at most
+    line = line.join(fresh, ["x", "k"], "left").withColumn("fresh", F.coalesce("fresh", F.lit(0))).withColumn("before", F.coalesce(F.sum("fresh").over(before), F.lit(0)))
+    over = (F.col("k") > 0) & ((F.col("n") > F.col("before")) | (F.col("n") == F.col("before")) & (F.col("y") < F.col("x")))
+    line = written(line.withColumn("over", over))
+    end = line.groupBy("x").agg(F.min(F.when(F.col("over"), F.col("k"))).alias("end"))
+    line = line.join(end, "x").where(F.col("end").isNull() | (F.col("k") <= F.col("end")))
+    last = line.groupBy("x").agg(F.max_by("y", "k").alias("y"), F.sum("fresh").alias("size"), F.max("end").alias("end"))
+    last = last.select("x", F.when(F.col("end").isNull(), F.col("x")).otherwise(F.col("y")).alias("owner"), "size")
+    line = written(line.join(last, "x"))
+    merged = line.where("k > 0").select(F.when(F.col("over"), F.col("y")).otherwise(F.col("x")).alias("source"), F.when(F.col("over"), F.col("x")).otherwise(F.col("y")).alias("target"), "weight")
+    moves = line.select(F.col("y").alias("node"), "owner", F.when(F.col("y") == F.col("owner"), F.lit(-1)).otherwise(F.col("k")).alias("shift"), F.col("size").alias("n"))
+    return merged, moves
+
+
+def merges(rows: DataFrame, threshold: float = 0.8) -> Merges:
+    """Greedy merging by similarity, best pair first and then by ids: of two rows the one with more evidence, the first on a
+    tie, takes in the other with all that it has; a row that was taken in takes no further part.
+
+    Rows alike in words and category come first, then pairs of what is left, by each kept row's own words, entities and evidence. Pairs
+    are decided in rounds, in each of which all that no earlier pair can change are, which gives what one pair after the
+    other gives. No class or group of rows is gathered anywhere. Lists of a row are sets; ids are unique.
     """
-    key = F.struct(tokens(F.col("description")).alias("t"), "category")
-    base = [c.split(" ")[0] for c in MERGED.split(", ")][:-1]
+    names = ["obligation_id", "category", "description", "evidence_anchor_ids", "resolution_passage_id", "related_entity_ids"]
+    base = written(rows.select(*names, _class().alias("class")))
+    in_class, edges, sizes = _classes(base)
+    listed = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    every = F.concat(listed("anchor", F.col("evidence_anchor_ids")), listed("entity", F.col("related_entity_ids")), listed("resolution", F.filter(F.array("resolution_passage_id"), lambda v: v.isNotNull())))
+    items = base.select("obligation_id", F.posexplode(every).alias("pos", "item")).join(in_class, "obligation_id")
+    items = items.groupBy("rep", "item").agg(F.min(F.struct("place", "before", "obligation_id", "pos")).alias("o")).select(F.col("rep").alias("owner"), "item.*", "o.*")
+    items = ranked(items.select("owner", "kind", "value", "place", "obligation_id", "pos"), "owner", "place", "obligation_id", "pos")
+    first = items.groupBy("owner").agg(F.min("rank").alias("first"))
+    items = written(items.join(first, "owner").select("owner", "kind", "value", (F.col("rank") - F.col("first")).cast("long").alias("at")))
+    kept = base.join(sizes.select(F.col("node").alias("obligation_id")), "obligation_id", "left_semi")
+    pairs = written(find_duplicates(kept, threshold))
+    sizes = written(sizes.join(pairs.select(F.col("i").alias("node")).union(pairs.select(F.col("j").alias("node"))).distinct(), "node", "left_semi"))
+    moved, all_edges = None, [edges]
+    live = written(items.join(sizes.select(F.col("node").alias("owner")), "owner", "left_semi"))
+    rest = items.join(sizes.select(F.col("node").alias("owner")), "owner", "left_anti")
+    while not pairs.isEmpty():
+        merged, moves = _round(pairs, sizes, live)
+        merged, moves = written(merged), written(moves)
+        all_edges.append(merged)
+        gone = moves.where("node <> owner").select("node", "owner")
+        step = live.join(moves.select(F.col("node").alias("owner"), F.col("owner").alias("to"), "shift"), "owner", "left")
+        live = written(step.select(F.coalesce("to", "owner").alias("owner"), "kind", "value", F.struct(F.coalesce("shift", F.lit(0)).alias("shift"), "at").alias("o")).groupBy("owner", "kind", "value").agg(F.min("o").alias("o")))
+        live = _renumbered(live)
+        sizes = written(sizes.join(moves.select("node", F.col("owner").alias("to"), F.col("n").alias("now")), "node", "left").where("to is null or to = node").select("node", F.coalesce("now", "n").alias("n")))
+        moved = gone if moved is None else written(moved.join(gone.toDF("owner", "to"), "owner", "left").select("node", F.coalesce("to", "owner").alias("owner")).unionByName(gone))
+        for end in ("i", "j"):
+            pairs = pairs.join(gone.select(F.col("node").alias(end)), end, "left_anti")
+        pairs = written(pairs.select("i", "j", "similarity"))
+    owners = in_class.select("obligation_id", F.col("rep").alias("owner"))
+    if moved is not None:
+        owners = owners.join(moved.toDF("owner", "to"), "owner", "left").select("obligation_id", F.coalesce("to", "owner").alias("owner"))
+    return Merges(written(owners), reduce(DataFrame.unionByName, all_edges), rest.unionByName(live))
+
+
+def _renumbered(items: DataFrame) -> DataFrame:
+    """at in the order of o, as a number."""
+    told = ranked(items.select("owner", "kind", "value", "o"), "owner", "o", "kind", "value")
+    return written(told.select("owner", "kind", "value", F.col("rank").cast("long").alias("at")))
+
+
+MERGED = ("obligation_id", "category", "description", "evidence_anchor_ids", "last_seen_passage_id", "confidence", "is_resolved", "resolution_passage_id", "related_entity_ids", "absorbed")
+
+
+def merged_rows(rows: DataFrame, m: Merges) -> DataFrame:
+    """A row for each that stayed: the highest confidence, the latest passage, resolved if any is, the first resolution, and
+    n_absorbed. Sums and maxima only."""
     digits = F.filter(F.split("last_seen_passage_id", "[_-]"), lambda p: p.rlike(r"^[+-]?[0-9]{1,18}$"))
     newest = F.struct(F.coalesce(F.get(digits, F.size(digits) - 1).cast("long"), F.lit(0).cast("long")).alias("n"), F.col("last_seen_passage_id").alias("id"))
-    c = rows.withColumn("key", key).groupBy("key").agg(
-        F.max("confidence").alias("top"), F.max(newest).alias("newest"), F.bool_or("is_resolved").alias("resolved"), F.max("resolution_passage_id").alias("at"),
-        F.array_sort(F.collect_list(F.struct("obligation_id", F.col("evidence_anchor_ids").alias("anchors"), F.col("related_entity_ids").alias("related")))).alias("m"),
-    )
-    # in order of id a row with more evidence than all before it together takes over; winners has the last of these first
-    start = F.struct(F.lit(0).alias("total"), F.array().cast("array<string>").alias("winners"))
-    ahead = lambda s, x: (F.size(s["winners"]) == 0) | (F.size(x["anchors"]) > s["total"])
-    step = lambda s, x: F.struct((s["total"] + F.size(x["anchors"])).alias("total"), F.when(ahead(s, x), F.concat(F.array(x["obligation_id"]), s["winners"])).otherwise(s["winners"]).alias("winners"))
-    c = c.withColumn("winners", F.aggregate("m", start, step)["winners"])
-    place = lambda x: F.when(F.array_contains("winners", x["obligation_id"]), F.array_position("winners", x["obligation_id"])).otherwise(F.size("winners") + 1)
-    c = c.withColumn("m", F.array_sort(F.transform("m", lambda x: F.struct(place(x).alias("place"), x["obligation_id"].alias("obligation_id"), x["anchors"].alias("anchors"), x["related"].alias("related")))))
-    gathered = lambda name: F.array_distinct(F.flatten(F.transform("m", lambda x: x[name])))
-    c = c.select(F.col("winners")[0].alias("obligation_id"), gathered("anchors").alias("anchors"), gathered("related").alias("related"), "top", "newest", "resolved", "at", F.array_sort(F.transform(F.slice("m", 2, F.size("m")), lambda x: x["obligation_id"])).alias("absorbed"))
-    told = cut(rows.select(*base).join(c, "obligation_id"))
-    one = told.select("obligation_id", "category", "description", F.col("anchors").alias("evidence_anchor_ids"), F.col("newest.id").alias("last_seen_passage_id"), F.col("top").alias("confidence"), F.col("resolved").alias("is_resolved"), F.coalesce("resolution_passage_id", "at").alias("resolution_passage_id"), F.col("related").alias("related_entity_ids"), "absorbed")
-    pairs = cut(find_duplicates(told, threshold))  # by each kept row's own entities and evidence, not by those it took in
-    root = groups(pairs)
-    member = one.join(root.withColumnRenamed("node", "obligation_id"), "obligation_id").withColumn("pairs", F.lit(None).cast("array<struct<s:double,i:string,j:string>>"))
-    of = pairs.join(root.withColumnRenamed("node", "i"), "i").groupBy("root").agg(F.collect_list(F.struct(F.col("similarity").alias("s"), "i", "j")).alias("all"))
-    member = member.join(of, "root", "left").withColumn("pairs", F.when(F.col("obligation_id") == F.col("root"), F.col("all"))).drop("all")
-
-    def merged(group: pd.DataFrame) -> pd.DataFrame:
-        records = group.to_dict("records")
-        listed = [(p["s"], p["i"], p["j"]) for r in records if r["pairs"] is not None for p in r["pairs"]]
-        before = {r["obligation_id"]: list(r["absorbed"]) for r in records}
-        rows_of = {r["obligation_id"]: {k: list(r[k]) if k.endswith("_ids") else r[k] for k in base} for r in records}
-        out = merge_group(rows_of, listed)
-        for r in out:
-            r["absorbed"] = sorted({*before[r["obligation_id"]], *r["absorbed"], *(x for a in r["absorbed"] for x in before[a])})
-        return pd.DataFrame(out, columns=[*base, "absorbed"])
-
-    alone = one.join(root.withColumnRenamed("node", "obligation_id"), "obligation_id", "left_anti")
-    return alone.unionByName(member.groupBy("root").applyInPandas(merged, MERGED))
-
-
-def duplicate_edges(merged: DataFrame) -> DataFrame:
-    """edge_id, source, target: a DUPLICATES edge from each row to each that it took in."""
-    e = merged.select(F.col("obligation_id").alias("source_obligation_id"), F.explode("absorbed").alias("target_obligation_id"))
-    return e.select(digest("dup_", 16, F.col("source_obligation_id"), F.col("target_obligation_id")).alias("edge_id"), "source_obligation_id", "target_obligation_id", F.lit("DUPLICATES").alias("edge_type"))
+    told = rows.join(m.owners, "obligation_id").groupBy("owner").agg(F.max(newest).alias("newest"), F.max("confidence").alias("confidence"), F.bool_or("is_resolved").alias("is_resolved"), (F.count("*") - 1).alias("n_absorbed"))
+    resolved = m.items.where("kind = 'resolution'").groupBy("owner").agg(F.min_by("value", "at").alias("resolution_passage_id"))
+    kept = rows.select(F.col("obligation_id").alias("owner"), "category", "description")
+    told = told.join(kept, "owner").join(resolved, "owner", "left")
+    return told.select(F.col("owner").alias("obligation_id"), "category", "description", F.col("newest.id").alias("last_seen_passage_id"), "confidence", "is_resolved", "resolution_passage_id", "n_absorbed")
+
+
+def merge_obligations(rows: DataFrame, threshold: float = 0.8, m: Merges | None = None) -> DataFrame:
+    """The rows left after merging, with their lists as arrays and absorbed, the ids that each took in. A list grows with what it
+    has; merges() and merged_rows() give the same without any."""
+    m = m or merges(rows, threshold)
+    listed = m.items.where("kind <> 'resolution'").groupBy("owner", "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]).alias("list"))
+    of = lambda kind, name: listed.where(F.col("kind") == kind).select(F.col("owner").alias("obligation_id"), F.col("list").alias(name))
+    took = m.owners.where("owner <> obligation_id").groupBy("owner").agg(F.array_sort(F.collect_list("obligation_id")).alias("absorbed")).withColumnRenamed("owner", "obligation_id")
+    told = merged_rows(rows, m).join(of("anchor", "evidence_anchor_ids"), "obligation_id", "left").join(of("entity", "related_entity_ids"), "obligation_id", "left").join(took, "obligation_id", "left")
+    none = F.array().cast("array<string>")
+    for name in ("evidence_anchor_ids", "related_entity_ids", "absorbed"):
+        told = told.withColumn(name, F.coalesce(name, none))
+    return told.select(*MERGED)
+
+
+def duplicate_edges(m: Merges) -> DataFrame:
+    """edge_id, source, target, weight: a DUPLICATES edge for every merge, with the similarity that led to it."""
+    e = m.edges.select(F.col("source").alias("source_obligation_id"), F.col("target").alias("target_obligation_id"), "weight")
+    return e.select(digest("dup_", 16, F.col("source_obligation_id"), F.col("target_obligation_id")).alias("edge_id"), "source_obligation_id", "target_obligation_id", F.lit("DUPLICATES").alias("edge_type"), "weight")
 
 
 def dedupe_rate(rows: DataFrame, merged: DataFrame) -> DataFrame:

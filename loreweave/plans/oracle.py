@@ -198,6 +198,7 @@ def on_annotated(select: str) -> str:
     return "WITH " + ",\n".join([corpus.annotated_sql(), passages_of("passages", "corpus", r"\n\s*\n"), ASCII_PASSAGES, mentions_of("found_mentions", "letters"), entities_of("found_entities", "found_mentions", 2)]) + "\n" + select
 
 
+MERGE_STEPS = "SELECT id AS obligation_id, owner, src AS taken_by, round(w, 6) AS weight FROM ends LEFT JOIN edges ON dst = id WHERE owner NOT IN (SELECT dst FROM edges)"
 SESSIONS = """numbered AS (
   SELECT user_id, epoch_us(ts) AS us, sum(CASE WHEN gap <= 21600000000 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts) AS session
   FROM (SELECT user_id, ts, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) AS gap FROM events)
@@ -255,6 +256,36 @@ ORACLE_SQL: dict[str, str] = {
         f"SELECT passage_id, {digest('name_', 12, 'name')} AS entity_id, name AS canonical_name, CAST(strpos(low, lower(name)) AS INTEGER) AS position FROM (SELECT passage_id, lower(text) AS low FROM passages), names WHERE contains(low, lower(name))",
         "names AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Z][a-z]{8,}')) AS name FROM documents)",
     ),
+    "merge_documents": on_documents(MERGE_STEPS, f"""
+obliged AS (
+  SELECT passage_id AS id, lang AS c, source AS s, len(string_split(p.text, ',')) AS n, {TOKENS.format("p.text")} AS t FROM passages AS p JOIN documents AS d ON p.source_id = CAST(d.doc_id AS VARCHAR)
+), classed AS (
+  SELECT *, coalesce(sum(n) OVER (PARTITION BY t, c ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM obliged
+), ahead AS (SELECT *, n > before OR before = 0 AND id = min(id) OVER (PARTITION BY t, c) AS wins FROM classed
+), told AS (
+  SELECT *, max(CASE WHEN wins THEN id END) OVER (PARTITION BY t, c) AS rep, sum(n) OVER (PARTITION BY t, c) AS total,
+    CASE WHEN wins THEN min(CASE WHEN wins THEN id END) OVER (PARTITION BY t, c ORDER BY id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)
+      ELSE max(CASE WHEN wins THEN id END) OVER (PARTITION BY t, c ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS into_id FROM ahead
+), reps AS (SELECT id, c, s, CAST(total AS BIGINT) AS n, t FROM told WHERE rep = id
+), spread AS (SELECT id, unnest(t) AS w, len(t) AS size FROM reps
+), often AS (SELECT w, count(*) AS df FROM spread GROUP BY w
+), blocks AS (
+  SELECT id, w FROM (SELECT id, w, size, row_number() OVER (PARTITION BY id ORDER BY df, w) AS k FROM spread JOIN often USING (w)) WHERE k <= size - ceil(0.55 * size - 1e-9) + 1
+  UNION ALL SELECT id, '' FROM reps WHERE len(t) = 0
+), met AS (SELECT DISTINCT a.id AS i, b.id AS j FROM blocks a JOIN blocks b ON a.w = b.w AND a.id < b.id
+), scored AS (
+  SELECT i, j, least(1.0::DOUBLE, CASE WHEN len(a.t) = 0 AND len(b.t) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a.t, b.t))::DOUBLE / greatest(1, len(list_distinct(list_concat(a.t, b.t)))) END
+    + CASE WHEN a.c = b.c THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN a.s = b.s THEN 0.1::DOUBLE ELSE 0 END) AS sim FROM met JOIN reps a ON a.id = i JOIN reps b ON b.id = j
+), pairs AS (SELECT i, j, sim, row_number() OVER (ORDER BY sim DESC, i, j) AS k FROM scored WHERE sim >= 0.8 - 1e-12
+), sizes AS (SELECT map(list(id), list(n)) AS m FROM reps WHERE id IN (SELECT i FROM pairs UNION SELECT j FROM pairs)
+), step AS (
+  SELECT 0::BIGINT AS k, []::VARCHAR[] AS dead, m, NULL::VARCHAR AS src, NULL::VARCHAR AS dst, NULL::DOUBLE AS w FROM sizes
+  UNION ALL
+  SELECT k, CASE WHEN skip THEN dead ELSE list_append(dead, b) END, CASE WHEN skip THEN m ELSE map_concat(m, MAP {{a: m[a] + m[b]}}) END, CASE WHEN NOT skip THEN a END, CASE WHEN NOT skip THEN b END, CASE WHEN NOT skip THEN sim END
+  FROM (SELECT p.k, dead, m, sim, list_contains(dead, i) OR list_contains(dead, j) AS skip, CASE WHEN m[i] >= m[j] THEN i ELSE j END AS a, CASE WHEN m[i] >= m[j] THEN j ELSE i END AS b FROM step JOIN pairs AS p ON p.k = step.k + 1)
+), edges AS (
+  SELECT src, dst, w FROM step WHERE src IS NOT NULL UNION ALL SELECT into_id, id, 1.0 FROM told WHERE into_id IS NOT NULL
+), ends AS (SELECT id, id AS owner FROM obliged UNION ALL SELECT ends.id, src FROM ends JOIN edges ON dst = owner)""").replace("WITH ", "WITH RECURSIVE ", 1),
     "inc_entities_documents": on_annotated("SELECT entity_id, canonical_name, entity_type, first_seen_passage, mention_count FROM found_entities"),
     "inc_links_documents": on_annotated("SELECT passage_id, entity_id, canonical_name, entity_type, CAST(strpos(low, lower(canonical_name)) AS INTEGER) AS position FROM (SELECT passage_id, lower(text) AS low FROM passages), found_entities WHERE contains(low, lower(canonical_name))"),
     "sessions_open_at_purchases": f"WITH {SESSIONS} SELECT event_id, count(*) AS n_open, min(first) AS earliest FROM (SELECT event_id, epoch_us(ts) AS us FROM events WHERE event_type = 'purchase') JOIN sessions ON first <= us AND (last >= us OR last IS NULL) GROUP BY event_id",

@@ -155,6 +155,20 @@ def link_names_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.links(segment(docs, r"\n"), named).select("passage_id", "entity_id", "canonical_name", "position")
 
 
+@query
+def merge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of the documents as obligations, their commas as evidence: what each is part of after merging, what took it in, and at which similarity."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("source_id"), "lang", "source")
+    p = segment(documents.documents_table(spark, sf_dir), r"\n").join(d, "source_id")
+    anchors = F.transform(F.sequence(F.lit(1), F.size(F.split("text", ","))), lambda i: F.concat_ws(":", "passage_id", i.cast("string")))
+    m = dedupe.merges(p.select(
+        F.col("passage_id").alias("obligation_id"), F.col("lang").alias("category"), F.col("text").alias("description"), anchors.alias("evidence_anchor_ids"),
+        F.lit(None).cast("string").alias("resolution_passage_id"), F.array_compact(F.array("source")).alias("related_entity_ids"),
+    ), 0.8)
+    into = m.edges.select(F.col("target").alias("obligation_id"), F.col("source").alias("taken_by"), F.round("weight", 6).alias("weight"))
+    return m.owners.join(into, "obligation_id", "left")
+
+
 _upkeep: dict[str, Upkeep] = {}
 
 

@@ -48,8 +48,9 @@ def run(docs: DataFrame, root: str, config: Config = Config(), ignored: DataFram
     """Runs everything into stores below root; returns the verdict. Nothing is exported if a gate fails."""
     stores = Stores(docs.sparkSession, root)
     t = tables(docs, config, ignored, forced, stores.write)
-    merged = stores.write("merged_obligations", dedupe.merge_obligations(t["obligations"].drop("seq"), config.similarity_threshold))
-    stores.write("duplicate_edges", dedupe.duplicate_edges(merged))
+    merges = dedupe.merges(t["obligations"], config.similarity_threshold)
+    merged = stores.write("merged_obligations", dedupe.merge_obligations(t["obligations"].drop("seq"), m=merges))
+    stores.write("duplicate_edges", dedupe.duplicate_edges(merges))
     stores.write("evidence_index", obligations.evidence_index(merged))
     findings = stores.write("findings", gates.referential_integrity(t["passages"], t["anchors"], t["entities"], t["aliases"], merged).unionByName(gates.evidence_gate(merged)).unionByName(gates.contradictions(merged)))
     stores.write("metrics", metrics.metrics(t["passages"], merged, t["entities"], findings))

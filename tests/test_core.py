@@ -91,11 +91,12 @@ def test_duplicates_are_those_of_all_pairs(spark, threshold):
 
 def test_merging_keeps_every_id_once(spark, t):
     o = t["obligations"].drop("seq")
-    merged = dedupe.merge_obligations(o, 0.5).collect()
+    m = dedupe.merges(o, 0.5)
+    merged = dedupe.merge_obligations(o, m=m).collect()
     ids = [x for r in merged for x in [r.obligation_id, *r.absorbed]]
     assert sorted(ids) == sorted(r.obligation_id for r in o.collect())
     assert len(merged) < len(ids)
-    assert dedupe.duplicate_edges(dedupe.merge_obligations(o, 0.5)).count() == len(ids) - len(merged)
+    assert dedupe.duplicate_edges(m).count() == len(ids) - len(merged)
 
 
 def test_duplicate_join_has_no_cross_join(t):
@@ -179,20 +180,52 @@ def _greedy(rows: list[tuple], threshold: float) -> set[tuple]:
     for x in rows:
         for y in rows:
             if x[0] < y[0] and (s := min(1.0, share(x[1].split(), y[1].split()) + 0.1 + both(x[2], y[2], 0.1) + both(x[3], y[3], 0.05))) >= threshold:
-                pairs.append((-round(s, 12), x[0], y[0]))
+                pairs.append((-s, x[0], y[0]))
     left = {r[0]: (list(r[3]), []) for r in rows}
     for _, i, j in sorted(pairs):
         if i in left and j in left:
             a, b = (i, j) if len(left[i][0]) >= len(left[j][0]) else (j, i)
             other = left.pop(b)
-            left[a] = (left[a][0] + other[0], [*left[a][1], b, *other[1]])
+            left[a] = (list(dict.fromkeys(left[a][0] + other[0])), [*left[a][1], b, *other[1]])
     return {(k, tuple(v[0]), tuple(sorted(v[1]))) for k, v in left.items()}
 
 
-def test_merging_is_the_greedy_one(spark):
+MERGE_SCHEMA = "obligation_id string, category string, description string, evidence_anchor_ids array<string>, last_seen_passage_id string, confidence double, is_resolved boolean, resolution_passage_id string, related_entity_ids array<string>"
+
+
+@pytest.mark.parametrize("partners", [1000, 2])
+def test_merging_is_the_greedy_one(spark, partners, monkeypatch):
+    """200 tables at once: they share no word, so that no pair joins two of them."""
+    monkeypatch.setattr(dedupe, "PARTNERS", partners)
     rng = random.Random(11)
-    for trial in range(4):
-        rows = [(f"o{i:02d}", " ".join(rng.sample(["sea", "king", "oath", "gate", "dream", "crown"], 3)), sorted(rng.sample(["e1", "e2", "e3"], rng.randint(0, 2))), [f"a{i:02d}{k}" for k in range(rng.choice([1, 1, 2, 5]))]) for i in range(30)]
-        o = spark.createDataFrame([(i, "mystery", d, a, "p:1", 0.7, False, None, e) for i, d, e, a in rows], "obligation_id string, category string, description string, evidence_anchor_ids array<string>, last_seen_passage_id string, confidence double, is_resolved boolean, resolution_passage_id string, related_entity_ids array<string>")
-        got = {(r.obligation_id, tuple(r.evidence_anchor_ids), tuple(r.absorbed)) for r in dedupe.merge_obligations(o, 0.65).collect()}
-        assert got == _greedy(rows, 0.65), trial
+    every, want = [], set()
+    for trial in range(200):
+        words = [f"{w}{trial}" for w in ("sea", "king", "oath", "gate", "dream", "crown")][: rng.choice([4, 6])]
+        anchors = [f"a{trial}.{k}" for k in range(rng.choice([6, 60]))]
+        rows = [(f"o{trial:03d}.{i:02d}", " ".join(rng.sample(words, 3)), sorted(rng.sample(["e1", "e2", "e3"], rng.randint(0, 2))), rng.sample(anchors, rng.choice([0, 1, 1, 2, 5]))) for i in range(rng.choice([1, 5, 20]))]
+        want |= _greedy(rows, 0.65)
+        every += rows
+    o = spark.createDataFrame([(i, "mystery", d, a, "p:1", 0.7, False, None, e) for i, d, e, a in every], MERGE_SCHEMA).repartition(5)
+    m = dedupe.merges(o, 0.65)
+    got = {(r.obligation_id, tuple(r.evidence_anchor_ids), tuple(r.absorbed)) for r in dedupe.merge_obligations(o, m=m).collect()}
+    assert got == want
+    assert m.edges.count() == len(every) - len(want) and m.edges.where("weight < 0.65 - 1e-9 or weight > 1").count() == 0
+
+
+def test_merging_takes_the_best_of_both(spark):
+    rows = [("b", "mystery", "the sea", ["2"], "p_9", 0.5, True, "r2", ["e2"]), ("a", "mystery", "the Sea!", ["1"], "p_10", 0.9, False, None, ["e1"]), ("c", "plot_thread", "", [], "q", 0.1, False, None, []), ("d", "plot_thread", None, [], "q", 0.1, False, None, [])]
+    o = spark.createDataFrame(rows, MERGE_SCHEMA)
+    got = {r.obligation_id: r for r in dedupe.merge_obligations(o).collect()}
+    assert set(got) >= {"a", "c"} and "b" not in got
+    a = got["a"]
+    assert (a.evidence_anchor_ids, a.last_seen_passage_id, a.confidence, a.is_resolved, a.resolution_passage_id, a.related_entity_ids, a.absorbed) == (["1", "2"], "p_10", 0.9, True, "r2", ["e1", "e2"], ["b"])
+    assert dedupe.merge_obligations(o.limit(0)).count() == 0
+
+
+def test_running_sums_of_a_hot_group(spark):
+    from loreweave.functions.ranking import running
+
+    rows = [("hot", i, i % 7) for i in range(500)] + [(f"g{i % 9}", i, 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "g string, o int, v int").repartition(7)
+    got = {(r.g, r.o): r.before for r in running(df, "g", "o", "v", "before").collect()}
+    assert got == {(g, o): sum(v for h, p, v in rows if h == g and p < o) for g, o, _ in rows}

@@ -25,42 +25,51 @@ WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 PLACE_BITS = 13
 MOST_COUNT = 1 << (16 - PLACE_BITS)
 #: Documents and bytes of text that are indexed together, and bytes of text for each share of the dictionary.
-BLOCK_DOCS, BLOCK_BYTES, SHARE_BYTES = 1 << PLACE_BITS, 16 << 20, 16 << 20
+BLOCK_DOCS, BLOCK_BYTES, SHARE_BYTES = 1 << PLACE_BITS, 8 << 20, 10 << 20
 
 
-def words_of(body: bytes) -> list[bytes]:
-    return WORD.findall(body.lower())
+#: Sums of documents that a task holds before it sends them on.
+HELD_SUMS = 1 << 21
+
+
+class _Numbers(dict):
+    """Words by number, in the order in which they are first seen."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
 
 
 class Block:
     """Texts as an index: features in order, the share of the dictionary that each belongs to, and its postings."""
 
     def __init__(self, bodies: list[bytes], longest: int, shares: int) -> None:
-        known: dict[bytes, int] = {}
-        each = [np.fromiter((known.setdefault(w, len(known)) for w in words_of(b)), np.int64) for b in bodies]
+        known = _Numbers()
+        each = [np.fromiter(map(known.__getitem__, WORD.findall(b.lower())), np.int32) for b in bodies]
         self.n_words = np.array([len(x) for x in each], np.int64)
         self.n_features = sum(np.maximum(self.n_words - n + 1, 0) for n in range(1, longest + 1))
-        row = np.repeat(np.arange(len(each)), self.n_words)
+        row = np.repeat(np.arange(len(each), dtype=np.int32), self.n_words)
         names = sorted(known)
-        place = np.empty(len(names), np.int64)  # words are numbered in their order, so features come sorted and pack well
+        place = np.empty(len(names), np.int32)  # words are numbered in their order, so features come sorted and pack well
         place[[known[w] for w in names]] = np.arange(len(names))
-        flat = place[np.concatenate(each)] if len(row) else np.zeros(0, np.int64)
+        flat = place[np.concatenate(each)] if len(row) else np.zeros(0, np.int32)
+        del known, each
         word_hash = np.fromiter((zlib.crc32(w) for w in names), np.uint64, len(names))
         words = pa.array(names, pa.binary())
         run, strings, hashes = flat.copy(), words, word_hash  # the feature that starts at each place, -1 for none
         found = []
         for n in range(1, longest + 1):
             if n > 1:
-                at = np.arange(len(flat) - n + 1) if len(flat) >= n else np.zeros(0, np.int64)
-                at = at[(run[at] >= 0) & (row[at] == row[at + n - 1])]
-                distinct, own = np.unique(run[at] * len(names) + flat[at + n - 1], return_inverse=True)
+                last = max(0, len(flat) - n + 1)
+                at = np.flatnonzero((run[:last] >= 0) & (row[:last] == row[n - 1 :][:last]))
+                distinct, own = np.unique(run[at].astype(np.int64) * len(names) + flat[at + n - 1], return_inverse=True)
                 head, tail = distinct // max(1, len(names)), distinct % max(1, len(names))
                 strings = pc.binary_join_element_wise(strings.take(pa.array(head)), words.take(pa.array(tail)), pa.scalar(b" ", pa.binary()))
                 hashes = hashes[head] * np.uint64(0x9E3779B97F4A7C15) + word_hash[tail]
-                run = np.full(len(flat), -1, np.int64)
+                run = np.full(len(flat), -1, np.int32)
                 run[at] = own
             held = run >= 0
-            key, count = np.unique(run[held] << PLACE_BITS | row[held], return_counts=True)
+            key, count = np.unique(run[held].astype(np.int64) << PLACE_BITS | row[held], return_counts=True)
             again = 1 + (count - 1) // MOST_COUNT
             nth = np.arange(again.sum()) - np.repeat(np.cumsum(again) - again, again)
             key, count = np.repeat(key, again), np.minimum(np.repeat(count, again) - nth * MOST_COUNT, MOST_COUNT)
@@ -72,7 +81,7 @@ class Block:
 
     def dealt(self) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
         """For each share that has some: strings, their lengths, postings of each, and the postings."""
-        z = zstandard.ZstdCompressor(level=3)
+        z, quick = zstandard.ZstdCompressor(level=3), zstandard.ZstdCompressor(level=1)
         order = np.argsort(self.share, kind="stable")
         first = np.cumsum(self.sizes) - self.sizes
         bounds = np.flatnonzero(np.r_[True, np.diff(self.share[order].astype(np.int64)) != 0, True]) if len(order) else [0]
@@ -80,33 +89,31 @@ class Block:
             at = order[i:j]
             own, sizes = self.strings.take(pa.array(at)), self.sizes[at]
             nth = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            packed = (b"".join(own.to_pylist()), pc.binary_length(own).to_numpy().astype("<u4").tobytes(), sizes.astype("<u4").tobytes(), self.postings[np.repeat(first[at], sizes) + nth].tobytes())
-            yield int(self.share[at[0]]), *map(z.compress, packed)
+            lengths = pc.binary_length(own).to_numpy()
+            text = own.buffers()[2][: int(lengths.sum())]  # taken anew, so it begins at the first
+            numbers = (lengths.astype("<u4"), sizes.astype("<u4"), self.postings[np.repeat(first[at], sizes) + nth])
+            yield int(self.share[at[0]]), z.compress(text), *[quick.compress(x.tobytes()) for x in numbers]
 
 
-class Dictionary(dict):
-    """Distinct features by number. A feature is hashed when it is first seen, and never again."""
+class Dictionary:
+    """Distinct features of many blocks with their counts. Each is hashed once, when all have come."""
 
     def __init__(self, buckets: int) -> None:
-        self.buckets, self.bucket, self.count = buckets, [], np.zeros(1024, np.int64)
-
-    def __missing__(self, feature: bytes) -> int:
-        self.bucket.append(zlib.crc32(feature) % self.buckets)
-        number = self[feature] = len(self)
-        return number
+        self.buckets, self.features, self.counts = buckets, [], []
 
-    def add(self, features: list[bytes], counts: np.ndarray) -> np.ndarray:
-        """Counts distinct features; returns their buckets."""
-        numbers = np.fromiter(map(self.__getitem__, features), np.int64, len(features))
-        if len(self) > len(self.count):
-            self.count = np.r_[self.count, np.zeros(len(self), np.int64)]
-        self.count[numbers] += counts
-        return np.fromiter(map(self.bucket.__getitem__, numbers.tolist()), np.int64, len(numbers))
+    def add(self, features: pa.Array, counts: np.ndarray) -> None:
+        """Features that are distinct among themselves, and how often each came."""
+        self.features.append(features)
+        self.counts.append(counts)
 
-    def totals(self) -> np.ndarray:
-        out = np.zeros(self.buckets, np.int64)
-        np.add.at(out, np.array(self.bucket, np.int64), self.count[: len(self)])
-        return out
+    def told(self) -> tuple[list[np.ndarray], np.ndarray]:
+        """The buckets of the features of each add(), and how many features fall into each bucket."""
+        met = pa.chunked_array(self.features, pa.binary()).combine_chunks().dictionary_encode()
+        number, distinct = met.indices.to_numpy(), met.dictionary
+        bucket = np.concatenate([np.zeros(0, np.int64), *[np.fromiter((zlib.crc32(f) for f in distinct.slice(i, 1 << 16).to_pylist()), np.int64) % self.buckets for i in range(0, len(distinct), 1 << 16)]])
+        count = np.bincount(number, np.concatenate(self.counts), minlength=len(distinct)).astype(np.int64)  # counts below 2**53 are exact
+        totals = np.bincount(bucket, count, minlength=self.buckets).astype(np.int64)
+        return np.split(bucket[number], np.cumsum([len(x) for x in self.features])[:-1]), totals
 
 
 INDEX = "share int, block long, strings binary, lengths binary, sizes binary, postings binary, doc_ids array<{0}>, n_words array<long>, n_features array<long>"
@@ -122,13 +129,17 @@ def _arrow(schema: T.StructType, id_type: pa.DataType) -> pa.Schema:
     return pa.schema([(k, kinds.get(k, pa.binary())) for k in schema.names])
 
 
+def _bucket_type(buckets: int) -> str:
+    return "<u2" if buckets <= 1 << 16 else "<u4"
+
+
 def _counted(docs: DataFrame, longest: int, buckets: int) -> DataFrame:
     """The dictionary's work as a written table: a row per block and share with the bucket of each feature and its
     postings, a row per task with the totals of its share by bucket, and a row per block with its documents."""
     spark = docs.sparkSession
     held = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).collect()[0][0]
     shares = max(parts(spark), math.ceil(held / SHARE_BYTES))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind, wide = docs.schema["doc_id"].dataType.simpleString(), _bucket_type(buckets)
     index, counted = (T._parse_datatype_string(x.format(kind)) for x in (INDEX, COUNTED))
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,8 +169,8 @@ def _counted(docs: DataFrame, longest: int, buckets: int) -> DataFrame:
             yield from closed()
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, z, un = Dictionary(buckets), zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
-        arrow = None
+        known, z, un = Dictionary(buckets), zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        arrow, rows = None, []
         for batch in batches:
             arrow = _arrow(counted, batch.schema.field("doc_ids").type.value_type)
             for i in range(batch.num_rows):
@@ -169,12 +180,14 @@ def _counted(docs: DataFrame, longest: int, buckets: int) -> DataFrame:
                     continue
                 lengths, sizes, postings = (np.frombuffer(un.decompress(row[k]), d) for k, d in (("lengths", "<u4"), ("sizes", "<u4"), ("postings", "<u2")))
                 offsets = np.r_[0, np.cumsum(lengths)].astype("<i4")
-                features = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(un.decompress(row["strings"]))]).to_pylist()
                 counts = np.add.reduceat((postings >> PLACE_BITS).astype(np.int64) + 1, np.cumsum(sizes, dtype=np.int64) - sizes)
-                row["buckets"] = z.compress(known.add(features, counts).astype("<u4").tobytes())
-                yield _rows(counted, arrow, [row])
-        if known:
-            yield _rows(counted, arrow, [{"totals": z.compress(known.totals().tobytes())}])
+                known.add(pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(un.decompress(row["strings"]))]), counts)
+                rows.append({k: row[k] for k in ("block", "sizes", "postings")})
+        if rows:
+            found, totals = known.told()
+            for row, own in zip(rows, found):
+                yield _rows(counted, arrow, [row | {"buckets": z.compress(own.astype(wide).tobytes())}])
+            yield _rows(counted, arrow, [{"totals": z.compress(totals.tobytes())}])
 
     dealt = docs.mapInArrow(indexed, index).repartitionById(shares, F.col("share"))
     return written(dealt.mapInArrow(told, counted), "feature-index")
@@ -225,19 +238,57 @@ def importance_scores(docs: DataFrame, target: DataFrame, longest: int = 2, buck
     gains = docs.sparkSession.sparkContext.broadcast(_gains(_totals(own, buckets), _totals(aimed, buckets)))
     dropped(aimed)
 
+    kind, wide = own.schema["doc_ids"].dataType.elementType, _bucket_type(buckets)
+
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        un = zstandard.ZstdDecompressor()
+        """Each block's sums by place over all shares of a task, without places that have none."""
+        un, z = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        sums: dict[int, np.ndarray] = {}
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            for block, held in sums.items():
+                at = np.flatnonzero(held[0])
+                yield pa.RecordBatch.from_pydict({"block": [block], "places": [z.compress(at.astype("<u2").tobytes())], "totals": [z.compress(held[1][at].tobytes())]})
+            sums.clear()
+
         for batch in batches:
             for block, *packed in zip(*(c.to_pylist() for c in batch.columns)):
-                b, sizes, postings = (np.frombuffer(un.decompress(x), d) for x, d in zip(packed, ("<u4", "<u4", "<u2")))
-                place = (postings & (BLOCK_DOCS - 1)).astype(np.int64)
-                total = np.bincount(place, np.repeat(gains.value[b], sizes) * ((postings >> PLACE_BITS).astype(np.int64) + 1))  # sums below 2**53 are exact
-                at = np.unique(place)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), block), pa.int64()), pa.array(at, pa.int32()), pa.array(total[at].astype(np.int64))], ["block", "place", "total"])
-
-    sums = own.where("buckets is not null").select("block", "buckets", "sizes", "postings").mapInArrow(summed, "block long, place int, total long").groupBy("block", "place").agg(F.sum("total").alias("total"))
-    each = own.where("doc_ids is not null").select("block", F.posexplode(F.arrays_zip("doc_ids", "n_words", "n_features")).alias("place", "d"))
-    told = each.join(sums, ["block", "place"], "left").select(F.col("d.doc_ids").alias("doc_id"), F.col("d.n_words").alias("n_words"), F.col("d.n_features").alias("n_features"), F.coalesce("total", F.lit(0)).alias("total"))
+                b, sizes, postings = (np.frombuffer(un.decompress(x), d) for x, d in zip(packed, (wide, "<u4", "<u2")))
+                place = postings & (BLOCK_DOCS - 1)
+                total = np.bincount(place, np.repeat(gains.value[b], sizes) * ((postings >> PLACE_BITS).astype(np.int64) + 1), minlength=BLOCK_DOCS)  # sums below 2**53 are exact
+                if block not in sums and len(sums) * BLOCK_DOCS >= HELD_SUMS:
+                    yield from closed()
+                held = sums.setdefault(block, np.zeros((2, BLOCK_DOCS), np.int64))
+                held[0][place] = 1
+                held[1] += total.astype(np.int64)
+        yield from closed()
+
+    out = T._parse_datatype_string(f"doc_id {kind.simpleString()}, n_words long, n_features long, total long")
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by block, that with its documents first."""
+        un, docs_of, block, sums = zstandard.ZstdDecompressor(), None, None, np.zeros(BLOCK_DOCS, np.int64)
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            if docs_of is not None:
+                ids, words, features = (docs_of.column(c)[0].values for c in ("doc_ids", "n_words", "n_features"))
+                yield pa.RecordBatch.from_arrays([ids, words, features, pa.array(sums[: len(ids)].copy())], out.names)
+
+        for batch in batches:
+            for i, (own_block, places, totals) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("block", "places", "totals")))):
+                if own_block != block:
+                    yield from closed()
+                    block, docs_of = own_block, batch.slice(i, 1)
+                    sums[:] = 0
+                if places is not None:
+                    sums[np.frombuffer(un.decompress(places), "<u2")] += np.frombuffer(un.decompress(totals), np.int64)
+        yield from closed()
+
+    listed = [F.lit(None).cast(own.schema[c].dataType).alias(c) for c in ("doc_ids", "n_words", "n_features")]
+    some = own.where("buckets is not null").select("block", "buckets", "sizes", "postings").mapInArrow(summed, "block long, places binary, totals binary").select("block", "places", "totals", *listed)
+    each = own.where("doc_ids is not null").select("block", F.lit(None).cast("binary").alias("places"), F.lit(None).cast("binary").alias("totals"), "doc_ids", "n_words", "n_features")
+    met = each.unionByName(some).repartition(parts(docs.sparkSession), "block").sortWithinPartitions("block", F.col("places").isNotNull())
+    told = met.mapInArrow(told, out)
     mean = F.when(F.col("n_features") == 0, F.lit(0)).otherwise(F.expr("(total - pmod(total, n_features)) div n_features")).cast("long")
     return told.select("doc_id", "n_words", "n_features", mean.alias("weight")).withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed))
 

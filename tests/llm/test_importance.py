@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loreweave.llm import importance
@@ -98,9 +99,13 @@ def test_blocks_count_what_a_counter_counts():
 
 
 def test_dictionary_hashes_a_feature_once(monkeypatch):
-    seen = []
-    monkeypatch.setattr(importance.zlib, "crc32", lambda f, real=zlib.crc32: seen.append(f) or real(f))
+    seen, real = [], zlib.crc32
+    monkeypatch.setattr(importance.zlib, "crc32", lambda f: seen.append(f) or real(f))
     d = importance.Dictionary(100)
-    for _ in range(3):
-        d.add([b"a", b"b", b"a b"], np.array([1, 2, 3]))
-    assert sorted(seen) == [b"a", b"a b", b"b"] and d.totals().sum() == 18
+    for features, counts in (([b"a", b"b"], [1, 2]), ([], []), ([b"b", b"a b", b"a"], [3, 4, 5])):
+        d.add(pa.array(features, pa.binary()), np.array(counts, np.int64))
+    buckets, totals = d.told()
+    assert sorted(seen) == [b"a", b"a b", b"b"]
+    of = {f: real(f) % 100 for f in set(seen)}
+    assert [x.tolist() for x in buckets] == [[of[b"a"], of[b"b"]], [], [of[b"b"], of[b"a b"], of[b"a"]]]
+    assert totals.sum() == 15 and totals[of[b"a"]] >= 6

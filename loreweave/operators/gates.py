@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,17 +37,43 @@ def evidence_gate(obliged: DataFrame) -> DataFrame:
     return obliged.where(F.size("evidence_anchor_ids") == 0).select(*_finding("error", "evidence_gate", F.concat(F.lit("Obligation '"), F.col("obligation_id"), F.lit("' has no evidence anchors")), F.col("obligation_id")))
 
 
-def contradictions(obliged: DataFrame) -> DataFrame:
+#: Rows of one side of a class of contradictions that meet those of the other in a task.
+CELL = 10_000
+
+
+def _sides(obliged: DataFrame) -> DataFrame:
+    """obligation_id, category, description, pair, yes: the phrases that a row holds, and on which side."""
+    low = F.lower("description")
+    sides = F.flatten(F.array(*[F.array(F.when(low.contains(a), F.struct(F.lit(i).alias("pair"), F.lit(True).alias("yes"))), F.when(low.contains(b), F.struct(F.lit(i).alias("pair"), F.lit(False).alias("yes")))) for i, (a, b) in enumerate(CONTRADICTIONS)]))
+    return obliged.select("obligation_id", "category", "description", F.explode(F.filter(sides, lambda x: x.isNotNull())).alias("s")).select("obligation_id", "category", "description", "s.*")
+
+
+def contradiction_counts(obliged: DataFrame) -> DataFrame:
+    """obligation_id, category, pair, n: with how many rows each contradicts on a pair of phrases, without making the pairs: rows
+    of a class (category and pair of phrases) are counted by side, and a row meets the other side, but not itself."""
+    own = _sides(obliged.select("obligation_id", "category", F.col("description"))).groupBy("obligation_id", "category", "pair").agg(F.bool_or("yes").alias("yes"), F.bool_or(~F.col("yes")).alias("no"))
+    own = own.where("category is not null")
+    sizes = own.groupBy("category", "pair").agg(F.count_if("yes").alias("n_yes"), F.count_if("no").alias("n_no"), F.count_if(F.col("yes") & F.col("no")).alias("n_both"))
+    n = F.when(F.col("yes") & F.col("no"), F.col("n_yes") + F.col("n_no") - F.col("n_both") - 1).when(F.col("yes"), F.col("n_no")).otherwise(F.col("n_yes"))
+    return own.join(sizes, ["category", "pair"]).select("obligation_id", "category", "pair", n.alias("n")).where("n > 0")
+
+
+def contradictions(obliged: DataFrame, cell: int = CELL) -> DataFrame:
     """A warning for each pair of obligations of a category and each phrase pair that they hold on opposite sides.
 
     Rows meet by category and phrase pair, the positive side against the negative, so rows without such a phrase and
-    pairs on the same side never do.
+    pairs on the same side never do. A side of more than cell rows is dealt into parts, and each part of one side meets each of
+    the other in a place of its own, so that no task gets more than two parts. Where only their number is asked, see contradiction_counts.
     """
-    low = F.lower("description")
-    sides = F.flatten(F.array(*[F.array(F.when(low.contains(a), F.struct(F.lit(i).alias("pair"), F.lit(True).alias("yes"))), F.when(low.contains(b), F.struct(F.lit(i).alias("pair"), F.lit(False).alias("yes")))) for i, (a, b) in enumerate(CONTRADICTIONS)]))
-    s = obliged.select("obligation_id", "category", "description", F.explode(F.filter(sides, lambda x: x.isNotNull())).alias("s")).select("obligation_id", "category", "description", "s.*")
-    a, b = s.where("yes").alias("a"), s.where("not yes").alias("b")
-    met = a.join(b, (F.col("a.category") == F.col("b.category")) & (F.col("a.pair") == F.col("b.pair")) & (F.col("a.obligation_id") != F.col("b.obligation_id")))
+    s = _sides(obliged)
+    sizes = s.groupBy("category", "pair").agg(F.ceil(F.count_if("yes") / cell).cast("int").alias("y"), F.ceil(F.count_if(~F.col("yes")) / cell).cast("int").alias("n")).where("y > 0 and n > 0")
+    s = s.join(sizes, ["category", "pair"])
+    part = lambda n: F.pmod(F.xxhash64("obligation_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = s.where("yes").withColumn("i", part("y")).withColumn("j", every("n")).alias("a")
+    b = s.where("not yes").withColumn("j", part("n")).withColumn("i", every("y")).alias("b")
+    same = lambda c: F.col(f"a.{c}") == F.col(f"b.{c}")
+    met = a.join(b, same("category") & same("pair") & same("i") & same("j") & (F.col("a.obligation_id") != F.col("b.obligation_id")))
     swap = F.col("a.obligation_id") > F.col("b.obligation_id")
     first, second = (F.when(c, F.struct("b.obligation_id", "b.description")).otherwise(F.struct("a.obligation_id", "a.description")) for c in (swap, ~swap))
     met = met.select(first.alias("x"), second.alias("y"), F.col("a.pair").alias("pair")).distinct()
@@ -66,6 +94,48 @@ def schema_gate(rows: DataFrame, schema: T.StructType, row_id: str, name: str) -
     return bad.select(*_finding("error", "schema", F.concat(F.lit(f"{name} '"), F.coalesce("row_id", F.lit("")), F.lit("' fails "), F.col("c.rule"), F.lit(": "), F.col("c.field")), F.coalesce("row_id", F.lit(""))))
 
 
+@dataclass(frozen=True)
+class Field:
+    """A field of a contract: its path (a.b for b in a), the kind of JSON value it must have if it is there (none: any), and whether it must be."""
+
+    path: str
+    kind: str | None = None
+    required: bool = False
+
+
+#: Names of JSON kinds, and what a value of them is called in a finding.
+KINDS = {"string": ("str",), "integer": ("int", "bool"), "number": ("int", "float", "bool"), "boolean": ("bool",), "array": ("list",), "object": ("dict",), "null": ("NoneType",)}
+
+
+def _called(value: Column) -> Column:
+    """What a variant is called: str, int, float, bool, list, dict, NoneType. Null for a field that is not there."""
+    of = F.schema_of_variant(value)
+    out = F.when(of == "STRING", "str").when(of == "BOOLEAN", "bool").when(of == "BIGINT", "int").when(of.startswith("ARRAY"), "list").when(of.startswith("OBJECT"), "dict").when(of == "VOID", "NoneType")
+    return F.when(value.isNotNull(), F.coalesce(out, F.lit("float")))
+
+
+def contract_faults(rows: DataFrame, column: str, contract: list[Field]) -> DataFrame:
+    """rows with faults, the messages of what their JSON text does not keep of a contract: no JSON, a required field that is
+    missing, a kind that is wrong (a boolean passes as a number, an unknown kind is any). A null text is no JSON. Each text is
+    parsed once; rows without faults are those to keep, the others go to quarantine."""
+    told = rows.withColumn("_v", F.try_parse_json(column))
+    each = []
+    for f in contract:
+        name = _called(F.try_variant_get("_v", f"$.{f.path}", "variant"))
+        if f.required:
+            each.append(F.when(name.isNull(), F.lit(f"Missing required field: {f.path}")))
+        if f.kind in KINDS:
+            each.append(F.when(name.isNotNull() & ~name.isin(*KINDS[f.kind]), F.concat(F.lit(f"Field '{f.path}' has wrong type: expected {f.kind}, got "), name)))
+    found = F.filter(F.array(*each), lambda x: x.isNotNull()) if each else F.array().cast("array<string>")
+    return told.withColumn("faults", F.when(F.col("_v").isNull(), F.array(F.lit("Invalid JSON"))).otherwise(found)).drop("_v")
+
+
+def contract_gate(rows: DataFrame, column: str, contract: list[Field], row_id: str, name: str) -> DataFrame:
+    """A schema finding for each fault of a row."""
+    bad = contract_faults(rows, column, contract).select(F.col(row_id).cast("string").alias("row_id"), F.explode("faults").alias("fault"))
+    return bad.select(*_finding("error", "schema", F.concat(F.lit(f"{name} '"), F.coalesce("row_id", F.lit("")), F.lit("': "), F.col("fault")), F.coalesce("row_id", F.lit(""))))
+
+
 def integrity_report(checks: dict[str, tuple[DataFrame, str, DataFrame, str]]) -> DataFrame:
     """check, checked, missing: for each (rows, key, known, its key), how many non-null keys there are and how many have no match."""
     out = None
@@ -77,6 +147,12 @@ def integrity_report(checks: dict[str, tuple[DataFrame, str, DataFrame, str]]) -
     return out
 
 
+def pipeline_error(spark: SparkSession, message: str) -> DataFrame:
+    """The finding of a run that broke off, named after the time."""
+    one = spark.createDataFrame([(message,)], "message string")
+    return one.select(F.concat(F.lit("error_"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).alias("finding_id"), F.lit("error").alias("severity"), F.lit("pipeline_error").alias("category"), "message", F.lit("").alias("related_ids"))
+
+
 def verdict(findings: DataFrame) -> DataFrame:
     """One row: passed if there is no error; errors and warnings."""
     return findings.agg((F.count_if(F.col("severity") == "error") == 0).alias("passed"), F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warn").alias("warnings"))

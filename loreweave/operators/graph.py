@@ -4,19 +4,21 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreweave.functions.text import digest
+from loreweave.sources.keyed_log import KeyedLog
 
 #: Temporal properties of a node; null where a row has no place in the story.
 TEMPORAL = {"story_time_label": "story_time.time_label", "story_time_start": "story_time.time_start", "story_time_end": "story_time.time_end", "story_order_index": "story_order.order_index", "story_order_label": "story_order.order_label", "story_order_source_id": "story_order.source_id", "story_order_passage_id": "story_order.passage_id"}
 
 
 def _nodes(rows: DataFrame, label: str, node_id: str, temporal: bool, *own: str) -> DataFrame:
-    """label, node_id, story columns, properties: JSON of the row's own columns with nulls, keys in order."""
+    """label, node_id, story columns, properties: JSON of the row's own columns with nulls, keys in order, and write: where in
+    its table the row was written, if the table tells (order_hint)."""
     story = [F.col(p).alias(k) if temporal else F.lit(None).cast("int" if k.endswith("index") else "string").alias(k) for k, p in TEMPORAL.items()]
-    return rows.select(F.lit(label).alias("label"), F.col(node_id).alias("node_id"), *story, F.to_json(F.struct(*sorted(own)), {"ignoreNullFields": "false"}).alias("properties"))
+    return rows.select(F.lit(label).alias("label"), F.col(node_id).alias("node_id"), *story, F.to_json(F.struct(*sorted(own)), {"ignoreNullFields": "false"}).alias("properties"), (F.col("order_hint").cast("long") if "order_hint" in rows.columns else F.lit(0).cast("long")).alias("write"))
 
 
 def graph_nodes(passages: DataFrame, anchors: DataFrame, named: DataFrame, obliged: DataFrame, happened: DataFrame, related: DataFrame) -> DataFrame:
@@ -31,8 +33,8 @@ def graph_nodes(passages: DataFrame, anchors: DataFrame, named: DataFrame, oblig
         _nodes(happened, "Event", "event_id", True, "event_type", "title", "description"),
         _nodes(related, "Relationship", "relationship_id", True, "relation_type", "source_entity_id", "target_entity_id", "description"),
     ]
-    written = [rows.withColumn("seq", F.struct(F.lit(i).alias("table"), "properties")) for i, rows in enumerate(every)]
-    return latest(reduce(DataFrame.unionByName, written), ["label", "node_id"], "seq").drop("seq")
+    written = [rows.withColumn("seq", F.struct(F.lit(i).alias("table"), "write", "properties")) for i, rows in enumerate(every)]
+    return latest(reduce(DataFrame.unionByName, written), ["label", "node_id"], "seq").drop("seq", "write")
 
 
 def latest(rows: DataFrame, key: list[str], by: str) -> DataFrame:
@@ -73,6 +75,30 @@ def connected_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges
 
 
+class GraphLog:
+    """Nodes and edges that are written again and again: a key's last write counts, and an edge counts while both its ends are there."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.nodes, self.edges = KeyedLog(spark, f"{root}/nodes", ["label", "node_id"]), KeyedLog(spark, f"{root}/edges", ["edge_id"])
+
+    def upsert(self, sequence: int, nodes: DataFrame, edges: DataFrame) -> None:
+        self.nodes.write(sequence, nodes, ["properties"])
+        self.edges.write(sequence, edges, ["edge_id"])
+
+    def read(self) -> tuple[DataFrame, DataFrame]:
+        nodes = self.nodes.read()
+        return nodes, connected_edges(self.edges.read(), nodes)
+
+
+def entity_context(happened: DataFrame, related: DataFrame, obliged: DataFrame, entity_id: str | None = None) -> DataFrame:
+    """entity_id, kind (event, relationship, obligation), item_id: what takes an entity in; of one entity or all."""
+    row = lambda rows, entity, kind, item: rows.select(entity.alias("entity_id"), F.lit(kind).alias("kind"), F.col(item).alias("item_id"))
+    every = row(happened, F.explode("participant_entity_ids"), "event", "event_id")
+    every = every.unionByName(row(related, F.explode(F.array("source_entity_id", "target_entity_id")), "relationship", "relationship_id"))
+    every = every.unionByName(row(obliged, F.explode("related_entity_ids"), "obligation", "obligation_id")).where("entity_id is not null")
+    return (every if entity_id is None else every.where(F.col("entity_id") == entity_id)).distinct()
+
+
 def uniqueness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """kind, key, n of labels with ids, and edge ids, that are there more than once."""
     n = nodes.groupBy(F.col("label").alias("kind"), F.col("node_id").alias("key")).agg(F.count("*").alias("n"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loreweave.functions.lineage import written
+from loreweave.functions.ranking import ranked
+
 
 def stats(obliged: DataFrame, named: DataFrame) -> DataFrame:
     """total, open, entities, high_confidence (above 0.8)."""
@@ -26,7 +29,35 @@ def by_category(obliged: DataFrame) -> DataFrame:
     return obliged.groupBy("category").agg(F.count("*").alias("n"))
 
 
+#: Rows of a range, and ranges of a range above it.
+RANGE = 1024
+
+
+def content_ranges(docs: DataFrame, *order: str) -> DataFrame:
+    """range, rows, hash: a SHA-256 over each RANGE neighbours in order (order_hint, source_id), from 0. A row's own hash is over
+    its source_id and raw_text, each behind its size in bytes, or - for null."""
+    row = F.sha2(F.concat(*[F.coalesce(F.concat(F.octet_length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-")) for c in ("source_id", "raw_text")]), 256)
+    order = order or ("order_hint", "source_id")
+    placed = ranked(docs.select(*order, row.alias("hash")), *order, "hash")
+    return _above(placed.select(F.col("rank").cast("long").alias("at"), "hash", F.lit(1).cast("long").alias("rows")))
+
+
+def _above(level: DataFrame) -> DataFrame:
+    """RANGE rows at most meet in a group."""
+    held = level.groupBy(F.expr(f"at div {RANGE}").alias("range")).agg(F.sum("rows").alias("rows"), F.array_sort(F.collect_list(F.struct("at", "hash"))).alias("h"))
+    return held.select("range", "rows", F.sha2(F.array_join(F.transform("h", lambda x: x["hash"]), ""), 256).alias("hash"))
+
+
+def content_hash(docs: DataFrame) -> DataFrame:
+    """content_hash: the root of a tree over all rows in order: the same however they are dealt to partitions, another one if two
+    rows change places. Null without rows."""
+    level = written(content_ranges(docs))
+    while level.count() > 1:
+        level = written(_above(level.select(F.col("range").alias("at"), "hash", "rows")))
+    return level.agg(F.max("hash").alias("content_hash"))
+
+
 def dataset_manifest(docs: DataFrame) -> DataFrame:
-    """documents, characters, sources and a hash of all rows that no order of rows changes, summed up where the rows lie."""
-    row = F.xxhash64("source_id", "raw_text")
-    return docs.agg(F.count("*").alias("documents"), F.coalesce(F.sum(F.length("raw_text")), F.lit(0)).cast("long").alias("characters"), F.countDistinct("source_id").alias("sources"), F.hex(F.bit_xor(row)).alias("content_hash"))
+    """documents, characters, sources and content_hash. One row each is joined."""
+    told = docs.agg(F.count("*").alias("documents"), F.coalesce(F.sum(F.length("raw_text")), F.lit(0)).cast("long").alias("characters"), F.countDistinct("source_id").alias("sources"))
+    return told.crossJoin(content_hash(docs))

@@ -58,6 +58,11 @@ def reveal_ledger(obliged: DataFrame, anchors: DataFrame) -> DataFrame:
     return m.select(digest("reveal_", 12, "reveal", F.col("obligation_id"), by=":").alias("reveal_id"), F.col("obligation_id").alias("mystery_obligation_id"), F.col("description").alias("mystery_description"), digest("truth_", 12, "truth", F.col("obligation_id"), by=":").alias("candidate_truth_ids"), F.col("evidence").alias("evidence_for"), F.lit(0.5).alias("likelihood"), F.array_join("related_entity_ids", ";").alias("characters_who_learn"), F.lit("moderate").alias("dramatic_impact"))
 
 
+def reveals_csv(ledger: DataFrame) -> DataFrame:
+    """The ledger as its file has it: eight columns, of which the truth that is chosen and its place are still empty."""
+    return ledger.select("reveal_id", "mystery_obligation_id", "mystery_description", "candidate_truth_ids", F.lit("").alias("selected_truth"), F.lit("").alias("reveal_placement"), "characters_who_learn", "dramatic_impact")
+
+
 def twist_bank(obliged: DataFrame, anchors: DataFrame) -> DataFrame:
     """A row per obligation: twist id, description, evidence that exists."""
     return _evidence(obliged, anchors).select(digest("twist_", 12, "twist", F.col("obligation_id"), by=":").alias("twist_id"), F.concat(F.lit("Twist proposal derived from obligation "), F.col("obligation_id")).alias("description"), F.lit("revelation").alias("twist_type"), F.col("obligation_id").alias("affected_obligations"), F.array_join("related_entity_ids", ";").alias("affected_entities"), F.col("evidence").alias("evidence_support"), F.lit(0.5).alias("reader_predictability"), F.lit(0.5).alias("thematic_alignment"))

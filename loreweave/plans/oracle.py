@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from loreweave.functions.lexicons import CATEGORIES, COMMON_WORDS, CONTRADICTIONS, DOSSIER_ORDER, EVENT_RULES, MENTION_RULES, OBLIGATION_RULES, PLACES, RELATION_RULES, REVIEW_CATEGORIES, VEHICLE_WORDS
 from loreweave.plans import corpus
-from loreweave.plans.queries import PATHS, STORY
+from loreweave.plans.queries import FAULTS, PATHS, STORY
 
 
 def q(x: object) -> str:
@@ -198,6 +198,10 @@ def on_annotated(select: str) -> str:
     return "WITH " + ",\n".join([corpus.annotated_sql(), passages_of("passages", "corpus", r"\n\s*\n"), ASCII_PASSAGES, mentions_of("found_mentions", "letters"), entities_of("found_entities", "found_mentions", 2)]) + "\n" + select
 
 
+def _json_kind(column: str) -> str:
+    return f"CASE {column} WHEN 'VARCHAR' THEN 'str' WHEN 'BOOLEAN' THEN 'bool' WHEN 'BIGINT' THEN 'int' WHEN 'UBIGINT' THEN 'int' WHEN 'ARRAY' THEN 'list' WHEN 'OBJECT' THEN 'dict' WHEN 'NULL' THEN 'NoneType' WHEN 'DOUBLE' THEN 'float' END"
+
+
 MERGE_STEPS = "SELECT id AS obligation_id, owner, src AS taken_by, round(w, 6) AS weight FROM ends LEFT JOIN edges ON dst = id WHERE owner NOT IN (SELECT dst FROM edges)"
 SESSIONS = """numbered AS (
   SELECT user_id, epoch_us(ts) AS us, sum(CASE WHEN gap <= 21600000000 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts) AS session
@@ -286,6 +290,30 @@ obliged AS (
 ), edges AS (
   SELECT src, dst, w FROM step WHERE src IS NOT NULL UNION ALL SELECT into_id, id, 1.0 FROM told WHERE into_id IS NOT NULL
 ), ends AS (SELECT id, id AS owner FROM obliged UNION ALL SELECT ends.id, src FROM ends JOIN edges ON dst = owner)""").replace("WITH ", "WITH RECURSIVE ", 1),
+    "content_ranges_paragraphs": on_documents(
+        'SELECT i // 1024 AS "range", count(*) AS "rows", sha256(string_agg(h, \'\' ORDER BY i)) AS hash FROM leaves GROUP BY i // 1024',
+        "leaves AS (SELECT row_number() OVER (ORDER BY order_hint, paragraph_index) - 1 AS i, sha256(strlen(passage_id) || ':' || passage_id || strlen(text) || ':' || text) AS h FROM passages)",
+    ),
+    "dataset_manifest_ordered": """WITH leaves AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, doc_id, text, sha256(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS h FROM documents),
+one AS (SELECT i // 1024 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h FROM leaves GROUP BY i // 1024),
+two AS (SELECT i // 1024 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h FROM one GROUP BY i // 1024)
+SELECT count(*) AS documents, CAST(sum(length(text)) AS BIGINT) AS characters, count(DISTINCT doc_id) AS sources, (SELECT CASE WHEN (SELECT count(*) FROM one) = 1 THEN (SELECT h FROM one) ELSE (SELECT h FROM two) END) AS content_hash FROM leaves""",
+    "events_log": "SELECT user_id, props, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, props ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1 AND event_type <> 'error'",
+    "contradictions_documents": on_documents(
+        "SELECT id AS obligation_id, c AS category, pair, CASE WHEN yes AND no THEN n_yes + n_no - n_both - 1 WHEN yes THEN n_no ELSE n_yes END AS n FROM (SELECT *, count(*) FILTER (yes) OVER (PARTITION BY c, pair) AS n_yes, count(*) FILTER (no) OVER (PARTITION BY c, pair) AS n_no, count(*) FILTER (yes AND no) OVER (PARTITION BY c, pair) AS n_both FROM held) WHERE CASE WHEN yes AND no THEN n_yes + n_no - n_both - 1 WHEN yes THEN n_no ELSE n_yes END > 0",
+        f"""told AS (
+  SELECT passage_id AS id, lang AS c, lower(p.text || ' ' || ['will live', 'Will Live', 'will die', 'will live, will die', 'is good', 'is evil', 'is true', ''][length(p.text) % 8 + 1]) AS t FROM passages AS p JOIN documents AS d ON p.source_id = CAST(d.doc_id AS VARCHAR) WHERE lang IS NOT NULL
+), held AS (SELECT id, c, CAST(pair AS INTEGER) AS pair, contains(t, a) AS yes, contains(t, b) AS no FROM told, {values([(i, a, b) for i, (a, b) in enumerate(CONTRADICTIONS)], "pair, a, b")} WHERE contains(t, a) OR contains(t, b))""",
+    ),
+    "passages_looked_up": on_documents("SELECT passage_id, source_id, paragraph_index, text FROM passages WHERE paragraph_index < 2 AND source_id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)"),
+    "stream_firsts_events": "SELECT user_id, props, count(*) AS n, epoch_us(min(ts)) AS first_at, arg_min(event_id, (ts, event_id)) AS first_id FROM events GROUP BY user_id, props",
+    "contract_events": f"""WITH both_kinds AS (
+  SELECT 'e' || event_id AS id, props FROM events UNION ALL SELECT 'm' || event_id, [{", ".join(map(q, FAULTS))}][event_id % {len(FAULTS)} + 1] FROM events
+), typed AS (SELECT id, json_valid(props) AND props <> '' AS ok, CASE WHEN json_valid(props) THEN json_type(props, '$.k') END AS k, CASE WHEN json_valid(props) THEN json_type(props, '$.z.y') END AS y FROM both_kinds
+), named AS (SELECT id, ok, {_json_kind('k')} AS k, {_json_kind('y')} AS y FROM typed
+), bad AS (
+  SELECT id, unnest(CASE WHEN NOT ok THEN ['Invalid JSON'] ELSE list_filter([CASE WHEN k IS NULL THEN 'Missing required field: k' WHEN k NOT IN ('int', 'bool') THEN 'Field ''k'' has wrong type: expected integer, got ' || k END, CASE WHEN y <> 'list' THEN 'Field ''z.y'' has wrong type: expected array, got ' || y END], lambda x: x IS NOT NULL) END) AS fault FROM named
+) {finding("error", "schema", "'Event Q' || id || 'Q: ' || fault".replace("Q", "''"), "id")} FROM bad""",
     "inc_entities_documents": on_annotated("SELECT entity_id, canonical_name, entity_type, first_seen_passage, mention_count FROM found_entities"),
     "inc_links_documents": on_annotated("SELECT passage_id, entity_id, canonical_name, entity_type, CAST(strpos(low, lower(canonical_name)) AS INTEGER) AS position FROM (SELECT passage_id, lower(text) AS low FROM passages), found_entities WHERE contains(low, lower(canonical_name))"),
     "sessions_open_at_purchases": f"WITH {SESSIONS} SELECT event_id, count(*) AS n_open, min(first) AS earliest FROM (SELECT event_id, epoch_us(ts) AS us FROM events WHERE event_type = 'purchase') JOIN sessions ON first <= us AND (last >= us OR last IS NULL) GROUP BY event_id",
@@ -348,6 +376,7 @@ SELECT DISTINCT relationship_id, time_value FROM related JOIN times ON time_valu
     "graph_edges": on_corpus("SELECT * FROM edges", EDGES),
     "graph_uniqueness": on_corpus("SELECT 'Event' AS kind, event_id AS key, 2::BIGINT AS n FROM events"),
     "g_events_for_entity": on_corpus("SELECT p AS entity_id, event_id, title, event_type, 'unknown' AS story_time_label, paragraph_index AS story_order_index, location_entity_id FROM (SELECT *, unnest(participants) AS p FROM events)"),
+    "entity_context": on_corpus("SELECT unnest(participants) AS entity_id, 'event' AS kind, event_id AS item_id FROM events UNION SELECT unnest([source_entity_id, target_entity_id]), 'relationship', relationship_id FROM relationships UNION SELECT unnest(related), 'obligation', obligation_id FROM obligations"),
     "g_active_during": on_corpus("SELECT relationship_id, relation_type, source_entity_id, target_entity_id, 'unknown' AS story_time_label, NULL::VARCHAR AS story_time_start, NULL::VARCHAR AS story_time_end, paragraph_index AS story_order_index FROM relationships"),
     "g_obligations_resolved": on_corpus("SELECT event_id, obligation_id, category, description, confidence, is_resolved FROM (SELECT event_id, unnest(resolved) AS obligation_id FROM events) JOIN obligations USING (obligation_id)"),
     "g_evidence_for_relationship": on_corpus("SELECT relationship_id, anchor_id, excerpt, passage_id, p.source_id, p.paragraph_index FROM (SELECT relationship_id, unnest(anchor_list) AS anchor_id FROM relationships) JOIN anchors USING (anchor_id) JOIN passages AS p USING (passage_id)"),

@@ -19,7 +19,12 @@ from loreweave.plans import corpus
 from loreweave.plans.run import Config, tables
 from loreweave.plans.upkeep import Upkeep
 from loreweave.sources import documents
+from loreweave.sources.keyed_log import KeyedLog
+from loreweave.sources.lookup import LookupTable
+from loreweave.streaming.firsts import running_firsts
 
+#: Texts that keep a contract, or do not, each in its way.
+FAULTS = ('{"k": "x"}', "{}", '{"k": null}', '{"k": 1.5}', '{"k": true}', "not json", "[1]", '{"k": {"y": 1}}', '{"k": 2, "z": {"y": [1]}}', '{"k": 3, "z": {"y": {}}}', "", '{"k": [], "z": {"y": "s"}}', '{"k": 4, "z": 5}')
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 #: Vehicles need two mentions here, as the corpus is small.
@@ -48,7 +53,7 @@ def corpus_tables(spark: SparkSession) -> dict[str, DataFrame]:
 STORY = (
     "corpus_passages", "mentions_vehicle", "mentions_capitalized", "entities", "alias_table", "entity_with_aliases", "entity_anchors", "link_entities", "obl_prophecy", "obl_chekhov", "obl_mystery",
     "obl_plot_thread", "evidence_index", "anchors_by_passage", "resolve_evidence", "stats", "event_participants", "event_location", "events", "event_obligations", "relationships", "graph_nodes", "graph_edges",
-    "g_events_for_entity", "g_timeline", "g_evidence_for_relationship", "outline_beats", "convergence", "coverage_map", "reveal_ledger", "twist_bank", "dossier_lines",
+    "entity_context", "g_events_for_entity", "g_timeline", "g_evidence_for_relationship", "outline_beats", "convergence", "coverage_map", "reveal_ledger", "twist_bank", "dossier_lines",
 )
 
 
@@ -169,6 +174,78 @@ def merge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.owners.join(into, "obligation_id", "left")
 
 
+@query
+def content_ranges_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of ranges of all paragraphs in order."""
+    p = segment(documents.documents_table(spark, sf_dir), r"\n")
+    return metrics.content_ranges(p.select("order_hint", "paragraph_index", F.col("passage_id").alias("source_id"), F.col("text").alias("raw_text")), "order_hint", "paragraph_index")
+
+
+@query
+def dataset_manifest_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.dataset_manifest(documents.documents_table(spark, sf_dir))
+
+
+@query
+def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as six writes of a log by user and properties, the later days first and one of them twice, with a new base
+    halfway: each key's last event, unless that is an error, which deletes the key."""
+    log = KeyedLog(spark, f"{shared_dir(spark)}/events-log-{uuid.uuid4().hex}", ["user_id", "props"])
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("part", F.least(F.floor((F.dayofmonth("ts") - 1) / 5).cast("int") + 1, F.lit(6)))
+    for n in (3, 2, 1, 2):
+        log.write(n, e.where(F.col("part") == n).drop("part"), ["ts", "event_id"], gone="event_type = 'error'")
+    log.compact()
+    for n in (6, 5, 4, 1):
+        log.write(n, e.where(F.col("part") == n).drop("part"), ["ts", "event_id"], gone="event_type = 'error'")
+    log.vacuum()
+    return log.read().select("user_id", "props", "event_id", "event_type", "value")
+
+
+@query
+def contradictions_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of the documents with a prediction each: how many of their language contradict it. Half of all say one phrase."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("source_id"), "lang")
+    p = segment(documents.documents_table(spark, sf_dir), r"\n").join(d, "source_id")
+    said = F.element_at(F.array(*[F.lit(x) for x in ("will live", "Will Live", "will die", "will live, will die", "is good", "is evil", "is true", "")]), (F.length("text") % 8 + 1).cast("int"))
+    return gates.contradiction_counts(p.select(F.col("passage_id").alias("obligation_id"), F.col("lang").alias("category"), F.concat_ws(" ", "text", said).alias("description")))
+
+
+@query
+def passages_looked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two paragraphs of every labelled document, from a table of all paragraphs laid out by their ids."""
+    table = LookupTable(spark, f"{shared_dir(spark)}/passages-{uuid.uuid4().hex}", "passage_id")
+    table.write(segment(documents.documents_table(spark, sf_dir), r"\n").select("passage_id", "source_id", "paragraph_index", "text"))
+    asked = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.explode(F.array(*[F.concat(F.col("doc_id").cast("string"), F.lit(f":{i}")) for i in (0, 1)])).alias("passage_id"))
+    return table.among(asked)
+
+
+@query
+def stream_firsts_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of files, the last batch of which is run twice: how often each user had each properties, and when first."""
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "props", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("id"))
+    e.repartition(3, "id").write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    run = lambda: running_firsts(stream, ["user_id", "props"], f"{at}/log", f"{at}/checkpoint").awaitTermination()
+    run()
+    jvm = spark.sparkContext._jvm
+    commits = jvm.org.apache.hadoop.fs.Path(f"{at}/checkpoint/commits")
+    fs = commits.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    last = max(int(x.getPath().getName()) for x in fs.listStatus(commits) if x.getPath().getName().isdigit())
+    fs.delete(jvm.org.apache.hadoop.fs.Path(commits, str(last)), False)
+    run()
+    return KeyedLog(spark, f"{at}/log", ["user_id", "props"]).read()
+
+
+@query
+def contract_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties of events, and as many with a fault made beside each, against a contract: findings by row."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "props")
+    made = F.element_at(F.array(*[F.lit(x) for x in FAULTS]), (F.col("event_id") % len(FAULTS) + 1).cast("int"))
+    both = e.select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("row_id"), "props").unionByName(e.select(F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("row_id"), made.alias("props")))
+    return gates.contract_gate(both, "props", [gates.Field("k", "integer", True), gates.Field("z.y", "array")], "row_id", "Event")
+
+
 _upkeep: dict[str, Upkeep] = {}
 
 
@@ -477,6 +554,11 @@ def _(t, spark):
     return graph.events_for_entity(t["edges"], t["events"])
 
 
+@of_corpus("entity_context")
+def _(t, spark):
+    return graph.entity_context(t["events"], t["relationships"], t["obligations"])
+
+
 @of_corpus("g_active_during")
 def _(t, spark):
     return graph.active_during(t["relationships"], "unknown")

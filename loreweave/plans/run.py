@@ -45,8 +45,17 @@ def tables(docs: DataFrame, config: Config = Config(), ignored: DataFrame | None
 
 
 def run(docs: DataFrame, root: str, config: Config = Config(), ignored: DataFrame | None = None, forced: DataFrame | None = None) -> bool:
-    """Runs everything into stores below root; returns the verdict. Nothing is exported if a gate fails."""
+    """Runs everything into stores below root; returns the verdict. Nothing is exported if a gate fails. An error is added to the
+    findings before it is passed on."""
     stores = Stores(docs.sparkSession, root)
+    try:
+        return _run(docs, stores, config, ignored, forced)
+    except Exception as e:
+        stores.append("findings", gates.pipeline_error(docs.sparkSession, str(e)))
+        raise
+
+
+def _run(docs: DataFrame, stores: Stores, config: Config, ignored: DataFrame | None, forced: DataFrame | None) -> bool:
     t = tables(docs, config, ignored, forced, stores.write)
     merges = dedupe.merges(t["obligations"], config.similarity_threshold)
     merged = stores.write("merged_obligations", dedupe.merge_obligations(t["obligations"].drop("seq"), m=merges))
@@ -54,7 +63,8 @@ def run(docs: DataFrame, root: str, config: Config = Config(), ignored: DataFram
     stores.write("evidence_index", obligations.evidence_index(merged))
     findings = stores.write("findings", gates.referential_integrity(t["passages"], t["anchors"], t["entities"], t["aliases"], merged).unionByName(gates.evidence_gate(merged)).unionByName(gates.contradictions(merged)))
     stores.write("metrics", metrics.metrics(t["passages"], merged, t["entities"], findings))
-    stores.append("review_queue", gates.review_items(findings))
+    stores.write_json("dataset_manifest", metrics.dataset_manifest(docs))
+    stores.append_new("review_queue", gates.review_items(findings), "item_id")
     passed = bool(gates.verdict(findings).collect()[0]["passed"])
     if not passed:
         return False
@@ -63,7 +73,7 @@ def run(docs: DataFrame, root: str, config: Config = Config(), ignored: DataFram
     beats = stores.write("outline", planning.outline_beats(merged, t["entities"]))
     points = stores.write("convergences", planning.convergence(beats))
     stores.write("bridging", planning.bridging_beats(points))
-    stores.write_csv("reveals", planning.reveal_ledger(merged, t["anchors"]))
+    stores.write_csv("reveals", planning.reveals_csv(planning.reveal_ledger(merged, t["anchors"])))
     stores.write("twists", planning.twist_bank(merged, t["anchors"]))
     lines = planning.dossier(merged, obligations.resolve_evidence(merged, t["anchors"]))
     stores.write("dossier", lines.orderBy("section", "obligation_id", F.monotonically_increasing_id()))

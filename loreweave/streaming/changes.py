@@ -19,8 +19,8 @@ def watch(spark: SparkSession, folder: str, root: str, checkpoint: str, delimite
     """Reads files that appear in folder and overwrites their sources in the stores passages, mentions and matches.
 
     A micro-batch that is run again overwrites the same sources with the same rows, so what is stored is exactly once.
-    Files that are not UTF-8 go to the store quarantine; a source's place in the order of first sight is the time of its
-    file. Runs over what is there and ends (available now).
+    Files that are not UTF-8 go to the store quarantine, by source too; a source's place in the order of first sight is the
+    microsecond of its file. Runs over what is there and ends (available now).
     """
     stores = Stores(spark, root)
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(folder).where(suffix(F.col("path")).isin(*TEXT_SUFFIXES))
@@ -28,8 +28,8 @@ def watch(spark: SparkSession, folder: str, root: str, checkpoint: str, delimite
     def take(batch: DataFrame, number: int) -> None:
         newest = batch.groupBy(stem(F.col("path")).alias("source_id")).agg(F.max_by(F.struct("content", "modificationTime", "path"), F.struct("modificationTime", "path")).alias("f")).select("source_id", "f.*")
         readable = F.is_valid_utf8("content")
-        stores.append("quarantine", newest.where(~readable).select("source_id", F.col("path").alias("source_path"), F.lit(number).alias("batch")))
-        docs = newest.where(readable).select("source_id", F.unix_seconds("modificationTime").cast("int").alias("order_hint"), F.regexp_replace(F.col("content").cast("string"), "\r\n?", "\n").alias("raw_text"))
+        stores.write_sources("quarantine", newest.where(~readable).select("source_id", F.col("path").alias("source_path"), F.lit(number).alias("batch")))
+        docs = newest.where(readable).select("source_id", F.unix_micros("modificationTime").alias("order_hint"), F.regexp_replace(F.col("content").cast("string"), "\r\n?", "\n").alias("raw_text"))
         passages = segment(docs, delimiter).persist()
         stores.write_sources("passages", passages)
         stores.write_sources("mentions", mentions(passages))

@@ -373,6 +373,17 @@ SELECT DISTINCT relationship_id, time_value FROM related JOIN times ON time_valu
     "events": on_corpus("SELECT event_id, event_type, title, array_to_string(participants, ';') AS participant_entity_ids, location_entity_id, array_to_string(resolved, ';') AS related_obligation_ids, array_to_string(anchor_list, ';') AS evidence_anchor_ids FROM events"),
     "relationships": on_corpus("SELECT relationship_id, relation_type, source_entity_id, target_entity_id, description, array_to_string(anchor_list, ';') AS evidence_anchor_ids FROM relationships"),
     "graph_nodes": on_corpus("SELECT * FROM nodes", NODES),
+    "graph_properties": on_corpus(" UNION ALL ".join(
+        f"SELECT '{label}' AS label, {key} AS node_id, CAST(json_object({', '.join(f"'{k}', {v}" for k, v in sorted(own.items()))}) AS VARCHAR) AS properties FROM {rows}"
+        for label, key, rows, own in (
+            ("Passage", "passage_id", "passages", {k: k for k in ("source_id", "paragraph_index", "text", "char_start", "char_end")}),
+            ("EvidenceAnchor", "anchor_id", "anchors", {k: k for k in ("passage_id", "char_start", "char_end", "excerpt")}),
+            ("Entity", "entity_id", "entities", {k: k for k in ("canonical_name", "entity_type", "first_seen_passage", "mention_count")}),
+            ("Obligation", "obligation_id", "obligations", {k: k for k in ("category", "description", "last_seen_passage_id", "confidence", "is_resolved")} | {"resolution_passage_id": "NULL"}),
+            ("Event", "event_id", "events JOIN passages USING (passage_id)", {"event_type": "event_type", "title": "title", "description": "text"}),
+            ("Relationship", "relationship_id", "relationships", {k: k for k in ("relation_type", "source_entity_id", "target_entity_id", "description")}),
+        )
+    )),
     "graph_edges": on_corpus("SELECT * FROM edges", EDGES),
     "graph_uniqueness": on_corpus("SELECT 'Event' AS kind, event_id AS key, 2::BIGINT AS n FROM events"),
     "g_events_for_entity": on_corpus("SELECT p AS entity_id, event_id, title, event_type, 'unknown' AS story_time_label, paragraph_index AS story_order_index, location_entity_id FROM (SELECT *, unnest(participants) AS p FROM events)"),

@@ -52,7 +52,7 @@ def corpus_tables(spark: SparkSession) -> dict[str, DataFrame]:
 #: Queries that are answered over a text for each document too, at the size of the driver's table.
 STORY = (
     "corpus_passages", "mentions_vehicle", "mentions_capitalized", "entities", "alias_table", "entity_with_aliases", "entity_anchors", "link_entities", "obl_prophecy", "obl_chekhov", "obl_mystery",
-    "obl_plot_thread", "evidence_index", "anchors_by_passage", "resolve_evidence", "stats", "event_participants", "event_location", "events", "event_obligations", "relationships", "graph_nodes", "graph_edges",
+    "obl_plot_thread", "evidence_index", "anchors_by_passage", "resolve_evidence", "stats", "event_participants", "event_location", "events", "event_obligations", "relationships", "graph_nodes", "graph_properties", "graph_edges",
     "entity_context", "g_events_for_entity", "g_timeline", "g_evidence_for_relationship", "outline_beats", "convergence", "coverage_map", "reveal_ledger", "twist_bank", "dossier_lines",
 )
 
@@ -539,6 +539,12 @@ def _(t, spark):
     return t["nodes"].select("label", "node_id", "story_order_index", "story_order_source_id", "story_order_passage_id")
 
 
+@of_corpus("graph_properties")
+def _(t, spark):
+    """What every node holds, whole."""
+    return t["nodes"].select("label", "node_id", "properties")
+
+
 @of_corpus("graph_edges")
 def _(t, spark):
     return t["edges"]

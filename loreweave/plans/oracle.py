@@ -409,3 +409,5 @@ SELECT DISTINCT relationship_id, time_value FROM related JOIN times ON time_valu
 }
 
 ORACLE_SQL |= {f"{name}_story": ORACLE_SQL[name].replace(corpus.sql(), corpus.story_sql()) for name in STORY}
+_LABELLED = lambda sql: sql.replace(corpus.sql(), corpus.story_sql()).replace("source_id = 'book2_ch01'", "source_id IN (SELECT 'd' || doc_id FROM labels)")
+ORACLE_SQL |= {"inc_payload_story": _LABELLED(ORACLE_SQL["inc_payload"]), "inc_graph_story": _LABELLED(on_corpus(edges_of({k: f"t_{k}" for k in _TABLES}), TOUCHED))}

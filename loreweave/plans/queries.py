@@ -54,6 +54,8 @@ STORY = (
     "corpus_passages", "mentions_vehicle", "mentions_capitalized", "entities", "alias_table", "entity_with_aliases", "entity_anchors", "link_entities", "obl_prophecy", "obl_chekhov", "obl_mystery",
     "obl_plot_thread", "evidence_index", "anchors_by_passage", "resolve_evidence", "stats", "event_participants", "event_location", "events", "event_obligations", "relationships", "graph_nodes", "graph_properties", "graph_edges",
     "entity_context", "g_events_for_entity", "g_timeline", "g_evidence_for_relationship", "outline_beats", "convergence", "coverage_map", "reveal_ledger", "twist_bank", "dossier_lines",
+    "mentions_title", "mentions_house", "mentions_artifact", "mentions_place", "mentions_epithet", "entities_overridden", "override_assign", "passage_recency", "obligations_by_category", "referential_integrity", "evidence_gate",
+    "integrity_report", "event_class", "relationship_class", "graph_uniqueness", "g_active_during", "g_obligations_resolved", "bridging_beats",
 )
 
 
@@ -631,6 +633,23 @@ def _(t, spark):
     return graph.graph_edges(r["anchors"], r["entities"], r["obligations"], r["events"], r["relationships"]).groupBy("rel_type", "source_label", "target_label").agg(F.count("*").alias("n"))
 
 
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source_id")).distinct()
+
+
+@query
+def inc_payload_story(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the labelled documents touch, of the tables over all."""
+    return incremental.payload(_labelled(spark, sf_dir), story_tables(spark, sf_dir))
+
+
+@query
+def inc_graph_story(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of what the labelled documents touch."""
+    r = incremental.touched(_labelled(spark, sf_dir), story_tables(spark, sf_dir))
+    return graph.graph_edges(r["anchors"], r["entities"], r["obligations"], r["events"], r["relationships"])
+
+
 PATHS = ("/in/book1_ch01.txt", "/in/bookish_x.md", "/in/book_intro.txt", "/in/book2_7.MD", "/in/notes.markdown", "/in/scan.pdf", "/in/image.png", "/out/book1_ch01.txt", "/in/.txt")
 
 

@@ -32,6 +32,16 @@ BLOCK_DOCS, BLOCK_BYTES, SHARE_BYTES = 1 << PLACE_BITS, 8 << 20, 10 << 20
 HELD_SUMS = 1 << 21
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers of a fixed width as all their first bytes, then all their second ones, and so on, which packs better."""
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T).tobytes()
+
+
+def _numbers(planes: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
 class _Numbers(dict):
     """Words by number, in the order in which they are first seen."""
 
@@ -81,7 +91,7 @@ class Block:
 
     def dealt(self) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
         """For each share that has some: strings, their lengths, postings of each, and the postings."""
-        z, quick = zstandard.ZstdCompressor(level=3), zstandard.ZstdCompressor(level=1)
+        z, quick = zstandard.ZstdCompressor(level=6), zstandard.ZstdCompressor(level=1)
         order = np.argsort(self.share, kind="stable")
         first = np.cumsum(self.sizes) - self.sizes
         bounds = np.flatnonzero(np.r_[True, np.diff(self.share[order].astype(np.int64)) != 0, True]) if len(order) else [0]
@@ -92,7 +102,7 @@ class Block:
             lengths = pc.binary_length(own).to_numpy()
             text = own.buffers()[2][: int(lengths.sum())]  # taken anew, so it begins at the first
             numbers = (lengths.astype("<u4"), sizes.astype("<u4"), self.postings[np.repeat(first[at], sizes) + nth])
-            yield int(self.share[at[0]]), z.compress(text), *[quick.compress(x.tobytes()) for x in numbers]
+            yield int(self.share[at[0]]), z.compress(text), *[quick.compress(_planes(x)) for x in numbers]
 
 
 class Dictionary:
@@ -178,7 +188,7 @@ def _counted(docs: DataFrame, longest: int, buckets: int) -> DataFrame:
                 if row["strings"] is None:
                     yield _rows(counted, arrow, [row])
                     continue
-                lengths, sizes, postings = (np.frombuffer(un.decompress(row[k]), d) for k, d in (("lengths", "<u4"), ("sizes", "<u4"), ("postings", "<u2")))
+                lengths, sizes, postings = (_numbers(un.decompress(row[k]), d) for k, d in (("lengths", "<u4"), ("sizes", "<u4"), ("postings", "<u2")))
                 offsets = np.r_[0, np.cumsum(lengths)].astype("<i4")
                 counts = np.add.reduceat((postings >> PLACE_BITS).astype(np.int64) + 1, np.cumsum(sizes, dtype=np.int64) - sizes)
                 known.add(pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(un.decompress(row["strings"]))]), counts)
@@ -186,7 +196,7 @@ def _counted(docs: DataFrame, longest: int, buckets: int) -> DataFrame:
         if rows:
             found, totals = known.told()
             for row, own in zip(rows, found):
-                yield _rows(counted, arrow, [row | {"buckets": z.compress(own.astype(wide).tobytes())}])
+                yield _rows(counted, arrow, [row | {"buckets": z.compress(_planes(own.astype(wide)))}])
             yield _rows(counted, arrow, [{"totals": z.compress(totals.tobytes())}])
 
     dealt = docs.mapInArrow(indexed, index).repartitionById(shares, F.col("share"))
@@ -253,7 +263,7 @@ def importance_scores(docs: DataFrame, target: DataFrame, longest: int = 2, buck
 
         for batch in batches:
             for block, *packed in zip(*(c.to_pylist() for c in batch.columns)):
-                b, sizes, postings = (np.frombuffer(un.decompress(x), d) for x, d in zip(packed, (wide, "<u4", "<u2")))
+                b, sizes, postings = (_numbers(un.decompress(x), d) for x, d in zip(packed, (wide, "<u4", "<u2")))
                 place = postings & (BLOCK_DOCS - 1)
                 total = np.bincount(place, np.repeat(gains.value[b], sizes) * ((postings >> PLACE_BITS).astype(np.int64) + 1), minlength=BLOCK_DOCS)  # sums below 2**53 are exact
                 if block not in sums and len(sums) * BLOCK_DOCS >= HELD_SUMS:

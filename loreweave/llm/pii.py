@@ -27,6 +27,8 @@ _AROUND = r"^[._/#:)-]+|[._+(/#:-]+$"
 #: Characters before and behind a place in which its context words, runs of letters, are sought.
 NEAR = 80
 _BLOCK = 256
+#: Characters of a piece of a text; a place's surroundings lie in two.
+_PIECE = 256
 #: The bit table of contexts that is sent to every task has so many bits at most; fuller, it only prunes less.
 MOST_BITS = 1 << 22
 
@@ -96,10 +98,17 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
 
 
-def _contexts(text: Column, start: Column, end: Column) -> Column:
+def _near(start: Column, end: Column) -> Column:
+    """The characters from start to end, NEAR at most: from the two pieces of the text where they lie, as reading on from the
+    text's begin for each place would take the square of its length."""
+    i = F.floor(start / _PIECE).cast("int")
+    two = F.concat(F.coalesce(F.get("pieces", i), F.lit("")), F.coalesce(F.get("pieces", i + 1), F.lit("")))
+    return F.substring(two, start - i * _PIECE + 1, end - start)
+
+
+def _contexts(start: Column, end: Column) -> Column:
     """The lexical patterns of a place: side, and the word or two words next to it on that side."""
-    before = _words(F.substring(text, F.greatest(F.lit(1), start - (NEAR - 1)), F.least(start, F.lit(NEAR))))
-    behind = _words(F.substring(text, end + 1, F.lit(NEAR)))
+    before, behind = _words(_near(F.greatest(F.lit(0), start - NEAR), start)), _words(_near(end, end + NEAR))
     n = F.size(before)
     pair = lambda side, a, b: F.concat_ws(" ", F.lit(side), a, b)
     each = [F.when(n > 0, pair("<", F.get(before, n - 1), F.lit(None))), F.when(n > 1, pair("<", F.get(before, n - 2), F.get(before, n - 1)))]
@@ -107,9 +116,19 @@ def _contexts(text: Column, start: Column, end: Column) -> Column:
     return F.filter(F.array(*each), lambda c: c.isNotNull())
 
 
+def _overlaps(kind: str, c: Column) -> Column:
+    """Whether a kind's spans, which stand apart and in order, overlap c: the block of spans is found first, then the span."""
+    at = F.greatest(F.size(F.filter(f"{kind}_heads", lambda h: h < c["end"])) - 1, F.lit(0))
+    return F.exists(F.slice(kind, at * _BLOCK + 1, _BLOCK), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+
+
 def _places(d: DataFrame) -> DataFrame:
     """Adds places (kind, token, start, end, contexts): the base spans, and strings that can be identifiers and overlap none, whose kind is null."""
     d = _with_spans(d, "candidate", CANDIDATE, F.col("text").rlike("[0-9@]"))
+    d = d.withColumn("pieces", F.when((F.size("spans") > 0) | (F.size("candidate") > 0), F.regexp_extract_all("text", F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))))
+    for kind in KINDS:
+        last = F.floor((F.size(kind) - 1) / _BLOCK).cast("int")
+        d = d.withColumn(f"{kind}_heads", F.when(F.size(kind) > 0, F.transform(F.sequence(F.lit(0), last), lambda b: F.get(kind, b * _BLOCK)["start"])).otherwise(F.array().cast("array<int>")))  # noqa: B023
 
     def trimmed(c: Column) -> Column:
         token = F.regexp_replace(c["match"], _AROUND, "")
@@ -117,13 +136,15 @@ def _places(d: DataFrame) -> DataFrame:
         return F.struct(F.lit(None).cast("string").alias("kind"), token.alias("token"), start.alias("start"), (start + F.length(token)).alias("end"))
 
     def fits(c: Column) -> Column:
-        free = ~F.exists("spans", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-        return F.length(c["token"]).between(*SIZES) & c["token"].rlike(r"@|[0-9][^0-9]*[0-9][^0-9]*[0-9]") & free
+        shaped = F.length(c["token"]).between(*SIZES) & c["token"].rlike(r"@|[0-9][^0-9]*[0-9][^0-9]*[0-9]")
+        for kind in KINDS:
+            shaped = shaped & ~_overlaps(kind, c)
+        return shaped
 
     base = F.transform("spans", lambda b: F.struct(b["kind"].alias("kind"), b["match"].alias("token"), b["start"].alias("start"), b["end"].alias("end")))
     both = F.concat(base, F.filter(F.transform("candidate", trimmed), fits))
-    placed = F.transform(both, lambda p: F.struct(p["kind"].alias("kind"), p["token"].alias("token"), p["start"].alias("start"), p["end"].alias("end"), _contexts(F.col("text"), p["start"], p["end"]).alias("contexts")))
-    return d.withColumn("places", placed).drop("candidate")
+    placed = F.transform(both, lambda p: F.struct(p["kind"].alias("kind"), p["token"].alias("token"), p["start"].alias("start"), p["end"].alias("end"), _contexts(p["start"], p["end"]).alias("contexts")))
+    return d.withColumn("places", placed).drop("candidate", "pieces", *[f"{kind}_heads" for kind in KINDS])
 
 
 def _frequencies(docs: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -215,9 +236,9 @@ def pii_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least
     ends exclusive. Null and empty texts have none; equal rows have equal spans; an empty table gives no rows; other
     columns play no part.
     """
-    found = base_spans(docs, doc_id, text).withColumn("mark", _text_mark()).withColumn("spans", F.concat(*KINDS)).drop(*KINDS)
+    found = base_spans(docs, doc_id, text).withColumn("mark", _text_mark()).withColumn("spans", F.concat(*KINDS))
     bare = lambda spans: F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    base = written(_places(found).select("doc_id", "mark", bare("spans").alias("base"), "places"), "base-spans")
+    base = written(_places(found).drop(*KINDS).select("doc_id", "mark", bare("spans").alias("base"), "places"), "base-spans")
     plain = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     new = discovered(plain, base, least_seeds, least_confidence, least_selectivity, rounds)
     out = base.select("doc_id", "mark", "base")

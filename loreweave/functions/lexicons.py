@@ -10,9 +10,6 @@ COMMON_WORDS = ("The", "A", "An", "He", "She", "It", "They", "We", "You", "I", "
 PLACES = ("Winterfell", "Braavos", "Pentos", "Meereen", "Astapor", "Yunkai", "Volantis", "Dorne", "Highgarden", "Casterly Rock", "Storm's End", "Dragonstone", "Harrenhal", "The Eyrie", "Riverrun", "Pyke", "Oldtown", "Sunspear", "The Twins")
 VEHICLE_WORDS = ("sail", "sailed", "sailing", "ship", "aboard", "board", "boarded", "captain", "deck", "port", "harbor", "harbour", "voyage", "seas", "storm", "fleet", "vessel", "anchor")
 
-NAME = r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*"
-
-
 @dataclass(frozen=True)
 class MentionRule:
     """seq orders rules; kind is the type of what the pattern finds."""
@@ -26,9 +23,11 @@ def _whole(word: str) -> str:
     return rf"\b{word}\b"
 
 
-#: Titles, houses, artifacts, places, then names of two words or more and epithets; vehicles (5) need their context too.
+#: Patterns of titles, houses, artifacts, places, then names of two words or more and epithets; vehicles (5) need their context too.
 MENTION_RULES = (
-    *(MentionRule(1, "title", rf"\b{t} of (?:the )?{NAME}") for t in ("Lord", "King", "Queen")),
+    MentionRule(1, "title", r"\bLord of (?:the )?[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*"),
+    MentionRule(1, "title", r"\bKing of (?:the )?[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*"),
+    MentionRule(1, "title", r"\bQueen of (?:the )?[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*"),
     MentionRule(1, "title", r"\bHand of the King\b"),
     MentionRule(2, "group", r"\bHouse [A-Z][a-z]+\b"),
     *(MentionRule(3, "artifact", _whole(a)) for a in ARTIFACTS),
@@ -54,13 +53,12 @@ class ObligationRule:
     fragment: bool = False
 
 
-_ITEM, _MAKE = "(sword|blade|dagger|weapon)", "(valyrian|steel|forged)"
 #: Patterns, all without regard to case.
 OBLIGATION_RULES = (
     ObligationRule("prophecy_vision", 1, "Prophecy/vision reference", 0.7, (r"\bprophec\w*\b", r"\bvision\b", r"\bdreams?\b", r"\bforetold\b", r"\bforeseen\b")),
     ObligationRule("prophecy_vision", 2, "Known prophecy phrase", 0.9, ("three heads", "prince that was promised", "azor ahai")),
     ObligationRule("chekhov_gun", 1, "Narrative setup", 0.8, (r"\bwould need it later\b", r"\bkept it hidden\b", r"\bshe kept it hidden\b", r"\bhe kept it hidden\b", r"\bkeep it hidden\b"), "artifact"),
-    ObligationRule("chekhov_gun", 2, "Significant item", 0.75, (rf"\b{_ITEM}\b.*\b{_MAKE}\b", rf"\b{_MAKE}\b.*\b{_ITEM}\b", r"\bvial\b.*\b(poison|potion)\b", r"\b(poison|potion)\b.*\bvial\b", r"\bpoison\b", r"\bsword\s+\w+\s+hung\b"), "artifact"),
+    ObligationRule("chekhov_gun", 2, "Significant item", 0.75, (r"\b(sword|blade|dagger|weapon)\b.*\b(valyrian|steel|forged)\b", r"\b(valyrian|steel|forged)\b.*\b(sword|blade|dagger|weapon)\b", r"\bvial\b.*\b(poison|potion)\b", r"\b(poison|potion)\b.*\bvial\b", r"\bpoison\b", r"\bsword\s+\w+\s+hung\b"), "artifact"),
     ObligationRule("mystery", 1, "Unresolved question", 0.75, (r"\bwho had\b[^?]*\?", r"\bwhy would\b[^?]*\?", r"\bwhat was\b[^?]*\?")),
     ObligationRule("mystery", 2, "Unresolved question", 0.75, (r"\bwho had\b", r"\bwhy would\b", r"\bwhat was\b"), fragment=True),
     ObligationRule("mystery", 3, "Mystery keyword", 0.7, (r"\bsecret\b", r"\bhidden truth\b", r"\bno one knew\b", r"\btrue parentage\b", r"\breal name\b")),
@@ -83,6 +81,7 @@ EVENT_RULES = (
     ("travel", r"\bjourney\b|\btraveled\b|\bset out\b|\bdeparted\b"),
     ("discovery", r"\bdiscovered\b|\bfound\b|\buncovered\b"),
 )
+#: Relations in order of precedence.
 RELATION_RULES = (
     ("alliance", r"\ballied with\b"),
     ("enmity", r"\benemy\b|\benmity\b"),

@@ -35,7 +35,7 @@ def test_updates_equal_a_whole_run(spark, tmp_path):
     stores = Upkeep(spark, f"file://{tmp_path}/u", shards=4)
     stores.load(spark.createDataFrame(list(docs.values()), SCHEMA))
     assert _kept(stores) == _whole(spark, docs)
-    for version in (1, 2):
+    for version in (1,):
         changed = {k: _doc(rng, k[1:]) for k in [*rng.sample(sorted(docs), 3), f"s{20 + version}"]}
         gone = [k for k in rng.sample(sorted(docs), 3) if k not in changed]
         docs = {k: v for k, v in docs.items() if k not in gone} | changed

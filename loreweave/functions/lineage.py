@@ -36,4 +36,14 @@ def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, computed once; a checkpoint computes it twice."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.loreweave_path = path
+    return out
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Deletes written tables that no later plan reads."""
+    for df in tables:
+        if path := getattr(df, "loreweave_path", None):
+            at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loreweave.functions.lineage import written
+from loreweave.functions.lineage import dropped, written
 from loreweave.functions.ranking import ranked, running
 from loreweave.functions.text import digest, jaccard, tokens
 
@@ -86,8 +86,9 @@ def _classes(base: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return told.select("obligation_id", "rep", "place", "before"), edges, told.where("rep = obligation_id").select(F.col("rep").alias("node"), F.col("size").alias("n"))
 
 
-def _round(pairs: DataFrame, sizes: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One round: merges (source, target, weight) and moves (node, owner, shift, n): whose lists go where in whose, and new sizes.
+def _round(pairs: DataFrame, sizes: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """One round: merges (source, target, weight) and moves (node, owner, shift, n): whose lists go where in whose, and new sizes; and the
+    tables that both still read.
 
     A pair is decided once no other pair of its two rows comes first. So wherever two rows are each other's first pair, the
     one that stays works off its next pairs too, as long as these are the first of the other row, until it is taken in itself.
@@ -102,14 +103,14 @@ def _round(pairs: DataFrame, sizes: DataFrame, items: DataFrame) -> tuple[DataFr
     mutual = rows.where(F.col("r") == F.col("first")).select("x", F.col("r.i").alias("i"), F.col("r.j").alias("j")).join(n("i", "ni"), "i").join(n("j", "nj"), "j")
     stays = mutual.where(F.col("x") == F.when(F.col("ni") >= F.col("nj"), F.col("i")).otherwise(F.col("j"))).select("x")
     line = rows.join(stays, "x", "left_semi").withColumn("k", F.row_number().over(Window.partitionBy("x").orderBy("r"))).where(F.col("k") <= PARTNERS)
-    line = written(line.join(n("y", "n"), "y").select("x", "y", "k", "n", (-F.col("r.s")).alias("weight")))
+    line = partners = written(line.join(n("y", "n"), "y").select("x", "y", "k", "n", (-F.col("r.s")).alias("weight")))
     own = line.select("x").distinct().join(n("x", "n"), "x").select("x", F.col("x").alias("y"), F.lit(0).alias("k"), "n", F.lit(None).cast("double").alias("weight"))
     line = own.unionByName(line)
     fresh = line.join(items.where("kind = 'anchor'").withColumnRenamed("owner", "y"), "y").groupBy("x", "value").agg(F.min("k").alias("k")).groupBy("x", "k").agg(F.count("*").alias("fresh"))
     before = Window.partitionBy("x").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)  # PARTNERS + 1 rows at most
     line = line.join(fresh, ["x", "k"], "left").withColumn("fresh", F.coalesce("fresh", F.lit(0))).withColumn("before", F.coalesce(F.sum("fresh").over(before), F.lit(0)))
     over = (F.col("k") > 0) & ((F.col("n") > F.col("before")) | (F.col("n") == F.col("before")) & (F.col("y") < F.col("x")))
-    line = written(line.withColumn("over", over))
+    line = decided = written(line.withColumn("over", over))
     end = line.groupBy("x").agg(F.min(F.when(F.col("over"), F.col("k"))).alias("end"))
     line = line.join(end, "x").where(F.col("end").isNull() | (F.col("k") <= F.col("end")))
     last = line.groupBy("x").agg(F.max_by("y", "k").alias("y"), F.sum("fresh").alias("size"), F.max("end").alias("end"))
@@ -117,7 +118,7 @@ def _round(pairs: DataFrame, sizes: DataFrame, items: DataFrame) -> tuple[DataFr
     line = written(line.join(last, "x"))
     merged = line.where("k > 0").select(F.when(F.col("over"), F.col("y")).otherwise(F.col("x")).alias("source"), F.when(F.col("over"), F.col("x")).otherwise(F.col("y")).alias("target"), "weight")
     moves = line.select(F.col("y").alias("node"), "owner", F.when(F.col("y") == F.col("owner"), F.lit(-1)).otherwise(F.col("k")).alias("shift"), F.col("size").alias("n"))
-    return merged, moves
+    return merged, moves, [best, partners, decided, line]
 
 
 def merges(rows: DataFrame, threshold: float = 0.8) -> Merges:
@@ -143,20 +144,23 @@ def merges(rows: DataFrame, threshold: float = 0.8) -> Merges:
     sizes = written(sizes.join(pairs.select(F.col("i").alias("node")).union(pairs.select(F.col("j").alias("node"))).distinct(), "node", "left_semi"))
     moved, all_edges = None, [edges]
     live = written(items.join(sizes.select(F.col("node").alias("owner")), "owner", "left_semi"))
-    rest = items.join(sizes.select(F.col("node").alias("owner")), "owner", "left_anti")
+    rest = written(items.join(sizes.select(F.col("node").alias("owner")), "owner", "left_anti"))
     while not pairs.isEmpty():
-        merged, moves = _round(pairs, sizes, live)
+        merged, moves, scratch = _round(pairs, sizes, live)
         merged, moves = written(merged), written(moves)
+        dropped(*scratch)
+        old = [pairs, sizes, live, moved, moves]
         all_edges.append(merged)
         gone = moves.where("node <> owner").select("node", "owner")
         step = live.join(moves.select(F.col("node").alias("owner"), F.col("owner").alias("to"), "shift"), "owner", "left")
-        live = written(step.select(F.coalesce("to", "owner").alias("owner"), "kind", "value", F.struct(F.coalesce("shift", F.lit(0)).alias("shift"), "at").alias("o")).groupBy("owner", "kind", "value").agg(F.min("o").alias("o")))
-        live = _renumbered(live)
+        shifted = written(step.select(F.coalesce("to", "owner").alias("owner"), "kind", "value", F.struct(F.coalesce("shift", F.lit(0)).alias("shift"), "at").alias("o")).groupBy("owner", "kind", "value").agg(F.min("o").alias("o")))
+        live = _renumbered(shifted)
         sizes = written(sizes.join(moves.select("node", F.col("owner").alias("to"), F.col("n").alias("now")), "node", "left").where("to is null or to = node").select("node", F.coalesce("now", "n").alias("n")))
-        moved = gone if moved is None else written(moved.join(gone.toDF("owner", "to"), "owner", "left").select("node", F.coalesce("to", "owner").alias("owner")).unionByName(gone))
+        moved = written(gone if moved is None else moved.join(gone.toDF("owner", "to"), "owner", "left").select("node", F.coalesce("to", "owner").alias("owner")).unionByName(gone))
         for end in ("i", "j"):
             pairs = pairs.join(gone.select(F.col("node").alias(end)), end, "left_anti")
         pairs = written(pairs.select("i", "j", "similarity"))
+        dropped(*old, shifted)
     owners = in_class.select("obligation_id", F.col("rep").alias("owner"))
     if moved is not None:
         owners = owners.join(moved.toDF("owner", "to"), "owner", "left").select("obligation_id", F.coalesce("to", "owner").alias("owner"))

@@ -305,6 +305,7 @@ SELECT count(*) AS documents, CAST(sum(length(text)) AS BIGINT) AS characters, c
   SELECT passage_id AS id, lang AS c, lower(p.text || ' ' || ['will live', 'Will Live', 'will die', 'will live, will die', 'is good', 'is evil', 'is true', ''][length(p.text) % 8 + 1]) AS t FROM passages AS p JOIN documents AS d ON p.source_id = CAST(d.doc_id AS VARCHAR) WHERE lang IS NOT NULL
 ), held AS (SELECT id, c, CAST(pair AS INTEGER) AS pair, contains(t, a) AS yes, contains(t, b) AS no FROM told, {values([(i, a, b) for i, (a, b) in enumerate(CONTRADICTIONS)], "pair, a, b")} WHERE contains(t, a) OR contains(t, b))""",
     ),
+    "artifact_documents": "SELECT doc_id, sha256(text) AS text_sha256, lang, source FROM documents",
     "passages_looked_up": on_documents("SELECT passage_id, source_id, paragraph_index, text FROM passages WHERE paragraph_index < 2 AND source_id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)"),
     "stream_firsts_events": "SELECT user_id, props, count(*) AS n, epoch_us(min(ts)) AS first_at, arg_min(event_id, (ts, event_id)) AS first_id FROM events GROUP BY user_id, props",
     "contract_events": f"""WITH both_kinds AS (

@@ -19,8 +19,10 @@ from loreweave.plans import corpus
 from loreweave.plans.run import Config, tables
 from loreweave.plans.upkeep import Upkeep
 from loreweave.sources import documents
+from loreweave.sources.artifacts import Artifacts
 from loreweave.sources.keyed_log import KeyedLog
 from loreweave.sources.lookup import LookupTable
+from loreweave.sources.stores import Stores
 from loreweave.streaming.firsts import running_firsts
 
 #: Texts that keep a contract, or do not, each in its way.
@@ -212,6 +214,15 @@ def contradictions_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.contradiction_counts(p.select(F.col("passage_id").alias("obligation_id"), F.col("lang").alias("category"), F.concat_ws(" ", "text", said).alias("description")))
 
 
+@query
+def artifact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as a JSON artifact, read back by name: nulls and every character of every text stay."""
+    root = f"{shared_dir(spark)}/artifacts-{uuid.uuid4().hex}"
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    Stores(spark, root).write_json("documents.jsonl", d)
+    return Artifacts(spark, root).records("documents", d.schema).select("doc_id", F.sha2("text", 256).alias("text_sha256"), "lang", "source")
+
+
 @query
 def passages_looked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first two paragraphs of every labelled document, from a table of all paragraphs laid out by their ids."""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loreweave.functions.ranking import ranked
+from loreweave.sources.artifacts import file_status
 
 #: Suffixes that are read.
 TEXT_SUFFIXES = ("txt", "md", "markdown")
@@ -30,23 +31,61 @@ def filename_metadata(paths: DataFrame) -> DataFrame:
     return d.select("path", F.when(split, F.col("head")).alias("book_label"), F.when(split, F.col("rest")).otherwise(F.col("s")).alias("chapter_label"))
 
 
+def _texts(files: DataFrame) -> DataFrame:
+    """path, raw_text of files as binaryFile has them: line ends read as \\n, null where a file is not UTF-8."""
+    return files.select("path", F.when(F.is_valid_utf8("content"), F.regexp_replace(F.col("content").cast("string"), "\r\n?", "\n")).alias("raw_text"))
+
+
+def _documents(texts: DataFrame, hints: DataFrame) -> DataFrame:
+    d = texts.join(hints, "path").join(filename_metadata(texts.select("path")), "path")
+    return d.select(stem(F.col("path")).alias("source_id"), F.col("path").alias("source_path"), "order_hint", "raw_text", "book_label", "chapter_label")
+
+
+def _by_name(files: DataFrame) -> DataFrame:
+    """path, order_hint: the place of a file in the order of names."""
+    return ranked(files.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("name")), "name", "path").select("path", F.col("rank").alias("order_hint"))
+
+
 def scan_documents(spark: SparkSession, path: str) -> DataFrame:
     """source_id, source_path, order_hint, raw_text, book_label, chapter_label of the text files in a folder, ordered by name.
 
     Line ends read as \\n. Files that are not UTF-8 have a null raw_text; quarantine() lists them.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*").load(path).where(suffix(F.col("path")).isin(*TEXT_SUFFIXES))
-    d = files.select("path", F.when(F.is_valid_utf8("content"), F.regexp_replace(F.col("content").cast("string"), "\r\n?", "\n")).alias("raw_text"))
-    hints = ranked(files.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("name")), "name", "path").select("path", F.col("rank").alias("order_hint"))
-    d = d.join(hints, "path").join(filename_metadata(d.select("path")), "path")
-    return d.select(stem(F.col("path")).alias("source_id"), F.col("path").alias("source_path"), "order_hint", "raw_text", "book_label", "chapter_label")
+    return _documents(_texts(files), _by_name(files))
+
+
+def load_files(spark: SparkSession, paths: list[str], ordered: bool = False) -> DataFrame:
+    """Listed files as scan_documents has them: each with order_hint 0 or, ordered, in order of their names, which is how
+    changed files of a folder are read. A path that is missing, a folder, or of another suffix is an error before anything is read."""
+    for p in paths:
+        status = file_status(spark, p)
+        if status is None:
+            raise FileNotFoundError(p)
+        if status.isDirectory():
+            raise ValueError(f"a folder, not a file: {p}")
+        if p.rpartition("/")[2].rpartition(".")[2].lower() not in ALL_SUFFIXES:
+            raise ValueError(f"not a suffix that is read: {p}")
+    if not paths:
+        return spark.createDataFrame([], "source_id string, source_path string, order_hint int, raw_text string, book_label string, chapter_label string")
+    files = spark.read.format("binaryFile").load(paths)
+    plain = _texts(files.where(suffix(F.col("path")).isin(*TEXT_SUFFIXES)))
+    rich = [p for p in paths if p.lower().endswith((".docx", ".pdf"))]
+    texts = plain.unionByName(binary_text(spark, rich).withColumnRenamed("source_path", "path")) if rich else plain
+    return _documents(texts, _by_name(files) if ordered else files.select("path", F.lit(0).alias("order_hint")))
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """The documents of a folder, or the one of a file."""
+    status = file_status(spark, path)
+    return scan_documents(spark, path) if status is not None and status.isDirectory() else load_files(spark, [path])
 
 
 def quarantine(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("raw_text").isNull()).select("source_path")
 
 
-def binary_text(spark: SparkSession, path: str) -> DataFrame:
+def binary_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """source_path, raw_text of .docx and .pdf files, by python-docx and pypdf where executors have them: paragraphs joined
     by a line end, pages headed === Page N === and joined by a blank line."""
     import pandas as pd

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loreweave.functions.lineage import cut
+from loreweave.functions.lineage import cut, written
 from loreweave.functions.ranking import ranked
 
 
@@ -36,6 +36,31 @@ def containing(intervals: DataFrame, points: DataFrame, first: str = "first", la
     return met.drop("_a", "_b", "_at", "_level", "_bucket")
 
 
+def open_at(intervals: DataFrame, points: DataFrame, first: str = "first", last: str = "last", at: str = "at") -> DataFrame:
+    """at, n_open, earliest for every distinct point inside an interval: how many rows of intervals have it, as containing() has
+    them, and the least first of these (null if all are open there).
+
+    No point meets an interval. Begun less ended is what is open, and the earliest is the least first of all that end at the
+    point or later: sums and minima along the times, in ranges apart and then over the ranges. So rows grow with both
+    tables together, and a time that many share is one row.
+    """
+    known = points.where(F.col(at).isNotNull()).select(F.col(at).alias("t")).distinct()
+    i = intervals.select(F.col(first).alias("first"), F.col(last).alias("last")).where("first is null or last is null or first <= last")
+    row = lambda rows, t, kind, change, earliest: rows.select(t.cast("long").alias("t"), F.lit(kind).alias("kind"), change.cast("long").alias("change"), earliest.cast("long").alias("earliest"))
+    least, most, none = F.lit(-(2**63)), F.lit(2**63 - 1), F.lit(None)
+    turns = row(i, F.coalesce("first", least), 0, F.lit(1), none).unionByName(row(i, F.coalesce("last", most), 2, F.lit(-1), F.col("first")))
+    turns = turns.groupBy("t", "kind").agg(F.sum("change").alias("change"), F.min("earliest").alias("earliest"))
+    turns = turns.unionByName(row(known, F.col("t"), 1, F.lit(0), none))
+    part = written(written(turns).repartitionByRange("t", "kind").withColumn("part", F.spark_partition_id()))
+    sums = part.groupBy("part").agg(F.sum("change").alias("change"), F.min("earliest").alias("earliest"))
+    before, after = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing)  # a row per range
+    sums = sums.select("part", F.coalesce(F.sum("change").over(before), F.lit(0)).alias("ahead"), F.min("earliest").over(after).alias("behind"))
+    up, down = Window.partitionBy("part").orderBy("t", "kind"), Window.partitionBy("part").orderBy(F.desc("t"), F.desc("kind"))
+    told = part.withColumn("own", F.sum("change").over(up)).withColumn("next", F.min("earliest").over(down)).where("kind = 1").join(F.broadcast(sums), "part")
+    told = told.select(F.col("t").alias(at), (F.col("own") + F.col("ahead")).alias("n_open"), F.least("next", "behind").alias("earliest")).where("n_open > 0")
+    return told.withColumn("earliest", F.when(F.col("earliest") <= F.col(at), F.col("earliest")))
+
+
 def active_at(related: DataFrame, times: DataFrame) -> DataFrame:
     """relationship_id and time_value for every relationship and every distinct time that its label equals or its start and
     end include (an end that is null is open; without a start only the label counts). Times compare as strings, by bytes.

@@ -300,8 +300,8 @@ def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sessions_open_at_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every purchase, how many sessions are open when it happens, both ends included, and the earliest begun of these."""
     points = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'purchase'").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    met = intervals.containing(_sessions(spark, sf_dir), points)
-    return met.groupBy("event_id").agg(F.count("*").alias("n_open"), F.min("first").alias("earliest"))
+    met = points.join(intervals.open_at(_sessions(spark, sf_dir), points), "at")
+    return met.groupBy("event_id").agg(F.sum("n_open").alias("n_open"), F.min("earliest").alias("earliest"))
 
 
 @query

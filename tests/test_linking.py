@@ -52,6 +52,20 @@ def test_points_in_intervals(spark):
     assert intervals.containing(a, b.where("at is null")).count() == 0
 
 
+def test_open_intervals_are_counted_without_pairs(spark):
+    rng = random.Random(5)
+    for ends in ([None, -9, -1, 0, 1, 2, 7, 8, 16, 1000, 10**12], [0, 3, 4, 9], [None]):
+        spans = [(i, rng.choice(ends), rng.choice(ends)) for i in range(rng.choice([3, 40, 150]))] + [(150, 5, 4), (151, -(2**62), -10), (152, 900, 901)]
+        spots = [(i, rng.choice([None, -10, -9, 0, 0, 1, 4, 8, 900, 999, 10**12, 10**13])) for i in range(60)]
+        a, b = spark.createDataFrame(spans, "i long, first long, last long"), spark.createDataFrame(spots, "p long, at long")
+        got = intervals.open_at(a, b)
+        met = {t: [x for _, x, y in spans if (x is None or x <= t) and (y is None or t <= y)] for _, t in spots if t is not None}
+        assert sorted(map(tuple, got.select("at", "n_open", "earliest").collect())) == sorted((t, len(v), min((x for x in v if x is not None), default=None)) for t, v in met.items() if v)
+    assert intervals.open_at(a, b.limit(0)).count() == 0 == intervals.open_at(a.limit(0), b).count()
+    many = spark.range(30_000).select("id", F.lit(0).cast("long").alias("first"), F.lit(None).cast("long").alias("last"))  # 900 million pairs
+    assert [tuple(r) for r in intervals.open_at(many, many.select(F.col("id").alias("at"))).agg(F.count("*"), F.min("n_open"), F.max("n_open"), F.max("earliest")).collect()] == [(30_000, 30_000, 30_000, 0)]
+
+
 def test_story_times(spark):
     rows = [("a", "T1", None, None), ("b", None, "T1", "T3"), ("c", None, "T1", None), ("d", None, None, "T9"), ("e", "T2", "T4", "T5"), ("f", None, "T3", "T1"), ("g", None, "", "é"), ("h", "unknown", None, None)]
     related = spark.createDataFrame(rows, "relationship_id string, label string, s string, e string").select("relationship_id", F.struct(F.col("label").alias("time_label"), F.col("s").alias("time_start"), F.col("e").alias("time_end")).alias("story_time"))

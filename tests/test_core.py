@@ -229,3 +229,17 @@ def test_running_sums_of_a_hot_group(spark):
     df = spark.createDataFrame(rows, "g string, o int, v int").repartition(7)
     got = {(r.g, r.o): r.before for r in running(df, "g", "o", "v", "before").collect()}
     assert got == {(g, o): sum(v for h, p, v in rows if h == g and p < o) for g, o, _ in rows}
+
+
+def test_duplicates_meet_by_size_and_parities(spark):
+    rng = random.Random(4)
+    often, rare = [f"w{i}" for i in range(12)], [f"r{i}" for i in range(60)]
+    rows = [(f"o{i:03}", rng.choice(["a", "b", None]), " ".join(rng.sample(often, rng.randint(0, 9)) + rng.sample(rare, rng.randint(0, 2))), rng.sample(["x", "y", "z"], rng.randint(0, 2)), rng.sample(["k", "l", "m"], rng.randint(0, 2))) for i in range(120)]
+    d = spark.createDataFrame(rows, "obligation_id string, category string, description string, related_entity_ids array<string>, evidence_anchor_ids array<string>")
+    t = d.withColumn("tokens", tokens(F.col("description")))
+    for least in (0.8, 0.5, 0.2):
+        got = dedupe.find_duplicates(d, least)
+        want = t.alias("a").join(t.alias("b"), F.col("a.obligation_id") < F.col("b.obligation_id")).select(F.col("a.obligation_id").alias("i"), F.col("b.obligation_id").alias("j"), dedupe.similarity("a", "b").alias("similarity")).where(F.col("similarity") >= least - 1e-12)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 5
+        # what meets by a token is no more than sizes, places and parities
+        assert "bit_count" in got._jdf.queryExecution().optimizedPlan().toString()

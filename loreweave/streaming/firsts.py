@@ -2,51 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from loreweave.sources.keyed_log import KeyedLog
 
-STATE = "n long, first_at long, first_id long"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class Firsts(StatefulProcessor):
-    """For a key: how many rows there were, and the least (at, id) of them. A row per key that a batch touches."""
-
-    def __init__(self, key: list[str]) -> None:
-        self.names = key
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", STATE)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        n, *first = self.held.get() if self.held.exists() else (0, None, None)
-        for batch in rows:
-            n += len(batch)
-            least = batch.sort_values(["at", "id"]).iloc[0]
-            least = (int(least["at"]), int(least["id"]))
-            first = least if first[0] is None else min(least, tuple(first))
-        self.held.update((n, *first))
-        yield pd.DataFrame({**{k: [v] for k, v in zip(self.names, key)}, "n": [n], "first_at": [first[0]], "first_id": [first[1]]})
-
-    def close(self) -> None:
-        pass
-
-
 def running_firsts(rows: DataFrame, key: list[str], root: str, checkpoint: str) -> StreamingQuery:
-    """rows is a stream with the key's columns, at and id (longs without nulls). Runs over what is there and ends.
+    """rows is a stream with the key's columns, at and id (longs without nulls). Runs over what is there and ends. The log has,
+    for a key, n: how many rows there were, and the least (at, id) of them, as first_at and first_id.
 
-    State lies in the checkpoint by version, and a batch writes the log under its own number. So a batch that is run
-    again starts from the state before it, and replaces what it wrote: counts are exactly once.
+    State is Spark's own of a running aggregate, so a key costs no call of Python. It lies in the checkpoint by version, and a
+    batch, which has a row per key that it touches, writes the log under its own number. So a batch that is run again starts from
+    the state before it, and replaces what it wrote: counts are exactly once.
     """
     spark = rows.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     log = KeyedLog(spark, root, key)
-    schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in key)
-    told = rows.select(*key, "at", "id").groupBy(*key).transformWithStateInPandas(Firsts(key), f"{schema}, {STATE}", "Update", "None")
+    held = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("at", "id")).alias("first"))
+    told = held.select(*key, "n", F.col("first.at").alias("first_at"), F.col("first.id").alias("first_id"))
     return told.writeStream.outputMode("update").foreachBatch(lambda batch, number: log.write(number + 1, batch, ["n"])).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

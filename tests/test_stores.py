@@ -140,6 +140,19 @@ def test_a_batch_that_runs_twice_counts_once(spark, tmp_path):
     assert told() == want
 
 
+def test_a_streams_state_calls_no_python_by_key(spark, tmp_path):
+    from loreweave.streaming.firsts import running_firsts
+
+    rows = spark.range(20_000).select((F.col("id") % 9_999).cast("string").alias("name"), (-F.col("id")).alias("at"), "id")
+    rows.repartition(2).write.parquet(f"file://{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    run = running_firsts(stream, ["name"], f"file://{tmp_path}/log", f"file://{tmp_path}/check")
+    run.awaitTermination()
+    assert [x["operatorName"] for x in run.lastProgress["stateOperators"]] == ["stateStoreSave"]
+    told = {r["name"]: (r.n, r.first_at, r.first_id) for r in KeyedLog(spark, f"file://{tmp_path}/log", ["name"]).read().collect()}
+    assert told == {str(i): (2 + (i < 2), -(i + 9_999 * (1 + (i < 2))), i + 9_999 * (1 + (i < 2))) for i in range(9_999)}
+
+
 def test_a_lookup_opens_its_buckets_alone(spark, tmp_path):
     from loreweave.sources.lookup import LookupTable
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,8 +51,31 @@ def ahead(size: str, i: Column) -> Column:
     return F.get("before_block", b) + _sum(F.slice(size, b * BLOCK + 1, i % BLOCK))
 
 
+def _alternatives(pattern: str) -> list[str]:
+    """What stands between bars outside of brackets."""
+    out, depth = [""], 0
+    for c in pattern:
+        depth += (c == "(") - (c == ")")
+        out = [*out, ""] if c == "|" and depth == 0 else [*out[:-1], out[-1] + c]
+    return out
+
+
+def led(pattern: str) -> str:
+    """A pattern that first looks at the letter ahead, where all its alternatives begin with plain ones: a search passes over other
+    places at the cost of a letter instead of that of word boundaries, which is much. Its matches stay the same."""
+    heads = ""
+    for part in _alternatives(pattern):
+        part = part.removeprefix(r"\b")
+        words = re.match(r"\(([A-Za-z]+(?:\|[A-Za-z]+)*)\)(?![?*{])", part)
+        one = re.match(r"(?:\[([A-Za-z-]+)\]|([A-Za-z]))(?![?*{])", part)
+        if not words and not one:
+            return pattern
+        heads += "".join(w[0] for w in words[1].split("|")) if words else one[1] or one[2]
+    return f"(?=[{heads}])(?:{pattern})"
+
+
 def any_case(pattern: str) -> str:
-    return "(?iuU)" + pattern
+    return "(?iuU)" + led(pattern)
 
 
 def digest(prefix: str, size: int, *parts: Column | str, by: str = "|") -> Column:

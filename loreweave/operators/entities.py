@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loreweave.functions.lexicons import COMMON_WORDS, MENTION_RULES, PLACES, VEHICLE_WORDS, MentionRule
-from loreweave.functions.text import folded_digest, spans
+from loreweave.functions.text import folded_digest, led, spans
 
 CONTEXT = 100
 MENTIONS = "array<struct<rule_seq:int,pattern_seq:int,canonical_name:string,entity_type:string,char_start:int,char_end:int,excerpt:string>>"
@@ -16,7 +16,7 @@ MENTIONS = "array<struct<rule_seq:int,pattern_seq:int,canonical_name:string,enti
 
 def _of_rule(rule: MentionRule, ordinal: int) -> Column:
     """What one rule finds in a passage, as (rule_seq, pattern_seq, name, kind, start, end, excerpt)."""
-    found = spans(F.col("text"), "(?U)" + rule.pattern)
+    found = spans(F.col("text"), "(?U)" + led(rule.pattern))
     if rule.kind == "vehicle":
         near = lambda s: F.lower(F.concat(F.substring("text", F.greatest(F.lit(1), s["start"] + 1 - CONTEXT), F.least(s["start"], F.lit(CONTEXT))), F.lit(" "), s["excerpt"], F.lit(" "), F.substring("text", s["end"] + 1, F.lit(CONTEXT))))
         found = F.filter(found, lambda s: near(s).rlike("|".join(VEHICLE_WORDS)))
@@ -42,7 +42,7 @@ def mentions(passages: DataFrame, rules: Iterable[MentionRule] = MENTION_RULES,
     each = [_of_rule(r, i) for i, r in numbered if r.seq > 4]
     if fixed:
         some = F.concat(*[_of_rule(r, i) for i, r in fixed])
-        each.append(F.when(F.col("text").rlike("(?U)" + "|".join(r.pattern for _, r in fixed)), some).otherwise(F.array().cast(MENTIONS)))
+        each.append(F.when(F.col("text").rlike("(?U)" + led("|".join(r.pattern for _, r in fixed))), some).otherwise(F.array().cast(MENTIONS)))
     found = F.concat(*each)
     out = passages.select("passage_id", "source_id", "order_hint", "paragraph_index", F.explode(found).alias("m")).select("passage_id", "source_id", "order_hint", "paragraph_index", "m.*")
     return out if ignored is None else out.join(ignored.select("canonical_name"), "canonical_name", "left_anti").select(out.columns)

@@ -243,3 +243,27 @@ def test_duplicates_meet_by_size_and_parities(spark):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 5
         # what meets by a token is no more than sizes, places and parities
         assert "bit_count" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_story_tables_are_made_when_asked_for(spark):
+    made = []
+    t = tables(corpus.docs(spark), Config(vehicle_min_mentions=2), keep=lambda name, rows: made.append(name) or rows, lazy=True)
+    assert not made and t["mentions"].count() > 0 and made == ["passages", "mentions"]
+    other = t | {"entities": t["mentions"].limit(0)}
+    assert other["by_passage"] is not None and "entities" in other and made[:2] == ["passages", "mentions"]
+    assert set(tables(corpus.docs(spark), Config(vehicle_min_mentions=2), keep=lambda name, rows: rows)) >= {"passages", "links", "edges", "findings"}
+
+
+def test_patterns_led_by_a_letter_match_alike(spark):
+    from loreweave.functions.lexicons import EVENT_RULES, MENTION_RULES, OBLIGATION_RULES, RELATION_RULES
+    from loreweave.functions.text import led
+
+    texts = [x for _, _, x in corpus.CORPUS] + ["ſecret SECRET xsecret KEPT it hidden kept ıt hidden KEPT İT HIDDEN", "the Ship The Ship Iceland Ice éIce Ice9 _Ice", "", "A SWORD of steel\nsword x hung WAR was coming", "\U0001d400House House Rook's Lord of the Isles Far"]
+    rows = spark.createDataFrame([(x,) for x in texts], "text string")
+    cased = [p for r in OBLIGATION_RULES for p in r.patterns] + [p for _, p in EVENT_RULES + RELATION_RULES]
+    plain = [("(?U)", r.pattern) for r in MENTION_RULES] + [("(?U)", "|".join(r.pattern for r in MENTION_RULES))] + [("(?iuU)", p) for p in cased]
+    found = lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0))
+    for r in rows.select(*[F.struct(found(f + p), found(f + led(p))) for f, p in plain]).collect():
+        assert all(a == b for a, b in r)
+    assert all(led(p) != p for _, p in plain) and [led(p) for p in (r"\ba?b", "[^a]b", r"a|\d", "(a|b)?c")] == [r"\ba?b", "[^a]b", r"a|\d", "(a|b)?c"]
+    assert led(r"\b(sword|blade)\b.*x") == r"(?=[sb])(?:\b(sword|blade)\b.*x)"

@@ -24,7 +24,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that pairs with a Jaccard similarity of 0.8 or more, by shingles of five words, join stays, that
-    with the smallest doc_id. Texts without words are alike."""
+    with the smallest doc_id. Texts without words are alike. Fingerprints link them first, as in operator 5; rare shingles bring together what these leave apart."""
     return one_of_each_group(docs, shingle=5, similarity=0.8)
 
 

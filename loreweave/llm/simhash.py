@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 
 from loreweave.llm.common import packed_row, parts, written
 from loreweave.llm.components import connected_components
-from loreweave.llm.similar_sets import one_of_each_similar
 
 BITS = 64
 #: Segments of the ring. With 4 differing bits, a chain of l segments may hold 4 l / 9 differences, rounded down.
@@ -25,18 +24,22 @@ SHORT_RUN = 64
 LONG_RUN = 4096
 
 
-def fingerprint(body: bytes, shingle: int) -> int:
-    """Over the XXH64 (seed 42) of the shingles of a text, each bit set in more than half of them. Zero without words."""
+def shingle_hashes(body: bytes, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of the shingles of a text, repeats included, as they stand; of all its words where they are fewer. Empty without words."""
     words = body.lower().split()  # both know ASCII alone
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     end = np.cumsum(size + 1) - 1
     n = min(shingle, len(words))
     begin, end = (end - size)[: len(words) - n + 1].tolist(), end[n - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[i:j], 42) for i, j in zip(begin, end)], dtype=np.uint64)
+    return np.array([digest(joined[i:j], 42) for i, j in zip(begin, end)], dtype=np.uint64)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Each bit set in more than half of the hashes. Zero without any."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         some = hashes[at : at + (1 << 16)]
@@ -44,6 +47,11 @@ def fingerprint(body: bytes, shingle: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(body: bytes, shingle: int) -> int:
+    """Over the XXH64 (seed 42) of the shingles of a text, each bit set in more than half of them. Zero without words."""
+    return fingerprint_of(shingle_hashes(body, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """The columns of docs but text, and fp: the fingerprint as a signed long."""
     kept = [c for c in docs.columns if c != "text"]
@@ -230,14 +238,16 @@ def one_of_each_group(docs: DataFrame, shingle: int = 5, distance: int = 4, simi
     """docs, with all columns, without the near-duplicates of others: of each component the row with the smallest doc_id
     stays (the smallest hash of its text, then any one of equal rows, where rows share that doc_id; nulls come last).
 
-    Rows are linked by fingerprints that differ in up to distance bits or, with similarity, by that Jaccard similarity of
-    their shingle sets. At 0.8 two fingerprints differ in about 10 of 64 bits, and at any distance that reaches them the
-    ring's keys hold too few bits to part texts that have nothing in common; so similar sets meet by their rarest
-    shingles instead, and no pair of the similarity is passed over. Null and empty texts are texts without words, which
-    are alike; an empty table stays empty.
+    Rows are linked by fingerprints that differ in up to distance bits. With similarity these links are kept where the
+    sets of shingles have that Jaccard similarity, and sets that fingerprints leave apart meet by their rarest shingles
+    too: at 0.8 two fingerprints differ in about 10 of 64 bits, and at any distance that reaches them the ring's keys
+    hold too few bits to part texts that have nothing in common. So no pair of the similarity is passed over. Null and
+    empty texts are texts without words, which are alike; an empty table stays empty.
     """
     if similarity is not None:
-        return one_of_each_similar(docs, shingle, similarity, doc_id, text)
+        from loreweave.llm.similar_sets import one_of_each_similar  # which takes fingerprints and their links from here
+
+        return one_of_each_similar(docs, shingle, similarity, distance, doc_id, text)
     mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     told = _grouped(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), {"mark": F.xxhash64(F.coalesce("text", F.lit("")))}, shingle, distance)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")

@@ -1,4 +1,4 @@
-"""Near-duplicates by the Jaccard similarity of shingle sets: an exact prefix-filter join, verified pairs, then connected components."""
+"""Near-duplicates by the Jaccard similarity of shingle sets: SimHash links and, for what they leave apart, an exact prefix-filter join; verified pairs, then connected components."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from loreweave.llm.common import dropped, packed_row, parts, power_of_two, sent_if_small, written
 from loreweave.llm.components import connected_components
+from loreweave.llm.simhash import fingerprint_links, fingerprint_of, shingle_hashes
 
 #: Shingles in OFTEN documents of a sample come last in the order of shingles, so that they rarely bring documents together.
 #: The sample has SAMPLE documents or this share of all, whichever is more, so that often means the same at every size.
@@ -31,15 +32,7 @@ SHORT_BUCKET = 64
 
 def shingle_set(body: bytes, shingle: int) -> np.ndarray:
     """The distinct XXH64 (seed 42) of the shingles of a text, ascending; of all its words where they are fewer. Empty without words."""
-    words = body.lower().split()  # both know ASCII alone
-    if not words:
-        return np.zeros(0, np.int64)
-    joined = b" ".join(words)
-    end = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-    n = min(shingle, len(words))
-    begin = np.r_[0, end[:-1] + 1][: len(words) - n + 1].tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[i:j], 42) for i, j in zip(begin, end[n - 1 :].tolist())], dtype=np.uint64).view(np.int64))
+    return np.unique(shingle_hashes(body, shingle).view(np.int64))
 
 
 def parities(s: np.ndarray) -> bytes:
@@ -98,16 +91,18 @@ def _often(docs: DataFrame, shingle: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, often: np.ndarray, shingle: int, similarity: float) -> DataFrame:
-    """The columns of docs but text, own (hash of the set), n (its size), common (how many of its shingles are often ones), parities and first: as many of its first shingles, in an
+    """The columns of docs but text, own (hash of the set), n (its size), common (how many of its shingles are often ones), fp (its text's fingerprint), parities and first: as many of its first shingles, in an
     order that is the same for all sets, that two sets of the similarity share one of theirs."""
     kept = [c for c in docs.columns if c != "text"]
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("own", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("common", T.IntegerType()), T.StructField("parities", T.BinaryType()), T.StructField("first", T.ArrayType(T.LongType()))])
+    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("own", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("common", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("parities", T.BinaryType()), T.StructField("first", T.ArrayType(T.LongType()))])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, n, common, odd, first = [], [], [], [], []
+            own, n, common, fp, odd, first = [], [], [], [], [], []
             for body in batch.column("text").cast(pa.binary()).to_pylist():
-                s = shingle_set(body or b"", shingle)
+                hashes = shingle_hashes(body or b"", shingle)
+                fp.append(fingerprint_of(hashes))
+                s = np.unique(hashes.view(np.int64))
                 own.append(xxhash.xxh64_intdigest(s.tobytes(), 42))
                 n.append(len(s))
                 odd.append(parities(s))
@@ -116,7 +111,7 @@ def _prefixes(docs: DataFrame, often: np.ndarray, shingle: int, similarity: floa
                 first.append(np.r_[s[~late], s[late]][: len(s) - ceil(similarity * len(s) - 1e-9) + 1])
             ends = np.r_[0, np.cumsum([len(x) for x in first])].astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *first])))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(np.array(own, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(common, pa.int32()), pa.array(odd, pa.binary()), lists], schema.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(np.array(own, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(common, pa.int32()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(odd, pa.binary()), lists], schema.names)
 
     return docs.mapInArrow(made, schema)
 
@@ -157,8 +152,8 @@ def _shared(table: pa.Table) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(similarity: float, star: bool, often: np.ndarray):
-    """(u, v) of buckets: in a star each set with one of about its size, and sizes with the next; otherwise all that differ in root
-    and may be similar by their sizes.
+    """(u, v) of buckets, of sets that differ in root: in a star each set with one of about its size, and sizes with the next;
+    otherwise all that may be similar by their sizes.
 
     A set's rare shingles come before its often ones, so one with an often one among its first has all its rare ones there.
     Two such sets meet in another bucket if they share a rare one; here they count as if they share no more than often ones.
@@ -186,7 +181,10 @@ def _pairs(similarity: float, star: bool, often: np.ndarray):
                 left += [own, middle[edge]]
                 right += [middle, middle[edge + 1]]
             left, right = np.concatenate(left), np.concatenate(right)
-            yield told(left[left != right], right[left != right])
+            ids, at = np.unique(own, return_index=True)
+            root = table.column("root").to_numpy()[at]
+            apart = root[np.searchsorted(ids, left)] != root[np.searchsorted(ids, right)]
+            yield told(left[apart], right[apart])
             return
         root, common, late = table.column("root").to_numpy(), table.column("common").to_numpy(), _known(often, key)
         first, size = _runs(key)
@@ -271,49 +269,72 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int,
     return out
 
 
-def similar_links(docs: DataFrame, told: DataFrame, nodes: DataFrame, often: np.ndarray, shingle: int, similarity: float) -> DataFrame:
-    """(u, v): links between nodes (own, row, n, parities), the distinct sets of told, that join all whose sets have the similarity.
+def fingerprint_pairs(nodes: DataFrame, distance: int) -> DataFrame:
+    """(u, v), u < v: pairs that join all nodes (own, fp, n) whose fingerprints differ in up to distance bits, as operator 5
+    links them; those with one fingerprint are a star. Sets without shingles are left out."""
+    nodes = nodes.where("n > 0").select("own", "fp")
+    heads = written(nodes.groupBy("fp").agg(F.min("own").alias("node")), "fingerprint-heads")
+    met = fingerprint_links(heads, distance).unionByName(nodes.join(heads, "fp").select(F.col("node").alias("u"), F.col("own").alias("v")))
+    pairs = written(met.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "fingerprint-pairs")
+    dropped(heads)
+    return pairs
+
+
+def _apart(buckets: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of buckets whose sets links do not join, with root (where they lead) and size (the bucket's), as a written table."""
+    roots_of = written(connected_components(links), "link-roots")
+    rooted = buckets.join(roots_of.withColumnRenamed("node", "own"), "own", "left").select("key", "own", "n", "common", F.coalesce("root", "own").alias("root"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("size")).where("a <> b").select("key", "size")
+    out = written(rooted.join(mixed, "key"), "apart")
+    dropped(roots_of)
+    return out
+
+
+def similar_links(docs: DataFrame, told: DataFrame, nodes: DataFrame, often: np.ndarray, shingle: int, similarity: float, distance: int) -> DataFrame:
+    """(u, v): links between nodes (own, row, n, fp, parities), the distinct sets of told, that join all whose sets have the similarity.
 
-    Similar sets share one of their first shingles. Of each such bucket first a star is verified, then what is still
-    apart; so of a group of many near copies a few pairs are looked at, and none is passed over.
+    Links of fingerprints come first and stay where the sets have the similarity. Fingerprints of similar sets may lie further
+    apart than distance; such sets share one of their first shingles. Of each such bucket that is not joined yet first a star
+    is verified, then what is still apart; so of a group of many near copies a few pairs are looked at, and none is passed over.
     """
+    near = fingerprint_pairs(nodes, distance)
+    links = _verified(docs, nodes, near, shingle, similarity)
     rows = told.where("n > 0").select(F.explode("first").alias("key"), "own", "n", "common")
     rows = rows.repartition(parts(docs.sparkSession), "key").sortWithinPartitions("key", "own")
     buckets = written(rows.mapInArrow(_shared, rows.schema), "buckets")
-    ordered = buckets.repartition(parts(docs.sparkSession), "key").sortWithinPartitions("key", "n", "own")
-    pairs = written(ordered.mapInArrow(_pairs(similarity, True, often), "u long, v long").distinct(), "star-pairs")
-    links = _verified(docs, nodes, pairs, shingle, similarity)
-    roots_of = written(connected_components(links), "star-roots")
-    roots = roots_of.withColumnRenamed("node", "own")
-    apart = buckets.join(roots, "own", "left").select("key", "own", "n", "common", F.coalesce("root", "own").alias("root"))
-    mixed = apart.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("size")).where("a <> b").select("key", "size")
-    apart = apart.join(mixed, "key")
+    some = _apart(buckets, links)
+    dropped(buckets)
+    ordered = some.drop("size").repartition(parts(docs.sparkSession), "key").sortWithinPartitions("key", "n", "own")
+    pairs = written(ordered.mapInArrow(_pairs(similarity, True, often), "u long, v long").distinct().join(near, ["u", "v"], "left_anti"), "star-pairs")
+    links = links.unionByName(_verified(docs, nodes, pairs, shingle, similarity))
+    apart = _apart(some.drop("root", "size"), links)
+    dropped(some)
     short, long = apart.where(F.col("size") <= SHORT_BUCKET), apart.where(F.col("size") > SHORT_BUCKET)
-    apart = short.withColumn("parities", F.lit(None).cast("binary")).unionByName(long.join(nodes.select("own", "parities"), "own"))
-    apart = apart.drop("size").repartition(parts(docs.sparkSession), "key").sortWithinPartitions("key", "n", "own")
-    rest = apart.mapInArrow(_pairs(similarity, False, often), "u long, v long").distinct()
-    rest = written(rest.join(pairs, ["u", "v"], "left_anti"), "rest-pairs")
-    for x in (buckets, pairs, roots_of):
+    both = short.withColumn("parities", F.lit(None).cast("binary")).unionByName(long.join(nodes.select("own", "parities"), "own").select(*long.columns, "parities"))
+    both = both.drop("size").repartition(parts(docs.sparkSession), "key").sortWithinPartitions("key", "n", "own")
+    rest = both.mapInArrow(_pairs(similarity, False, often), "u long, v long").distinct()
+    rest = written(rest.join(pairs.unionByName(near), ["u", "v"], "left_anti"), "rest-pairs")
+    for x in (near, pairs, apart):
         dropped(x)
     more = _verified(docs, nodes, rest, shingle, similarity)
     dropped(rest)
     return links.unionByName(more)
 
 
-def one_of_each_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs, with all columns, without the near-duplicates of others: rows whose sets of shingles have the Jaccard
     similarity are linked, and of each component the row with the smallest doc_id stays (the smallest hash of its text,
     then any one of equal rows, where rows share that doc_id; nulls come last).
 
     Words are what ASCII white space parts, A-Z lower-cased. A text of fewer words than a shingle is one shingle; texts
-    without words are alike. No similar pair is passed over. A null text is an empty one.
+    without words are alike. Links are sought by fingerprints within distance bits first; no similar pair is passed over. A null text is an empty one.
     """
     mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     plain = docs.select(F.col(doc_id).alias("doc_id"), mark.alias("mark"), F.xxhash64(F.col(doc_id), mark).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     often = _often(plain, shingle)
     told = written(_prefixes(plain, often, shingle, similarity), "shingle-prefixes")
-    nodes = written(told.select("own", "row", "n", "parities").dropDuplicates(["own"]), "shingle-sets")
-    roots = written(connected_components(similar_links(plain, told, nodes, often, shingle, similarity)).select(F.col("node").alias("own"), "root"), "set-roots")
+    nodes = written(told.select("own", "row", "n", "fp", "parities").dropDuplicates(["own"]), "shingle-sets")
+    roots = written(connected_components(similar_links(plain, told, nodes, often, shingle, similarity, distance)).select(F.col("node").alias("own"), "root"), "set-roots")
     dropped(nodes)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
     ranks = written(told.select("own", rank.alias("rank")).join(roots, "own", "left").select(F.coalesce("root", "own").alias("root"), "rank"), "set-ranks")

@@ -92,3 +92,35 @@ def test_long_near_copies_are_linked_across_lengths_of_parities(spark):
         texts += [" ".join(own), " ".join(cut), " ".join(near), " ".join(own[n // 2 :])]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert {r.doc_id for r in similar_sets.one_of_each_similar(docs).collect()} == _kept(texts)
+
+
+def test_fingerprints_link_first(spark, monkeypatch):
+    import corpus_pipeline
+    from loreweave.llm import simhash
+
+    texts = _corpus(4, 40)
+    fp = {i: simhash.fingerprint((t or "").encode(), 5) for i, t in enumerate(texts)}
+    close = [(i, j) for i in fp for j in range(i) if 0 < (fp[i] ^ fp[j]).bit_count() <= 4 and _shingles(texts[i]) and _shingles(texts[j])]
+    asked, plain = [], similar_sets.fingerprint_pairs
+
+    def told(nodes, distance):
+        out = plain(nodes, distance)
+        asked.append((distance, {r.own: r.fp % (1 << 64) for r in nodes.collect()}, {(r.u, r.v) for r in out.collect()}))
+        return out
+
+    monkeypatch.setattr(similar_sets, "fingerprint_pairs", told)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == _kept(texts)
+    [(distance, held, pairs)] = asked
+    assert distance == 4 and set(held.values()) == set(fp.values()) and pairs
+    root = {x: x for x in held.values()}  # by fingerprint
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for u, v in pairs:
+        assert (held[u] ^ held[v]).bit_count() <= 4
+        root[find(held[u])] = find(held[v])
+    assert close and all(find(fp[i]) == find(fp[j]) for i, j in close)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loreweave.operators import intervals
+from loreweave.operators import intervals, linking
 from loreweave.operators.linking import links
 
 
@@ -36,6 +37,32 @@ def test_no_text_is_shuffled(spark):
     assert "Exchange hashpartitioning" not in plan and "BroadcastNestedLoop" not in plan
 
 
+def test_passages_are_read_once_for_many_names(spark):
+    # 400,000 names of 13 bytes, more than two automata of 2 MB took
+    i = F.col("id").cast("string")
+    names = spark.range(400_000).select(F.concat(F.lit("e"), i).alias("entity_id"), F.concat(F.lit("Na"), F.lpad(F.conv(i, 10, 16), 10, "x"), F.lit("z")).alias("canonical_name"), F.lit("person").alias("entity_type"))
+    texts = names.where("entity_id in ('e7', 'e399999')").select(F.col("entity_id").alias("passage_id"), F.concat(F.lit("é😀 "), F.upper("canonical_name"), F.lit("."), "canonical_name").alias("text"))
+    found = links(texts, names)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted((r.passage_id, r.entity_id, r.position) for r in found.collect()) == [("e399999", "e399999", 4), ("e7", "e7", 4)]
+
+
+@pytest.mark.parametrize(("window", "tried", "base"), [(1 << 20, 1 << 20, linking.BASE), (16, 5, linking.BASE), (7, 3, 1), (64, 9, 257)])
+def test_index_against_plain_search(monkeypatch, window, tried, base):
+    # with a base of 1 names of the same letters share a hash
+    for k, v in {"WINDOW": window, "TRIED": tried, "BASE": base}.items():
+        monkeypatch.setattr(linking, k, v)
+    rng = random.Random(1)
+    for k in range(40):
+        letters = "abé😀 " if k % 2 else "ab"
+        names = sorted({"".join(rng.choices(letters, k=rng.randint(1, rng.choice([3, 12, 30])))) for _ in range(rng.randint(1, 80))})
+        texts = ["".join(rng.choices(letters, k=rng.randint(0, 120))) for _ in range(9)] + ["", "ab" * 70]
+        rng.shuffle(texts)
+        data, offsets = linking._bytes(pa.array(names))
+        got = zip(*(x.tolist() for x in linking.Index(data, offsets[1:]).search(*linking._bytes(pa.array(["abab", *texts])[1:]))))
+        assert sorted(got) == sorted((i, j, t.find(x) + 1) for i, t in enumerate(texts) for j, x in enumerate(names) if x in t)
+
+
 def test_points_in_intervals(spark):
     rng = random.Random(2)
     ends = [None, None, -9, -1, 0, 1, 2, 3, 7, 8, 15, 16, 1000, 10**12]

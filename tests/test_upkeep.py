@@ -83,3 +83,21 @@ def test_a_version_that_broke_off_is_not_seen(spark, tmp_path):
     assert _kept(again) == _whole(spark, docs)
     again.update(1, spark.createDataFrame([("a", 0, "Ann Fenn.")], SCHEMA))
     assert _kept(again) == _whole(spark, docs | {"a": ("a", 0, "Ann Fenn.")})
+
+
+def test_entities_need_no_links(spark, tmp_path, monkeypatch):
+    import pytest
+
+    from loreweave.plans import upkeep
+
+    monkeypatch.setattr(upkeep, "links", lambda *a, **k: pytest.fail("links were made"))
+    rng = random.Random(3)
+    docs = {f"s{i}": _doc(rng, i) for i in range(12)}
+    stores = Upkeep(spark, f"file://{tmp_path}/u", shards=4, linked=False)
+    stores.load(spark.createDataFrame(list(docs.values()), SCHEMA))
+    changed = {k: _doc(rng, k[1:]) for k in [*rng.sample(sorted(docs), 3), "s30"]}
+    stores.update(1, spark.createDataFrame(list(changed.values()), SCHEMA), spark.createDataFrame([("s5",)], "source_id string") if "s5" not in changed else None)
+    docs = {k: v for k, v in docs.items() if k != "s5" or k in changed} | changed
+    assert sorted(map(tuple, stores.entities().collect())) == _whole(spark, docs)[0]
+    with pytest.raises(ValueError):
+        stores.links()

@@ -101,3 +101,47 @@ def test_entities_need_no_links(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, stores.entities().collect())) == _whole(spark, docs)[0]
     with pytest.raises(ValueError):
         stores.links()
+
+
+def _tables(monkeypatch):
+    """Columns of the tables that an upkeep makes beside its stores."""
+    from loreweave.plans import upkeep
+
+    made, written = [], upkeep.written
+    monkeypatch.setattr(upkeep, "written", lambda df: (made.append(df.columns), written(df))[1])
+    return made
+
+
+def test_entities_keep_no_texts(spark, tmp_path, monkeypatch):
+    made, rng = _tables(monkeypatch), random.Random(4)
+    docs = {f"s{i}": _doc(rng, i) for i in range(8)}
+    stores = Upkeep(spark, f"file://{tmp_path}/u", shards=4, linked=False)
+    stores.load(spark.createDataFrame(list(docs.values()), SCHEMA))
+    docs["s2"] = ("s2", 0, "Ann Fenn saw the Grey Gull.")
+    stores.update(1, spark.createDataFrame([docs["s2"]], SCHEMA))
+    assert not [x for x in made if "text" in x] and sorted(p.name for p in (tmp_path / "u").iterdir()) == ["counts", "manifests", "names"]
+    assert sorted(map(tuple, stores.entities().collect())) == _whole(spark, docs)[0]
+
+
+def test_an_earlier_version_shuffles_no_texts(spark, tmp_path):
+    from loreweave.plans import corpus
+
+    d = [(i, f"Text {i}." if i % 7 else None) for i in range(30)]
+    spark.createDataFrame(d, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    told = [(i, q, t) for i, q, t in [(1, 1, 0), (2, 0, 0), (3, 1, 1), (4, 0, 1), (5, None, 0), (6, 1, None), (6, 0, 0), (7, 1, 0)]]
+    spark.createDataFrame(told, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before, changed, removed = corpus.annotated_before(spark, str(tmp_path))
+        for rows in (before, changed):
+            plan = rows._jdf.queryExecution().executedPlan().toString()
+            assert "hashpartitioning" not in plan and plan.count("FileScan parquet") == 2  # texts and labels, once each
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    now = {r.source_id: r for r in corpus.annotated(spark, str(tmp_path)).collect()}
+    old, new, gone = {r.source_id: r for r in before.collect()}, {r.source_id: r for r in changed.collect()}, {r.source_id for r in removed.collect()}
+    assert before.count() == len(old) and set(new) == {"d2", "d3", "d4", "d6"} and gone == {"x1", "x3", "x7"}
+    assert set(old) == {k for k in now if k not in ("d3", "d4")} | gone and {k: r for k, r in old.items() if k not in gone} | new == now | {}
+    assert all(old[f"x{k[1:]}"].raw_text == now[f"d{k[1:]}"].raw_text and old[k].order_hint == -1 for k in gone)
+    assert {k for k in old if k not in gone and old[k] != now[k]} == {"d2", "d6"}

@@ -145,3 +145,27 @@ def test_an_earlier_version_shuffles_no_texts(spark, tmp_path):
     assert set(old) == {k for k in now if k not in ("d3", "d4")} | gone and {k: r for k, r in old.items() if k not in gone} | new == now | {}
     assert all(old[f"x{k[1:]}"].raw_text == now[f"d{k[1:]}"].raw_text and old[k].order_hint == -1 for k in gone)
     assert {k for k in old if k not in gone and old[k] != now[k]} == {"d2", "d6"}
+
+
+def test_passages_lie_in_the_stores_alone(spark, tmp_path, monkeypatch):
+    made, rng = _tables(monkeypatch), random.Random(5)
+    docs = {f"s{i}": _doc(rng, i) for i in range(8)}
+    stores = Upkeep(spark, f"file://{tmp_path}/u", shards=4)
+    stores.load(spark.createDataFrame(list(docs.values()), SCHEMA))
+    assert not [x for x in made if "text" in x]
+    assert _kept(stores) == _whole(spark, docs)
+
+
+def test_what_stays_is_not_shuffled(spark, tmp_path, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    dealt, hint = [], DataFrame.hint
+    monkeypatch.setattr(DataFrame, "hint", lambda self, name, *a: (dealt.append((self.columns, self.count())) if name == "rebalance" else None, hint(self, name, *a))[1])
+    stores = Upkeep(spark, f"file://{tmp_path}/u", shards=2)
+    docs = {f"s{i}": (f"s{i}", i, f"Mira Vale met Tor Hale.\n\nNumber {i}") for i in range(20)}
+    stores.load(spark.createDataFrame(list(docs.values()), SCHEMA))
+    dealt.clear()
+    docs["s3"] = ("s3", 3, "Ann Fenn met Mira Vale.")
+    stores.update(1, spark.createDataFrame([docs["s3"]], SCHEMA))
+    assert [n for columns, n in dealt if "text" in columns] == [1]
+    assert _kept(stores) == _whole(spark, docs)

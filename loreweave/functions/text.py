@@ -92,7 +92,7 @@ def folded_digest(prefix: str, *parts: Column) -> Column:
 def tokens(text: Column) -> Column:
     """Distinct words of a description, lower-cased, without punctuation around them."""
     words = F.transform(F.split(F.lower(text), r"(?U)\s+"), lambda w: F.btrim(w, F.lit(PUNCTUATION)))
-    return F.array_sort(F.array_distinct(F.filter(words, lambda w: w != "")))
+    return F.sort_array(F.array_distinct(F.filter(words, lambda w: w != "")))  # array_sort calls a comparison for each two
 
 
 def jaccard(a: Column, b: Column) -> Column:

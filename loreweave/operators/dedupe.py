@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loreweave.functions.lineage import dropped, written
 from loreweave.functions.ranking import ranked, running
 from loreweave.functions.text import digest, jaccard, tokens
+from loreweave.operators.meeting import candidates
 
 #: What equal categories, related entities and shared evidence can add to a description's Jaccard.
 MOST_BONUS = 0.25
@@ -24,40 +25,14 @@ def similarity(a: str, b: str) -> Column:
     return F.least(F.lit(1.0), jaccard(col(a, "tokens"), col(b, "tokens")) + same + bonus("related_entity_ids", 0.1) + bonus("evidence_anchor_ids", 0.05))
 
 
-#: Longs of a row's parities: for each bit, whether an odd number of its tokens has it.
-PARITIES = 4
-
-
 def find_duplicates(rows: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(i, j, similarity) of pairs with i before j by obligation_id and a similarity of threshold or more.
 
-    Such a pair has a Jaccard of threshold - 0.25 at least, so it shares one of the rarest tokens that prefix filtering
-    keeps of each row: pairs meet by an equi-join on those. There a row is only its size, where the token stands in it and its parities:
-    tokens from there on must suffice, and parities differ in no more bits than sets that alike can have tokens apart.
-    What is left, few but similar pairs, is verified by the rows themselves. Rows without tokens form a block of their own.
+    Such a pair has a Jaccard of threshold - 0.25 at least. Pairs that may have it meet as numbers (candidates()); what is left, few but
+    similar pairs, is verified by the rows themselves. Rows without tokens form a block of their own.
     """
-    least = threshold - MOST_BONUS
     r = written(rows.select("obligation_id", "category", "related_entity_ids", "evidence_anchor_ids", tokens(F.col("description")).alias("tokens")))
-    every = least <= 1e-9  # nothing is excluded by tokens, so every pair is a candidate: one block, as the rule asks
-    each = r.select("obligation_id", F.explode("tokens").alias("token"))
-    bit = F.xxhash64("token")
-    lane = lambda n: F.bit_xor(F.when(F.pmod(bit, F.lit(PARITIES)) == n, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(bit, 8), F.lit(64)).cast("int"))).otherwise(F.lit(0).cast("long")))
-    counts = each.groupBy("token").count()
-    told = each.join(counts, "token").groupBy("obligation_id").agg(F.array_sort(F.collect_list(F.struct("count", "token"))).alias("t"), *[lane(n).alias(f"p{n}") for n in range(PARITIES)])
-    size = F.size("t")
-    keep = F.lit(1) if every else size - F.ceil(least * size - F.lit(1e-9)).cast("int") + 1
-    block = F.lit(0).cast("long") if every else F.xxhash64("x.token")
-    parities = [f"p{n}" for n in range(PARITIES)]
-    keyed = told.select("obligation_id", size.alias("size"), *parities, F.posexplode(F.slice("t", F.lit(1), keep)).alias("pos", "x")).select("obligation_id", "size", "pos", block.alias("block"), *parities)
-    empty = r.where(F.size("tokens") == 0).select("obligation_id", F.lit(0).alias("size"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("block"), *[F.lit(0).cast("long").alias(x) for x in parities])
-    keyed = written(keyed.unionByName(empty))
-    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    both = a("size") + b("size")
-    need = F.ceil(F.lit(max(least, 0.0) / (1 + max(least, 0.0))) * both - F.lit(1e-9))
-    reach = F.least(a("size") - a("pos"), b("size") - b("pos")) >= need
-    apart = sum((F.bit_count(a(x).bitwiseXOR(b(x))) for x in parities[1:]), F.bit_count(a("p0").bitwiseXOR(b("p0")))) <= both - 2 * need
-    met = keyed.alias("a").join(keyed.alias("b"), (a("block") == b("block")) & reach & apart & (a("obligation_id") < b("obligation_id")))
-    met = met.select(a("obligation_id").alias("i"), b("obligation_id").alias("j")).distinct()
+    met = candidates(r.select(F.col("obligation_id").alias("id"), F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens")), threshold - MOST_BONUS)
     side = lambda end, name: r.select(F.col("obligation_id").alias(end), F.struct(*r.columns).alias(name))
     pairs = met.join(side("i", "a"), "i").join(side("j", "b"), "j")
     return pairs.select("i", "j", similarity("a", "b").alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
